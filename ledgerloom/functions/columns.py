@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,4)"
 # Wide enough to hold any metric while removing binary noise before rounding.
-ROUNDING = "decimal(38,10)"
+ROUNDING = "decimal(38,14)"
 # Buckets per factor e in order_bucket: neighbouring buckets are 0.025 % apart.
 BUCKETS_PER_E = 4096
 

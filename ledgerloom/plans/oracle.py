@@ -522,9 +522,9 @@ def _power(name: str, matrix: str) -> None:
 
 _power("axis1", "covariance")
 CTES["deflated"] = "SELECT " + ", ".join(
-    f"m{i}{j} - lambda * v{i} * v{j} AS m{i}{j}" for i in range(3) for j in range(3)
+    f"m{i}{j} - size * v{i} * v{j} AS m{i}{j}" for i in range(3) for j in range(3)
 ) + """ FROM (SELECT *, v0 * (m00 * v0 + m01 * v1 + m02 * v2) + v1 * (m10 * v0 + m11 * v1 + m12 * v2)
-                     + v2 * (m20 * v0 + m21 * v1 + m22 * v2) AS lambda
+                     + v2 * (m20 * v0 + m21 * v1 + m22 * v2) AS size
               FROM covariance JOIN axis1 ON true)"""
 _power("axis2", "deflated")
 
