@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import days_between
+from ledgerloom.functions.columns import MONEY
 
 RFM = ["Recency", "Frequency", "Monetary"]
 EXTENDED = RFM + ["AvgPurchaseValue", "ProductDiversity", "AvgDaysBetweenTransactions"]
@@ -59,11 +60,13 @@ def product_diversity(clean: DataFrame) -> DataFrame:
     )
 
 
-def _invoice_days(orders: DataFrame) -> DataFrame:
+def _by_day(orders: DataFrame) -> DataFrame:
     """One row per customer and active day, with the gap from the active day before.
 
     A gap inside one calendar day is under 24 hours, hence zero whole days, so
-    only the gaps between consecutive active days add to the sum of gaps.
+    only the gaps between consecutive active days add to the sum of gaps. Rows
+    without a first line fall into a day of their own, null, which sorts first
+    and has no last invoice to measure from.
     """
     days = (
         orders.withColumn("Day", F.to_date("FirstLine"))
@@ -72,8 +75,9 @@ def _invoice_days(orders: DataFrame) -> DataFrame:
             F.min("FirstLine").alias("DayFirst"),
             F.max("FirstLine").alias("DayLast"),
             F.max("LastLine").alias("LastLine"),
-            F.count(F.lit(1)).alias("Invoices"),
+            F.count("FirstLine").alias("Invoices"),
             F.sum("Total").alias("Total"),
+            F.count(F.lit(1)).alias("Rows"),
         )
     )
     previous = F.lag("DayLast").over(Window.partitionBy("CustomerID").orderBy("Day"))
@@ -91,7 +95,7 @@ def _mean_gap() -> Column:
 def average_days_between(clean: DataFrame) -> DataFrame:
     """Mean whole days between consecutive invoices; zero for a single invoice."""
     return (
-        _invoice_days(invoices(clean))
+        _by_day(invoices(clean))
         .groupBy("CustomerID")
         .agg(_mean_gap().alias("AvgDaysBetweenTransactions"))
     )
@@ -105,7 +109,7 @@ def invoice_gaps(clean: DataFrame) -> DataFrame:
     """
     orders = invoices(clean)
     within = Window.partitionBy("CustomerID", "Day").orderBy("FirstLine", "InvoiceNo")
-    carried = _invoice_days(orders).select("CustomerID", "Day", "PreviousLast")
+    carried = _by_day(orders).select("CustomerID", "Day", "PreviousLast")
     return (
         orders.withColumn("Day", F.to_date("FirstLine"))
         .withColumn("Previous", F.lag("FirstLine").over(within))
@@ -121,28 +125,58 @@ def invoice_gaps(clean: DataFrame) -> DataFrame:
     )
 
 
+def _invoices_and_products(clean: DataFrame) -> DataFrame:
+    """One row per customer and invoice, and one per customer and product, in one scan.
+
+    Product rows carry the key only: no dates and no amount.
+    """
+    line = F.array(
+        F.struct(
+            F.lit(True).alias("is_invoice"),
+            F.col("InvoiceNo").alias("key"),
+            F.col("InvoiceDate").alias("at"),
+            F.col("TotalPrice").alias("amount"),
+        ),
+        F.struct(
+            F.lit(False).alias("is_invoice"),
+            F.col("StockCode").alias("key"),
+            F.lit(None).cast("timestamp_ntz").alias("at"),
+            F.lit(None).cast(MONEY).alias("amount"),
+        ),
+    )
+    return (
+        clean.select("CustomerID", F.inline(line))
+        .groupBy("CustomerID", "is_invoice", "key")
+        .agg(
+            F.min("at").alias("FirstLine"),
+            F.max("at").alias("LastLine"),
+            F.sum("amount").alias("Total"),
+        )
+    )
+
+
 def customer_features(clean: DataFrame) -> DataFrame:
-    """All six features in two passes: one over invoices, one over products."""
-    behaviour = (
-        _invoice_days(invoices(clean))
+    """All six features in one pass over the sales, without a join.
+
+    Invoices and products of a customer are told apart by a tag, counted per
+    day, and folded per customer.
+    """
+    invoice_count = F.sum("Invoices")
+    spend = F.sum("Total").cast("double")
+    recency = days_between(F.max("LastLine"), F.first("snapshot"))
+    return (
+        _by_day(_invoices_and_products(clean))
+        .withColumn("snapshot", snapshot(clean).scalar())
         .groupBy("CustomerID")
         .agg(
-            F.max("LastLine").alias("LastLine"),
-            F.sum("Invoices").alias("Frequency"),
-            F.sum("Total").cast("double").alias("Monetary"),
+            recency.alias("Recency"),
+            invoice_count.alias("Frequency"),
+            spend.alias("Monetary"),
+            (spend / invoice_count).alias("AvgPurchaseValue"),
+            (F.sum("Rows") - invoice_count).alias("ProductDiversity"),
             _mean_gap().alias("AvgDaysBetweenTransactions"),
         )
     )
-    recency = days_between(F.col("LastLine"), snapshot(clean).scalar())
-    return behaviour.join(product_diversity(clean), "CustomerID", "left").select(
-        "CustomerID",
-        recency.alias("Recency"),
-        "Frequency",
-        "Monetary",
-        (F.col("Monetary") / F.col("Frequency")).alias("AvgPurchaseValue"),
-        "ProductDiversity",
-        "AvgDaysBetweenTransactions",
-    )
 
 
 def capped(features: DataFrame, frequency: int = 50, monetary: float = 25000.0) -> DataFrame:

@@ -33,7 +33,7 @@ from ledgerloom.operators import (
     timeseries,
 )
 from ledgerloom.operators.quantiles import quantile_segments
-from ledgerloom.session import scratch_path
+from ledgerloom.session import materialise, scratch_path
 from ledgerloom.sources import schemas, tables
 from ledgerloom.sources.adapters import view
 
@@ -85,7 +85,7 @@ def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]
 
 
 class Inputs:
-    """The views and shared steps of one run, all lazy."""
+    """The views and shared steps of one run."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -105,16 +105,25 @@ class Inputs:
     def rfm(self) -> DataFrame:
         return customers.rfm(self.clean)
 
+    @property
+    def rfm_table(self) -> DataFrame:
+        """Written out, for queries that read it several times: one row per customer."""
+        return materialise(self.rfm, "rfm")
+
+    @property
+    def feature_table(self) -> DataFrame:
+        return materialise(self.features, "features")
+
     def segmented(self, features: DataFrame, parts: int = 3) -> DataFrame:
         return quantile_segments(features, "Monetary", parts)
 
     def rfm_points(self, features: DataFrame | None = None) -> DataFrame:
-        return segments.model_space(self.rfm if features is None else features, customers.RFM)
+        return segments.model_space(self.rfm_table if features is None else features, customers.RFM)
 
     @property
     def items(self) -> DataFrame:
         clean = self.clean
-        labels = self.segmented(customers.rfm(clean)).select("CustomerID", "segment")
+        labels = self.segmented(self.rfm_table).select("CustomerID", "segment")
         return baskets.basket_items(clean, labels)
 
     @property
@@ -122,7 +131,9 @@ class Inputs:
         return baskets.association_rules(baskets.frequent_itemsets(self.items))
 
     def filled(self, by: str | None = None) -> DataFrame:
-        return timeseries.fill_days(timeseries.daily_sales(self.clean, by))
+        """Daily series without gaps, written out: at most one row per day and series."""
+        daily = materialise(timeseries.daily_sales(self.clean, by), "daily")
+        return timeseries.fill_days(daily)
 
     def holdout(self, by: str | None = None) -> tuple[DataFrame, DataFrame]:
         return _parts(timeseries.holdout_split(self.filled(by)))
@@ -155,7 +166,7 @@ def load_transactions(run: Inputs) -> DataFrame:
 
 @query
 def sink_csv(run: Inputs) -> DataFrame:
-    summary = segments.cluster_summary(run.segmented(run.rfm), "segment", customers.RFM)
+    summary = segments.cluster_summary(run.segmented(run.rfm_table), "segment", customers.RFM)
     path = scratch_path(run.spark, "summary-csv")
     tables.write_csv(summary, path)
     return tables.read_csv(run.spark, path, summary.schema)
@@ -163,7 +174,7 @@ def sink_csv(run: Inputs) -> DataFrame:
 
 @query
 def sink_partitioned(run: Inputs) -> DataFrame:
-    labelled = run.segmented(run.rfm)
+    labelled = run.segmented(run.rfm_table)
     path = scratch_path(run.spark, "by-segment")
     tables.write_partitioned(labelled, path, ["segment"])
     return run.spark.read.schema(labelled.schema).parquet(path).select(labelled.columns)
@@ -193,23 +204,23 @@ def missing_counts(run: Inputs) -> DataFrame:
 
 @query
 def rfm_stats(run: Inputs) -> DataFrame:
-    return quality.summary_statistics(run.rfm, customers.RFM)
+    return quality.summary_statistics(run.rfm_table, customers.RFM)
 
 
 @query
 def extended_stats(run: Inputs) -> DataFrame:
-    return quality.summary_statistics(run.features, customers.EXTENDED)
+    return quality.summary_statistics(run.feature_table, customers.EXTENDED)
 
 
 @query
 def iqr_fence(run: Inputs) -> DataFrame:
-    fence = quality.iqr_fence(run.rfm, "Monetary")
+    fence = quality.iqr_fence(run.rfm_table, "Monetary")
     return _rounded(fence, 4, "q1", "q3", "iqr", "upper_fence")
 
 
 @query
 def rfm_without_outliers(run: Inputs) -> DataFrame:
-    return quality.without_outliers(run.rfm, "Monetary")
+    return quality.without_outliers(run.rfm_table, "Monetary")
 
 
 @query
@@ -219,12 +230,12 @@ def rfm_correlation(run: Inputs) -> DataFrame:
 
 @query
 def feature_histograms(run: Inputs) -> DataFrame:
-    return _rounded(quality.histograms(run.features, HISTOGRAM_BINS), 4, "bin_start")
+    return _rounded(quality.histograms(run.feature_table, HISTOGRAM_BINS), 4, "bin_start")
 
 
 @query
 def monetary_box_stats(run: Inputs) -> DataFrame:
-    return _rounded(quality.box_statistics(run.rfm, "Monetary"), 4, "q25", "median", "q75")
+    return _rounded(quality.box_statistics(run.rfm_table, "Monetary"), 4, "q25", "median", "q75")
 
 
 # --- cleaning and customer features ------------------------------------------
@@ -284,7 +295,7 @@ def rfm_log(run: Inputs) -> DataFrame:
 def scaled_features(run: Inputs) -> DataFrame:
     logs = [f"{name}_log" for name in customers.EXTENDED]
     names = [f"{name}_scaled" for name in [*customers.RFM, *logs]]
-    logged = customers.log_features(run.features, customers.EXTENDED)
+    logged = customers.log_features(run.feature_table, customers.EXTENDED)
     scaled = scaling.standardise(logged, [*customers.RFM, *logs])
     return _rounded(scaled.select("CustomerID", *names), 6, *names)
 
@@ -494,28 +505,28 @@ def backtest_metrics(run: Inputs) -> DataFrame:
 
 @query
 def train_test_split(run: Inputs) -> DataFrame:
-    return scaling.train_test_split(run.rfm.select("CustomerID"))
+    return scaling.train_test_split(run.rfm_table.select("CustomerID"))
 
 
 @query
 def spend_regression(run: Inputs) -> DataFrame:
-    return _rounded(regression.spend_regression(run.rfm).coefficients, 4, "coefficient")
+    return _rounded(regression.spend_regression(run.rfm_table).coefficients, 4, "coefficient")
 
 
 @query
 def actual_vs_predicted(run: Inputs) -> DataFrame:
-    return regression.actual_vs_predicted(regression.spend_regression(run.rfm))
+    return regression.actual_vs_predicted(regression.spend_regression(run.rfm_table))
 
 
 @query
 def regression_metrics(run: Inputs) -> DataFrame:
-    model = regression.spend_regression(run.rfm)
+    model = regression.spend_regression(run.rfm_table)
     return regression.model_report(model, "Linear Regression", regression.BASELINE)
 
 
 @query
 def spend_regression_capped(run: Inputs) -> DataFrame:
-    kept = customers.capped(run.rfm, FREQUENCY_LIMIT, MONETARY_LIMIT)
+    kept = customers.capped(run.rfm_table, FREQUENCY_LIMIT, MONETARY_LIMIT)
     model = regression.spend_regression(kept)
     report = regression.model_report(model, "Filtered Linear Regression", regression.BASELINE)
     return report.withColumns(
@@ -528,7 +539,7 @@ def spend_regression_capped(run: Inputs) -> DataFrame:
 
 @query
 def regression_comparison(run: Inputs) -> DataFrame:
-    return regression.regression_comparison(run.features)
+    return regression.regression_comparison(run.feature_table)
 
 
 # --- segmentation ------------------------------------------------------------
@@ -536,30 +547,30 @@ def regression_comparison(run: Inputs) -> DataFrame:
 
 @query
 def cluster_summary(run: Inputs) -> DataFrame:
-    return segments.cluster_summary(run.segmented(run.rfm), "segment", customers.RFM)
+    return segments.cluster_summary(run.segmented(run.rfm_table), "segment", customers.RFM)
 
 
 @query
 def cluster_summary_extended(run: Inputs) -> DataFrame:
-    labelled = run.segmented(run.features, 4)
+    labelled = run.segmented(run.feature_table, 4)
     return segments.cluster_summary(labelled, "segment", customers.EXTENDED)
 
 
 @query
 def silhouette(run: Inputs) -> DataFrame:
-    points = run.rfm_points(run.segmented(run.rfm))
+    points = run.rfm_points(run.segmented(run.rfm_table))
     return _rounded(scores.silhouettes(points, RFM_SCALED, ["segment"]), 4, "silhouette")
 
 
 @query
 def davies_bouldin(run: Inputs) -> DataFrame:
-    points = run.rfm_points(run.segmented(run.rfm))
+    points = run.rfm_points(run.segmented(run.rfm_table))
     return _rounded(scores.davies_bouldin(points, RFM_SCALED, "segment"), 4, "davies_bouldin")
 
 
 @query
 def best_k(run: Inputs) -> DataFrame:
-    labelled = run.rfm
+    labelled = run.rfm_table
     for parts in (2, 3, 4):
         labelled = quantile_segments(labelled, "Monetary", parts, f"parts_{parts}")
     labels = {parts: f"parts_{parts}" for parts in (2, 3, 4)}
@@ -574,7 +585,7 @@ def kmeans_sweep(run: Inputs) -> DataFrame:
 
 @query
 def kmeans_sweep_extended(run: Inputs) -> DataFrame:
-    points = segments.model_space(run.features, customers.EXTENDED)
+    points = segments.model_space(run.feature_table, customers.EXTENDED)
     return segments.kmeans_sweep(
         points, EXTENDED_SCALED, "KMeans_ExtendedFeatures", starts=STARTS
     )
@@ -594,7 +605,7 @@ def segment_summary(run: Inputs) -> DataFrame:
 
 @query
 def segment_without_outliers(run: Inputs) -> DataFrame:
-    points = run.rfm_points(quality.without_outliers(run.rfm, "Monetary"))
+    points = run.rfm_points(quality.without_outliers(run.rfm_table, "Monetary"))
     return segments.kmeans_sweep(points, RFM_SCALED, "KMeans_Filtered", [2], STARTS)
 
 

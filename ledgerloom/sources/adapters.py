@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.sources.tables import star_table
+from ledgerloom.sources.tables import spread, star_table
 
 TRANSACTIONS = """
 SELECT CASE WHEN o.o_orderkey % 20 = 0 THEN 'C' || CAST(o.o_orderkey AS STRING)
@@ -74,4 +74,6 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The named adapter view over the tables in a folder, as a lazy DataFrame."""
     text, tables = VIEWS[name]
     frames = {table: star_table(spark, folder, table) for table in tables}
+    if "lineitem" in frames:
+        frames["lineitem"] = spread(frames["lineitem"], "l_orderkey")
     return spark.sql(text.replace("{MINUTES}", SPARK_MINUTES), **frames)
