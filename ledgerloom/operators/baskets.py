@@ -7,7 +7,9 @@ per product.
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,50 +44,62 @@ def _least_count(baskets: int, support: float) -> int:
     return -(-baskets * parts // 1_000_000)
 
 
-def frequent_itemsets(items: DataFrame, support: float = 0.02, min_baskets: int = 10) -> DataFrame:
+def _mine(items: DataFrame, least: int) -> DataFrame | None:
+    """Frequent sets of one segment's (InvoiceNo, item) rows, at or above a count."""
+    frequent = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    baskets = (
+        items.join(frequent, "item", "left_semi")
+        .groupBy("InvoiceNo")
+        .agg(F.collect_set("item").alias("items"))
+        .select("items")
+        .persist()
+    )
+    try:
+        rows = baskets.count()
+        if rows < least:
+            return None
+        # FP-growth rounds share * rows up; half a basket keeps that at ``least``.
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows).fit(baskets)
+        return materialise(model.freqItemsets, "itemsets")
+    finally:
+        baskets.unpersist()
+
+
+def frequent_itemsets(
+    items: DataFrame, support: float = 0.02, min_baskets: int = 10, parallel: int = 4
+) -> DataFrame:
     """Item sets of any size at or above the support: (segment, items, freq, baskets).
 
     Items below the support cannot be in a frequent set, so they are dropped
     before baskets are formed, which keeps every basket short. Mining itself is
-    the distributed FP-growth; the driver sees one number pair per segment.
+    the distributed FP-growth; the driver sees one number pair per segment and
+    works on a few segments at a time. Segments with too few baskets are skipped.
     """
     items = materialise(items, "baskets")
+    spark = items.sparkSession
     sizes = items.groupBy("segment").agg(F.countDistinct("InvoiceNo").alias("baskets"))
-    mined = []
-    for segment, total in sorted((row.segment, row.baskets) for row in sizes.collect()):
-        if total < min_baskets:
-            continue
-        least = _least_count(total, support)
-        own = items.filter(F.col("segment") == segment)
-        frequent = own.groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least)
-        baskets = (
-            own.join(frequent, "item", "left_semi")
-            .groupBy("InvoiceNo")
-            .agg(F.collect_set("item").alias("items"))
-            .select("items")
-            .persist()
-        )
-        try:
-            rows = baskets.count()
-            if rows < least:
-                continue
-            model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows).fit(baskets)
-            found = materialise(model.freqItemsets, "itemsets")
-        finally:
-            baskets.unpersist()
-        mined.append(
-            found.select(
-                F.lit(segment).alias("segment"),
-                F.array_sort("items").alias("items"),
-                "freq",
-                F.lit(total).cast("bigint").alias("baskets"),
-            )
-        )
-    if not mined:
-        return items.sparkSession.createDataFrame(
-            [], "segment int, items array<string>, freq bigint, baskets bigint"
+    totals = {row.segment: row.baskets for row in sizes.collect() if row.baskets >= min_baskets}
+
+    def segment_sets(segment: int) -> DataFrame | None:
+        total = totals[segment]
+        own = items.filter(F.col("segment") == segment).select("InvoiceNo", "item")
+        found = _mine(own, _least_count(total, support))
+        if found is None:
+            return None
+        return found.select(
+            F.lit(segment).alias("segment"),
+            F.array_sort("items").alias("items"),
+            "freq",
+            F.lit(total).cast("bigint").alias("baskets"),
         )
-    return reduce(DataFrame.unionByName, mined)
+
+    with ThreadPool(parallel) as pool:
+        task = inheritable_thread_target(spark)(segment_sets)
+        mined = [found for found in pool.map(task, sorted(totals)) if found is not None]
+    empty = spark.createDataFrame(
+        [], "segment int, items array<string>, freq bigint, baskets bigint"
+    )
+    return reduce(DataFrame.unionByName, mined) if mined else empty
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
