@@ -25,7 +25,7 @@ def basket_items(clean: DataFrame, labels: DataFrame) -> DataFrame:
     shrinks whatever a dominant customer bought.
     """
     bought = (
-        clean.na.drop(subset=["Description"])
+        clean.filter(F.col("Description").isNotNull())
         .groupBy("CustomerID", "InvoiceNo", F.col("Description").alias("item"))
         .agg(F.sum(F.col("Quantity").cast("bigint")).alias("quantity"))
     )
