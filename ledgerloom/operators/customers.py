@@ -23,6 +23,17 @@ def snapshot(clean: DataFrame) -> DataFrame:
     return clean.agg((F.max("InvoiceDate") + F.expr("INTERVAL 1 DAY")).alias("snapshot"))
 
 
+def _snapshot_of(grouped: DataFrame) -> Column:
+    """The snapshot of sales already grouped, taken from the shuffle of that grouping.
+
+    Asking for the maximum of every column keeps this copy of the plan as wide
+    as the main one, so both share one exchange and the sales are scanned once.
+    """
+    columns = [name for name in grouped.columns if name != "CustomerID"]
+    widest = grouped.agg(F.struct(*[F.max(name).alias(name) for name in columns]))
+    return widest.scalar().getField("LastLine") + F.expr("INTERVAL 1 DAY")
+
+
 def invoices(clean: DataFrame) -> DataFrame:
     """One row per customer and invoice."""
     return clean.groupBy("CustomerID", "InvoiceNo").agg(
@@ -39,7 +50,7 @@ def rfm(clean: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("Frequency"),
         F.sum("Total").cast("double").alias("Monetary"),
     )
-    recency = days_between(F.col("LastLine"), snapshot(clean).scalar())
+    recency = days_between(F.col("LastLine"), _snapshot_of(totals))
     return totals.select("CustomerID", recency.alias("Recency"), "Frequency", "Monetary")
 
 
@@ -61,14 +72,12 @@ def product_diversity(clean: DataFrame) -> DataFrame:
 
 
 def _by_day(orders: DataFrame) -> DataFrame:
-    """One row per customer and active day, with the gap from the active day before.
+    """One row per customer and active day.
 
-    A gap inside one calendar day is under 24 hours, hence zero whole days, so
-    only the gaps between consecutive active days add to the sum of gaps. Rows
-    without a first line fall into a day of their own, null, which sorts first
-    and has no last invoice to measure from.
+    Rows without a first line fall into a day of their own, null, which sorts
+    first and has no last invoice to measure a gap from.
     """
-    days = (
+    return (
         orders.withColumn("Day", F.to_date("FirstLine"))
         .groupBy("CustomerID", "Day")
         .agg(
@@ -80,6 +89,14 @@ def _by_day(orders: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("Rows"),
         )
     )
+
+
+def _with_gaps(days: DataFrame) -> DataFrame:
+    """Add the whole days since the customer's active day before.
+
+    A gap inside one calendar day is under 24 hours, hence zero whole days, so
+    only these gaps add to the sum over all invoices.
+    """
     previous = F.lag("DayLast").over(Window.partitionBy("CustomerID").orderBy("Day"))
     return days.withColumn("PreviousLast", previous).withColumn(
         "Gap", days_between(F.col("PreviousLast"), F.col("DayFirst"))
@@ -95,7 +112,7 @@ def _mean_gap() -> Column:
 def average_days_between(clean: DataFrame) -> DataFrame:
     """Mean whole days between consecutive invoices; zero for a single invoice."""
     return (
-        _by_day(invoices(clean))
+        _with_gaps(_by_day(invoices(clean)))
         .groupBy("CustomerID")
         .agg(_mean_gap().alias("AvgDaysBetweenTransactions"))
     )
@@ -109,7 +126,7 @@ def invoice_gaps(clean: DataFrame) -> DataFrame:
     """
     orders = invoices(clean)
     within = Window.partitionBy("CustomerID", "Day").orderBy("FirstLine", "InvoiceNo")
-    carried = _by_day(orders).select("CustomerID", "Day", "PreviousLast")
+    carried = _with_gaps(_by_day(orders)).select("CustomerID", "Day", "PreviousLast")
     return (
         orders.withColumn("Day", F.to_date("FirstLine"))
         .withColumn("Previous", F.lag("FirstLine").over(within))
@@ -164,9 +181,10 @@ def customer_features(clean: DataFrame) -> DataFrame:
     invoice_count = F.sum("Invoices")
     spend = F.sum("Total").cast("double")
     recency = days_between(F.max("LastLine"), F.first("snapshot"))
+    days = _by_day(_invoices_and_products(clean))
     return (
-        _by_day(_invoices_and_products(clean))
-        .withColumn("snapshot", snapshot(clean).scalar())
+        _with_gaps(days)
+        .withColumn("snapshot", _snapshot_of(days))
         .groupBy("CustomerID")
         .agg(
             recency.alias("Recency"),

@@ -63,27 +63,32 @@ def revenue_by_month(clean: DataFrame) -> DataFrame:
 def revenue_by_country(clean: DataFrame) -> DataFrame:
     """Revenue and its share of the total per country."""
     totals = clean.groupBy("Country").agg(F.sum("TotalPrice").alias("total"))
-    everything = clean.agg(F.sum("TotalPrice")).scalar()
     return totals.select(
         "Country",
         F.col("total").cast("double").alias("revenue"),
-        percent(F.col("total"), everything).alias("share_pct"),
+        percent(F.col("total"), _everything(totals)).alias("share_pct"),
     )
 
 
+def _everything(totals: DataFrame) -> Column:
+    """The grand total of grouped totals: it reuses their shuffle, not another scan."""
+    return totals.agg(F.sum("total").cast("double")).scalar()
+
+
 def _product_totals(clean: DataFrame) -> DataFrame:
-    return clean.groupBy("StockCode").agg(F.sum("TotalPrice").cast("double").alias("revenue"))
+    totals = clean.groupBy("StockCode").agg(F.sum("TotalPrice").alias("total"))
+    return totals.withColumn("revenue", F.col("total").cast("double"))
 
 
 def top_products(clean: DataFrame, count: int = 10) -> DataFrame:
     """The best-selling products with their share and running share of revenue."""
-    best = _product_totals(clean).orderBy(F.desc("revenue"), "StockCode").limit(count)
-    running = Window.partitionBy(F.lit(0)).orderBy(F.desc("revenue"), "StockCode")
-    everything = clean.agg(F.sum("TotalPrice").cast("double")).scalar()
+    products = _product_totals(clean)
+    best = products.orderBy(F.desc("total"), "StockCode").limit(count)
+    running = Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), "StockCode")
     return (
         best.withColumn("position", F.row_number().over(running))
-        .withColumn("running", F.sum("revenue").over(running))
-        .withColumn("everything", everything)
+        .withColumn("running", F.sum("total").over(running))
+        .withColumn("everything", _everything(products))
         .select(
             "position",
             "StockCode",
@@ -101,12 +106,10 @@ def product_concentration(clean: DataFrame) -> DataFrame:
     sums go over distinct revenues in two steps, buckets first and values inside
     a bucket second, so no task sorts the whole catalogue.
     """
-    products = _product_totals(clean).withColumn(
-        "exact", F.col("revenue").cast("decimal(28,4)")
-    )
+    products = _product_totals(clean)
     values = (
         products.groupBy("revenue")
-        .agg(F.sum("exact").alias("total"), F.count(F.lit(1)).alias("products"))
+        .agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("products"))
         .withColumn("bucket", order_bucket(F.col("revenue")))
     )
     descending = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket"))
@@ -125,7 +128,7 @@ def product_concentration(clean: DataFrame) -> DataFrame:
         (F.col("above") + F.sum("total").over(inside)).cast("double").alias("running"),
         (F.col("ahead") + F.sum("products").over(inside) - F.col("products") + 1).alias("rank"),
     )
-    everything = clean.agg(F.sum("TotalPrice").cast("double")).scalar()
+    share = percent(F.col("running"), _everything(products))
     return products.join(ranked, "revenue").select(
-        "StockCode", "revenue", "rank", percent(F.col("running"), everything).alias("running_share_pct")
+        "StockCode", "revenue", "rank", share.alias("running_share_pct")
     )
