@@ -757,7 +757,7 @@ def statements() -> dict[str, str]:
             FROM ols2_fit WHERE NOT fit""",
         "regression_metrics": _fit_metrics("Linear Regression", "Recency, Frequency", "ols2_fit"),
         "spend_regression_capped": f"""
-            SELECT *, {FREQUENCY_LIMIT} AS FrequencyLimit, {MONETARY_LIMIT}::DOUBLE AS MonetaryLimit
+            SELECT *, {FREQUENCY_LIMIT}::BIGINT AS FrequencyLimit, {MONETARY_LIMIT}::DOUBLE AS MonetaryLimit
             FROM ({_fit_metrics("Filtered Linear Regression", "Recency, Frequency", "olsc_fit")})""",
         "regression_comparison": _fit_metrics("Baseline Regression", "Recency, Frequency", "ols2_fit")
         + " UNION ALL "
@@ -769,7 +769,7 @@ def statements() -> dict[str, str]:
         "davies_bouldin": f"SELECT {even('db', 4)} AS davies_bouldin FROM ({_davies_bouldin('space3')})",
         "best_k": "SELECT * FROM ("
         + " UNION ALL ".join(
-            f"SELECT 'Quantiles' AS Method, {k} AS Clusters, {even('s', 4)} AS SilhouetteScore, "
+            f"SELECT 'Quantiles' AS Method, {k}::BIGINT AS Clusters, {even('s', 4)} AS SilhouetteScore, "
             f"{even('db', 4)} AS DaviesBouldinIndex "
             f"FROM ({_silhouette(f'space{k}')}) JOIN ({_davies_bouldin(f'space{k}')}) ON true"
             for k in (2, 3, 4)
