@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import line_total
@@ -13,6 +13,11 @@ from ledgerloom.functions import line_total
 REQUIRED = ["CustomerID", "InvoiceNo", "StockCode", "InvoiceDate"]
 
 
+def _whole_number(number: Column) -> Column:
+    """The text of an id that may have been read as a decimal: 17850.0 is 17850."""
+    return F.substring_index(number.cast("string"), ".", 1).cast("bigint").cast("string")
+
+
 def clean_transactions(transactions: DataFrame) -> DataFrame:
     """Keep completed sales of known customers and add the line total.
 
@@ -24,6 +29,6 @@ def clean_transactions(transactions: DataFrame) -> DataFrame:
         transactions.filter(known)
         .filter(~F.startswith("InvoiceNo", F.lit("C")))
         .filter((F.col("Quantity") > 0) & (F.col("UnitPrice") > 0))
-        .withColumn("CustomerID", F.col("CustomerID").cast("bigint").cast("string"))
+        .withColumn("CustomerID", _whole_number(F.col("CustomerID")))
         .withColumn("TotalPrice", line_total(F.col("Quantity"), F.col("UnitPrice")))
     )

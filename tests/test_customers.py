@@ -137,3 +137,13 @@ def test_filters_reach_the_scan(spark, tmp_path):
     ):
         assert pushed in plan.split("PushedFilters")[1]
     assert "Description" not in plan.split("ReadSchema")[1]
+
+
+def test_ids_read_as_decimals_and_csv_input(spark, tmp_path):
+    from ledgerloom.sources.tables import load_transactions
+
+    frame = sales(rows=30, seed=8).assign(CustomerID="17850.0", Quantity=2, UnitPrice=1.5)
+    frame.to_csv(tmp_path / "tx.csv", index=False)
+    clean = clean_transactions(load_transactions(spark, str(tmp_path / "tx.csv"), "csv"))
+    row = clean.select("CustomerID", "TotalPrice").distinct().collect()
+    assert [(r.CustomerID, float(r.TotalPrice)) for r in row] == [("17850", 3.0)]
