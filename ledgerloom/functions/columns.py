@@ -10,6 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,4)"
+# Room for totals that are summed again, and for means of any feature.
+TOTAL = "decimal(28,4)"
+FEATURE = "decimal(28,10)"
 # Wide enough to hold any metric while removing binary noise before rounding.
 ROUNDING = "decimal(38,14)"
 # Buckets per factor e in order_bucket: neighbouring buckets are 0.025 % apart.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import half_even
-from ledgerloom.functions.columns import MONEY
+from ledgerloom.functions.columns import FEATURE
 from ledgerloom.operators.customers import log_features
 from ledgerloom.operators.scaling import assemble, standardise
 from ledgerloom.operators.scores import davies_bouldin, silhouettes
@@ -146,7 +146,7 @@ def cluster_summary(labelled: DataFrame, label: str, columns: Sequence[str]) ->
     Sums are exact decimals, and the share comes from the k counted rows.
     """
     counted = labelled.groupBy(label).agg(
-        *[F.sum(F.col(name).cast(MONEY)).cast("double").alias(name) for name in columns],
+        *[F.sum(F.col(name).cast(FEATURE)).cast("double").alias(name) for name in columns],
         F.count(F.lit(1)).alias("CustomerCount"),
     )
     everyone = F.sum("CustomerCount").over(Window.partitionBy(F.lit(0)))

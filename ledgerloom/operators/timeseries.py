@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import MONEY
+from ledgerloom.functions.columns import TOTAL
 
 SERIES = "series"
 
@@ -34,16 +34,15 @@ def rolling_sales(daily: DataFrame, rows: int = 7) -> DataFrame:
     """Trailing mean over rows, not days; null until enough rows exist."""
     frame = Window.partitionBy(SERIES).orderBy("Date").rowsBetween(1 - rows, 0)
     full = F.count(F.lit(1)).over(frame) == rows
-    mean = F.sum(F.col("Sales").cast(MONEY)).over(frame).cast("double") / F.lit(float(rows))
+    mean = F.sum(F.col("Sales").cast(TOTAL)).over(frame).cast("double") / F.lit(float(rows))
     return daily.withColumn("RollingMean", F.when(full, mean))
 
 
-def monthly_sales(clean: DataFrame, by: str | None = None) -> DataFrame:
+def monthly_totals(daily: DataFrame) -> DataFrame:
     """Revenue per month end, empty months as zero, the last incomplete month dropped."""
     months = (
-        clean.select(_key(by), F.last_day("InvoiceDate").alias("MonthEnd"), "TotalPrice")
-        .groupBy(SERIES, "MonthEnd")
-        .agg(F.sum("TotalPrice").cast("double").alias("Sales"))
+        daily.groupBy(SERIES, F.last_day("Date").alias("MonthEnd"))
+        .agg(F.sum(F.col("Sales").cast(TOTAL)).cast("double").alias("Sales"))
     )
     first, last = F.trunc(F.min("MonthEnd"), "month"), F.trunc(F.max("MonthEnd"), "month")
     spine = (
@@ -57,6 +56,11 @@ def monthly_sales(clean: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
+def monthly_sales(clean: DataFrame, by: str | None = None) -> DataFrame:
+    """Monthly totals straight from sales lines."""
+    return monthly_totals(daily_sales(clean, by))
+
+
 def fill_days(daily: DataFrame) -> DataFrame:
     """A row for every calendar day between the first and last of each series."""
     spine = (

@@ -206,7 +206,7 @@ def up(expression: str, digits: int) -> str:
 
 def _summary(source: str, label: str, columns: Sequence[str]) -> str:
     means = ", ".join(
-        f"{even(f'CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / count(*)', 2)} AS {c}" for c in columns
+        f"{even(f'CAST(sum(CAST({c} AS DECIMAL(28,10))) AS DOUBLE) / count(*)', 2)} AS {c}" for c in columns
     )
     share = even("count(*)::DOUBLE / sum(count(*)) OVER () * 100", 2)
     return (

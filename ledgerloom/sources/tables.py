@@ -61,4 +61,6 @@ def write_partitioned(
     The rows are not shuffled by key first: a cluster holding a third of all
     rows is still written by every task that has some of it.
     """
-    frame.write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    if fmt == "csv":
+        frame = flatten_arrays(frame)
+    frame.write.mode(mode).partitionBy(*keys).option("header", True).format(fmt).save(path)
