@@ -38,7 +38,7 @@ def _steps(dimensions: int) -> list[int]:
     """Differences between a cell's id and those of its whole 3^d block."""
     bits = 62 // dimensions
     return [
-        sum(move << (bits * axis) if move >= 0 else -(-move << (bits * axis)) for axis, move in enumerate(moves))
+        sum(move * (1 << (bits * axis)) for axis, move in enumerate(moves))
         for moves in product((-1, 0, 1), repeat=dimensions)
     ]
 

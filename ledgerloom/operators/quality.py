@@ -36,21 +36,22 @@ def dataset_profile(
     """
     first = frame.orderBy(*order_by).limit(1)
     text = [_as_text(frame, name).alias(name) for name in frame.columns]
-    meaning = {name: F.lit(descriptions.get(name)) for name in frame.columns}
-    types = {name: F.lit(kind) for name, kind in frame.dtypes}
-    pick = lambda values: reduce(
-        lambda rest, name: F.when(F.col("Attribute") == name, values[name]).otherwise(rest),
-        frame.columns,
-        F.lit(None).cast("string"),
-    )
+
+    def per_column(values: Mapping[str, str | None]) -> Column:
+        return reduce(
+            lambda rest, name: F.when(F.col("Attribute") == name, F.lit(values.get(name))).otherwise(rest),
+            frame.columns,
+            F.lit(None).cast("string"),
+        )
+
     return (
         first.select(text)
         .unpivot([], frame.columns, "Attribute", "ExampleValue")
         .select(
             "Attribute",
-            pick(types).alias("DataType"),
+            per_column(dict(frame.dtypes)).alias("DataType"),
             "ExampleValue",
-            pick(meaning).alias("Description"),
+            per_column(descriptions).alias("Description"),
         )
     )
 
