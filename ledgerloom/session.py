@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,23 +33,45 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **con
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables, visible to every executor.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session may fall back to a temporary folder of this machine.
+    It is the one the cluster names in ``spark.checkpoint.dir``; where that is
+    unset, a folder below the warehouse, which executors share as well.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="ledgerloom-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
 
 
+_folders: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the application ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _folders:
+        path = f"{shared_folder(spark).rstrip('/')}/ledgerloom-{application}-{uuid.uuid4().hex[:8]}"
+        _folders[application] = path
+        atexit.register(_discard_at_exit, spark, path)
+    return _folders[application]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _discard_at_exit(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session has no connection left
+        discard(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(frame: DataFrame, name: str) -> DataFrame:
