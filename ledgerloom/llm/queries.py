@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import secrets
+from ledgerloom.llm import jaccard, secrets
 from ledgerloom.session import scratch_path
 
 
@@ -14,15 +14,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have J >= 0.9."""
+    return jaccard.similar_documents(_table(spark, folder, "documents"), 3, 9, 10)
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document, through a fresh ledger."""
     return secrets.secret_counts(_table(spark, folder, "documents"), scratch_path(spark, "ledger"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": jaccard.oracle(3, 9, 10),
     "op3_secret_scan": secrets.oracle(),
 }
