@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard, secrets
+from ledgerloom.llm import jaccard, mixing, secrets
 from ledgerloom.session import scratch_path
 
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's raked weight and draw, half of all tokens, tempered margins."""
+    return mixing.document_mix(_table(spark, folder, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles have J >= 0.9."""
     return jaccard.similar_documents(_table(spark, folder, "documents"), 3, 9, 10)
@@ -25,11 +30,13 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mix": mixing.oracle(),
     "op2_jaccard_join": jaccard.oracle(3, 9, 10),
     "op3_secret_scan": secrets.oracle(),
 }
