@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard, mixing, secrets
+from ledgerloom.llm import jaccard, mixing, recompression, secrets
 from ledgerloom.session import scratch_path
 
 
@@ -29,14 +29,21 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_counts(_table(spark, folder, "documents"), scratch_path(spark, "ledger"))
 
 
+def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without words of 20-word windows that also start earlier."""
+    return recompression.removal_digest(_table(spark, folder, "documents"), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
+    "op10_recompression": op10_recompression,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mix": mixing.oracle(),
     "op2_jaccard_join": jaccard.oracle(3, 9, 10),
     "op3_secret_scan": secrets.oracle(),
+    "op10_recompression": recompression.oracle(20),
 }
