@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard, mixing, recompression, secrets
+from ledgerloom.llm import jaccard, lm, mixing, recompression, secrets
 from ledgerloom.session import scratch_path
 
 
@@ -29,6 +29,11 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_counts(_table(spark, folder, "documents"), scratch_path(spark, "ledger"))
 
 
+def op6_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every document."""
+    return lm.corpus_scores(_table(spark, folder, "documents"))
+
+
 def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without words of 20-word windows that also start earlier."""
     return recompression.removal_digest(_table(spark, folder, "documents"), 20)
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
+    "op6_kneser_ney": op6_kneser_ney,
     "op10_recompression": op10_recompression,
 }
 
