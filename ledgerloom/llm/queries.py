@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard, lm, mixing, recompression, secrets
+from ledgerloom.llm import jaccard, lm, mixing, packing, recompression, secrets
 from ledgerloom.session import scratch_path
 
 
@@ -29,6 +30,12 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_counts(_table(spark, folder, "documents"), scratch_path(spark, "ledger"))
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document in sequences of 4096 tokens."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(_table(spark, folder, "documents"), path)
+
+
 def op6_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     """Log probabilities of every document."""
     return lm.corpus_scores(_table(spark, folder, "documents"))
@@ -43,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
+    "op5_packing": op5_packing,
     "op6_kneser_ney": op6_kneser_ney,
     "op10_recompression": op10_recompression,
 }
