@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -21,6 +22,19 @@ _MASK = (1 << 64) - 1
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+def in_batches(texts: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same table, which goes to Python in Arrow batches of fewer rows.
+
+    The default of ten thousand texts holds too much at once. A session with a
+    setting of its own keeps it.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = texts.sparkSession.conf
+    if conf.get(setting) == "10000":
+        conf.set(setting, str(rows))
+    return texts
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = values.astype(np.uint64, copy=True)
@@ -105,9 +119,14 @@ class Splitter:
         ends = np.flatnonzero(last)
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(self.value[data] * self.powers[:size], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * self.inverses[starts])
+        self.sums = sums
+        hashes = self.stretch(starts, ends)
         return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
+    def stretch(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of the bytes split last."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverses[starts])
+
 
 def stretches(texts: pa.Array, limit: int = STRETCH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts as (first row, row after the last, bytes, offsets); null counts as empty."""
