@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard, lm, mixing, packing, recompression, secrets
+from ledgerloom.llm import jaccard, lm, mixing, packing, recompression, secrets, toxicity
 from ledgerloom.session import scratch_path
 
 
@@ -41,6 +41,11 @@ def op6_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return lm.corpus_scores(_table(spark, folder, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.document_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without words of 20-word windows that also start earlier."""
     return recompression.removal_digest(_table(spark, folder, "documents"), 20)
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op5_packing": op5_packing,
     "op6_kneser_ney": op6_kneser_ney,
+    "op8_toxicity": op8_toxicity,
     "op10_recompression": op10_recompression,
 }
 
