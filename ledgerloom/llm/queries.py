@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard, lm, mixing, packing, recompression, secrets, toxicity
+from ledgerloom.llm import jaccard, langid, lm, mixing, packing, recompression, secrets, toxicity
 from ledgerloom.session import scratch_path
 
 
@@ -30,6 +30,11 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_counts(_table(spark, folder, "documents"), scratch_path(spark, "ledger"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return langid.document_languages(_table(spark, folder, "documents"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document in sequences of 4096 tokens."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_kneser_ney": op6_kneser_ney,
     "op8_toxicity": op8_toxicity,
