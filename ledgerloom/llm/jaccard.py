@@ -1,12 +1,14 @@
 """Similar documents by the Jaccard index of their word shingles: a parity-sketch join.
 
-Each distinct shingle flips one bit of a sketch, so the Hamming distance of two
-sketches never exceeds the symmetric difference of the sets. Sets at or above
-the threshold differ in at most d elements, d following from their sizes; a
-sketch of d + 1 blocks of 64 bits therefore has at least one equal block. Each
+Each distinct shingle flips one bit of a very wide, sparse sketch, so the Hamming
+distance of two sketches never exceeds the symmetric difference of the sets. Sets
+at or above the threshold differ in at most d elements, d following from their
+sizes; of d + 1 + m blocks of the sketch at least m + 1 are therefore equal. Each
 size band has its own d, and a document joins its band and those below that
-hold sets similar enough in size. Equal blocks are candidates, and every
-candidate pair is verified on the whole sets.
+hold sets similar enough in size. A block travels as the xor of random codes of
+its set bits. Blocks without elements say nothing and are left out of the join
+unless a document has more than m of them, which keeps the argument exact. Equal
+blocks are candidates, and every candidate pair is verified on the whole sets.
 
 Equal sets become one class first, so copies never meet in a block. Within a
 block the members of lowest rank are compared with the rest, in rounds of
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.words import Splitter, mix, sequence_hash, stretches
+from ledgerloom.llm.words import Splitter, in_batches, mix, sequence_hash, stretches
 from ledgerloom.session import materialise
 
 
@@ -59,7 +61,7 @@ class Shingles:
 
 
 def size_bands(numerator: int, denominator: int, growth: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of the size bands, and the number of sketch blocks of each.
+    """Lower bounds of the size bands, and the most elements by which two linked sets differ in each.
 
     Two sets of J >= n/d, the smaller of them in the band, differ in at most
     (d - n) / (d + n) times the sum of their sizes.
@@ -68,20 +70,17 @@ def size_bands(numerator: int, denominator: int, growth: float = 1.5) -> tuple[n
     while lows[-1] < 1 << 40:
         lows.append(max(lows[-1] + 1, int(np.ceil(lows[-1] * growth))))
     highest = [low - 1 for low in lows[1:]] + [1 << 62]
-    blocks = [
-        (high + high * denominator // numerator)
-        * (denominator - numerator)
-        // (denominator + numerator)
-        + 1
+    apart = [
+        (high + high * denominator // numerator) * (denominator - numerator) // (denominator + numerator)
         for high in highest
     ]
-    return np.array(lows), np.array(blocks, dtype=object)
+    return np.array(lows), apart
 
 
 def block_keys(
-    hashes: np.ndarray, lows: np.ndarray, blocks: np.ndarray, numerator: int, denominator: int
+    hashes: np.ndarray, lows: np.ndarray, apart: list[int], numerator: int, denominator: int
 ) -> np.ndarray:
-    """One key per sketch block, for each band in which the set may have a partner.
+    """The keys of sketch blocks, for each band in which the set may have a partner.
 
     The hashes are sorted, and a block takes an equal share of their range, so
     the parity of a block is one xor over neighbours.
@@ -90,16 +89,18 @@ def block_keys(
     own = int(np.searchsorted(lows, size, side="right")) - 1
     least = int(np.searchsorted(lows, -(-numerator * size // denominator), side="right")) - 1
     keys = []
-    top = hashes >> np.uint64(32)
-    bits = np.uint64(1) << (hashes & np.uint64(63))
+    top, codes = hashes >> np.uint64(32), mix(hashes)
     for band in range(least, own + 1):
-        count = int(blocks[band])
+        spare = -(-apart[band] // 10)
+        count = apart[band] + 1 + spare
         block = (top * np.uint64(count)) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(block, prepend=np.uint64(1 << 63)))
-        parity = np.zeros(count, np.uint64)
-        parity[block[cuts].astype(np.int64)] = np.bitwise_xor.reduceat(bits, cuts)
-        place = np.arange(count, dtype=np.uint64) * np.uint64(64) + np.uint64(band)
-        keys.append(mix(parity + mix(place)))
+        place, parity = block[cuts], np.bitwise_xor.reduceat(codes, cuts)
+        if count - len(cuts) > spare:
+            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place)
+            place = np.concatenate([place, empty])
+            parity = np.concatenate([parity, np.zeros(len(empty), np.uint64)])
+        keys.append(mix(parity + mix(place * np.uint64(64) + np.uint64(band))))
     return np.concatenate(keys)
 
 
@@ -108,7 +109,7 @@ def signatures(docs: DataFrame, width: int, numerator: int, denominator: int) ->
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        lows, blocks = size_bands(numerator, denominator)
+        lows, apart = size_bands(numerator, denominator)
         for batch in batches:
             sizes, low, high, keys, ends = [], [], [], [], [0]
             for hashes in shingles.sets(batch.column(1)):
@@ -116,7 +117,7 @@ def signatures(docs: DataFrame, width: int, numerator: int, denominator: int) ->
                 low.append(int(np.bitwise_xor.reduce(hashes, initial=np.uint64(0))))
                 high.append(int(np.sum(mix(hashes), dtype=np.uint64)))
                 if len(hashes):
-                    keys.append(block_keys(hashes, lows, blocks, numerator, denominator))
+                    keys.append(block_keys(hashes, lows, apart, numerator, denominator))
                 ends.append(ends[-1] + (len(keys[-1]) if len(hashes) else 0))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -132,7 +133,7 @@ def signatures(docs: DataFrame, width: int, numerator: int, denominator: int) ->
                 names=["doc_id", "n", "low", "high", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return in_batches(docs).select("doc_id", "text").mapInArrow(
         sign, "doc_id bigint, n bigint, low bigint, high bigint, keys array<bigint>"
     )
 
@@ -154,7 +155,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "shingles"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(hashes, "doc_id bigint, shingles array<bigint>")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(hashes, "doc_id bigint, shingles array<bigint>")
 
 
 def _overlap(left: Column, right: Column) -> Column:
@@ -203,8 +204,7 @@ def similar_documents(
     )
     wanted = ranked.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(
-        shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width)
-        .dropDuplicates(["doc_id"]),
+        shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width),
         "sets",
     )
     linked = connect(ranked, sets, numerator, denominator)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.arrays import Arrays, find, mapped_folder, save
-from ledgerloom.llm.words import Splitter, mix, stretches
+from ledgerloom.llm.words import Splitter, in_batches, mix, stretches
 from ledgerloom.session import materialise
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
@@ -180,7 +180,7 @@ def count_words(train: DataFrame, folder: str, parts: int) -> Model:
         return pa.table({"part": pa.array([part], pa.int32()), "words": [len(keys)], "tokens": [int(counts.sum())]})
 
     sizes = (
-        train.select("text")
+        in_batches(train).select("text")
         .mapInArrow(emit, BLOCKS)
         .groupBy("part")
         .applyInArrow(merge, "part int, words bigint, tokens bigint")
@@ -379,7 +379,7 @@ def score_texts(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
     kept = docs.select(*carried, F.col("text").alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema)
     names = [*carried, *(field.split()[0] for field in SCORES.split(", "))]
-    return kept.mapInArrow(score, f"{types}, {SCORES}")
+    return in_batches(kept).mapInArrow(score, f"{types}, {SCORES}")
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:

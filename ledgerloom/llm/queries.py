@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import jaccard, langid, lm, mixing, packing, recompression, secrets, toxicity
+from ledgerloom.llm import jaccard, langid, lm, mixing, packing, rangejoin, recompression, secrets, toxicity
 from ledgerloom.session import scratch_path
 
 
@@ -51,6 +51,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.document_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op9_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings with cosine >= 0.9."""
+    return rangejoin.near_vectors(_table(spark, folder, "embeddings"), 0.9)
+
+
 def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without words of 20-word windows that also start earlier."""
     return recompression.removal_digest(_table(spark, folder, "documents"), 20)
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_kneser_ney": op6_kneser_ney,
     "op8_toxicity": op8_toxicity,
+    "op9_range_join": op9_range_join,
     "op10_recompression": op10_recompression,
 }
 
@@ -71,5 +77,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_source_mix": mixing.oracle(),
     "op2_jaccard_join": jaccard.oracle(3, 9, 10),
     "op3_secret_scan": secrets.oracle(),
+    "op9_range_join": rangejoin.oracle(0.9),
     "op10_recompression": recompression.oracle(20),
 }

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import Splitter, mix, row_of, stretches
+from ledgerloom.llm.words import Splitter, in_batches, mix, row_of, stretches
 from ledgerloom.session import materialise
 
 ROUNDS = 3
@@ -226,7 +226,7 @@ def symbol_rows(docs: DataFrame, width: int) -> DataFrame:
                     names=["name", "whole", "doc_id", "span"],
                 )
 
-    return docs.mapInArrow(emit, "name bigint, whole bigint, doc_id bigint, span bigint")
+    return in_batches(docs).mapInArrow(emit, "name bigint, whole bigint, doc_id bigint, span bigint")
 
 
 def window_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -258,7 +258,7 @@ def window_rows(docs: DataFrame, width: int) -> DataFrame:
                     names=["window", "doc_id", "start"],
                 )
 
-    return docs.mapInArrow(emit, "window bigint, doc_id bigint, start bigint")
+    return in_batches(docs).mapInArrow(emit, "window bigint, doc_id bigint, start bigint")
 
 
 def _covered(spans: np.ndarray, size: int, reach: int) -> np.ndarray:
@@ -274,29 +274,27 @@ def _covered(spans: np.ndarray, size: int, reach: int) -> np.ndarray:
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, spans): runs of windows whose words also start earlier."""
     known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    # One exchange serves the count per symbol and the join with its result.
-    rows = symbol_rows(known, width).repartition("name")
-    stats = rows.groupBy("name").agg(
-        F.count("*").alias("n"), (F.min("whole") == F.max("whole")).alias("same")
-    )
+    symbol = Window.partitionBy("name")
     shared = materialise(
-        rows.join(stats.filter("n > 1"), "name").select("name", "doc_id", "span", "same"), "shared"
+        symbol_rows(known, width)
+        .withColumn("same", F.min("whole").over(symbol) == F.max("whole").over(symbol))
+        .withColumn("n", F.count("*").over(symbol))
+        .withColumn("turn", F.row_number().over(symbol.orderBy("doc_id", "span")))
+        .filter("n > 1")
+        .select("doc_id", "span", "same", "turn"),
+        "shared",
     )
-    copies = shared.filter("same")
-    first = copies.groupBy("name").agg(F.min(F.struct("doc_id", "span")).alias("first"))
-    later = copies.join(first, "name").filter(
-        F.struct("doc_id", "span") != F.col("first")
-    ).select("doc_id", "span")
+    later = shared.filter("same AND turn > 1").select("doc_id", "span")
 
     unsure = shared.filter("NOT same").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     checked = known.join(unsure, "doc_id").select("doc_id", "text", "spans")
-    windows = window_rows(checked, width).repartition("window")
-    counts = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1")
-    twice = materialise(windows.join(counts, "window").select("window", "doc_id", "start"), "windows")
-    earliest = twice.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    single = twice.join(earliest, "window").filter(
-        F.struct("doc_id", "start") != F.col("first")
-    ).select("doc_id", (F.col("start") * (1 << 32) + F.col("start")).alias("span"))
+    window = Window.partitionBy("window").orderBy("doc_id", "start")
+    single = (
+        window_rows(checked, width)
+        .withColumn("turn", F.row_number().over(window))
+        .filter("turn > 1")
+        .select("doc_id", (F.col("start") * (1 << 32) + F.col("start")).alias("span"))
+    )
     return later.unionByName(single).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
@@ -330,7 +328,7 @@ def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
                 )
 
     return (
-        docs.select("doc_id", "text")
+        in_batches(docs).select("doc_id", "text")
         .join(repeated_spans(docs, width), "doc_id", "left")
         .select("doc_id", "text", "spans")
         .mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
