@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import jaccard, langid, lm, mixing, packing, rangejoin, recompression, secrets, toxicity
+from ledgerloom.llm import ann, jaccard, langid, lm, mixing, packing, rangejoin, recompression, secrets, toxicity
 from ledgerloom.session import scratch_path
 
 
@@ -46,6 +47,11 @@ def op6_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return lm.corpus_scores(_table(spark, folder, "documents"))
 
 
+def op7_dimension_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every embedding whose id is divisible by 20."""
+    return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.document_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_kneser_ney": op6_kneser_ney,
+    "op7_dimension_scan": op7_dimension_scan,
     "op8_toxicity": op8_toxicity,
     "op9_range_join": op9_range_join,
     "op10_recompression": op10_recompression,
