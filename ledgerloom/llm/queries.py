@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import ann, jaccard, langid, lm, mixing, packing, rangejoin, recompression, secrets, toxicity
 from ledgerloom.session import scratch_path
 
@@ -78,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_range_join": op9_range_join,
     "op10_recompression": op10_recompression,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,3 +89,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_range_join": rangejoin.oracle(0.9),
     "op10_recompression": recompression.oracle(20),
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
