@@ -13,7 +13,7 @@ MONEY = "decimal(18,4)"
 # Room for totals that are summed again, and for means of any feature.
 TOTAL = "decimal(28,4)"
 FEATURE = "decimal(28,10)"
-# Wide enough to hold any metric while removing binary noise before rounding.
+# Removes binary noise before rounding; a double beyond it has no digits to round.
 ROUNDING = "decimal(38,14)"
 # Buckets per factor e in order_bucket: neighbouring buckets are 0.025 % apart.
 BUCKETS_PER_E = 4096
@@ -35,12 +35,12 @@ def days_between(start: Column, end: Column) -> Column:
 
 def half_even(value: Column, digits: int) -> Column:
     """Round to the nearest even neighbour, as data-frame libraries do."""
-    return F.bround(value.cast(ROUNDING), digits).cast("double")
+    return F.coalesce(F.bround(value.try_cast(ROUNDING), digits).cast("double"), value.cast("double"))
 
 
 def half_up(value: Column, digits: int) -> Column:
     """Round half away from zero, as SQL ROUND does."""
-    return F.round(value.cast(ROUNDING), digits).cast("double")
+    return F.coalesce(F.round(value.try_cast(ROUNDING), digits).cast("double"), value.cast("double"))
 
 
 def percent(part: Column, whole: Column) -> Column:

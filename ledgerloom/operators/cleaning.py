@@ -7,15 +7,24 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import line_total
 
+# The columns a sale must have.
 REQUIRED = ["CustomerID", "InvoiceNo", "StockCode", "InvoiceDate"]
 
 
-def _whole_number(number: Column) -> Column:
-    """The text of an id that may have been read as a decimal: 17850.0 is 17850."""
-    return F.substring_index(number.cast("string"), ".", 1).cast("bigint").cast("string")
+def _whole_number(number: Column, kind: T.DataType) -> Column:
+    """The text of an id that may have been read as a number: 17850.0 and 1.785E4 are 17850.
+
+    An id that is no number at all, or not a number in the floating sense, is null.
+    """
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        number = F.when(~F.isnan(number), number)
+    elif isinstance(kind, T.StringType):
+        number = number.try_cast("decimal(38,10)")
+    return number.cast("bigint").cast("string")
 
 
 def clean_transactions(transactions: DataFrame) -> DataFrame:
@@ -25,10 +34,14 @@ def clean_transactions(transactions: DataFrame) -> DataFrame:
     drop-nulls call would become one expression that no file reader can use.
     """
     known = reduce(and_, [F.col(name).isNotNull() for name in REQUIRED])
-    return (
+    customer = transactions.schema["CustomerID"].dataType
+    cleaned = (
         transactions.filter(known)
         .filter(~F.startswith("InvoiceNo", F.lit("C")))
         .filter((F.col("Quantity") > 0) & (F.col("UnitPrice") > 0))
-        .withColumn("CustomerID", _whole_number(F.col("CustomerID")))
+        .withColumn("CustomerID", _whole_number(F.col("CustomerID"), customer))
         .withColumn("TotalPrice", line_total(F.col("Quantity"), F.col("UnitPrice")))
     )
+    if isinstance(customer, (T.DoubleType, T.FloatType, T.StringType)):
+        cleaned = cleaned.filter(F.col("CustomerID").isNotNull())
+    return cleaned

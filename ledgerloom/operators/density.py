@@ -8,7 +8,6 @@ third of all points is one counted row, and no two points are ever paired.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,35 +20,30 @@ NOISE = -1
 
 
 def cell_id(coordinates: Sequence[str], eps: float) -> Column:
-    """The cell of a point as one integer, in which neighbours differ by constants."""
-    bits = 62 // len(coordinates)
-    half = 1 << (bits - 1)
-    parts = []
-    for axis, name in enumerate(coordinates):
-        index = F.floor(F.col(name) / F.lit(float(eps)))
-        safe = F.when(F.abs(index) < half - 1, index).otherwise(
-            F.raise_error(F.lit(f"{name} is too many cells from the origin; raise eps"))
-        )
-        parts.append((safe + half) * F.lit(1 << (bits * axis)))
-    return reduce(Column.__add__, parts).cast("bigint")
-
-
-def _steps(dimensions: int) -> list[int]:
-    """Differences between a cell's id and those of its whole 3^d block."""
-    bits = 62 // dimensions
-    return [
-        sum(move * (1 << (bits * axis)) for axis, move in enumerate(moves))
-        for moves in product((-1, 0, 1), repeat=dimensions)
-    ]
+    """The cell of a point: its whole steps along each axis, the last axis first."""
+    return F.struct(
+        *[
+            F.floor(F.col(name) / F.lit(float(eps))).cast("bigint").alias(f"g{axis}")
+            for axis, name in reversed(list(enumerate(coordinates)))
+        ]
+    )
 
 
 def _block(cells: DataFrame, dimensions: int) -> DataFrame:
-    """Each cell beside the ids of its block, itself included."""
-    steps = F.array([F.lit(step).cast("bigint") for step in _steps(dimensions)])
-    return cells.withColumn(
-        "near", F.explode(F.transform(steps, lambda step: F.col("cell") + step))
+    """Each cell beside those of its 3^d block, itself included."""
+    names = [f"g{axis}" for axis in reversed(range(dimensions))]
+    moves = F.array(
+        *[
+            F.struct(*[F.lit(move).cast("bigint").alias(name) for name, move in zip(names, step)])
+            for step in product((-1, 0, 1), repeat=dimensions)
+        ]
     )
 
+    def moved(step: Column) -> Column:
+        return F.struct(*[(F.col("cell")[name] + step[name]).alias(name) for name in names])
+
+    return cells.withColumn("near", F.explode(F.transform(moves, moved)))
+
 
 def core_cells(
     points: DataFrame, coordinates: Sequence[str], eps: float, min_points: int = 5
@@ -75,7 +69,7 @@ def core_cells(
     )
 
 
-def _components(core: DataFrame, dimensions: int, max_rounds: int = 200) -> DataFrame:
+def _components(core: DataFrame, dimensions: int) -> DataFrame:
     """The smallest cell id of each cell's connected component: (cell, root).
 
     Every round takes the smallest root among neighbours and then the root of
@@ -87,7 +81,7 @@ def _components(core: DataFrame, dimensions: int, max_rounds: int = 200) -> Data
         _block(ids, dimensions).join(ids.select(F.col("cell").alias("near")), "near"), "edges"
     )
     roots = ids.withColumn("root", F.col("cell"))
-    for _ in range(max_rounds):
+    while True:
         lowest = (
             edges.join(roots.select(F.col("cell").alias("near"), "root"), "near")
             .groupBy("cell")
@@ -103,7 +97,6 @@ def _components(core: DataFrame, dimensions: int, max_rounds: int = 200) -> Data
         roots = moved.select("cell", "root")
         if moved.filter("moved").isEmpty():
             return roots
-    raise RuntimeError(f"components still changing after {max_rounds} rounds")
 
 
 def density_clusters(
@@ -149,9 +142,9 @@ def density_clusters(
 
 
 def density_silhouette(
-    labelled: DataFrame, coordinates: Sequence[str], label: str = "cluster", sample_size: int = 2000
+    labelled: DataFrame, coordinates: Sequence[str], label: str = "cluster"
 ) -> DataFrame:
     """One row: the silhouette without noise, null unless two clusters exist."""
     kept = labelled.filter(F.col(label) != NOISE)
-    score = silhouettes(kept, coordinates, [label], sample_size)
+    score = silhouettes(kept, coordinates, [label])
     return score.agg(F.max("silhouette").alias("silhouette"))

@@ -57,7 +57,7 @@ def average_won_deal(pipeline: DataFrame) -> DataFrame:
 def active_pipeline(pipeline: DataFrame) -> DataFrame:
     """Opportunities neither won nor lost."""
     return pipeline.agg(
-        F.count_if(~F.col("deal_stage").isin(WON, LOST)).alias("active_opportunities")
+        F.count_if(~F.coalesce("deal_stage", F.lit("")).isin(WON, LOST)).alias("active_opportunities")
     )
 
 

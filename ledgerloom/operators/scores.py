@@ -1,86 +1,63 @@
-"""Cluster quality scores."""
+"""Cluster quality scores, of several labellings in one pass each."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def silhouettes(
-    labelled: DataFrame,
-    coordinates: Sequence[str],
-    labels: Sequence[str],
-    sample_size: int = 2000,
-    key: str = "CustomerID",
-) -> DataFrame:
-    """Mean Euclidean silhouette of several labellings: (label_column, silhouette).
+def _long(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(x, label_column, cluster): every point once per labelling."""
+    named = F.array(
+        *[F.struct(F.lit(label).alias("label_column"), F.col(label).alias("cluster")) for label in labels]
+    )
+    point = F.array(*[F.col(name).cast("double") for name in coordinates])
+    return labelled.select(point.alias("x"), F.explode(named).alias("mine")).select("x", "mine.*")
+
+
+def _dot(left: Column, right: Column) -> Column:
+    products = F.zip_with(left, right, lambda x, y: x * y)
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
 
-    The distances of a point run over *all* points. The mean is taken over the
-    ``sample_size`` points with the smallest key digests, so the score is exact
-    up to that many points and the work stays linear beyond. Each task turns its
-    points into one partial sum per sampled point and cluster; only those meet.
+def silhouettes(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Mean silhouette of several labellings over all points: (label_column, silhouette).
+
+    Distances are squared Euclidean, so a cluster's count, sum and sum of squares
+    give the summed distances of a point to all its members in closed form. One
+    pass sums the clusters and one scores the points. The sums hold one row per
+    cluster, so a label column must have few values.
     """
-    columns = [*coordinates, *labels]
-    # Bounded by sample_size rows.
-    sample = labelled.orderBy(F.md5(F.col(key).cast("string"))).limit(sample_size)
-    rows = sample.select(*columns).toPandas()
-    centre = rows[list(coordinates)].to_numpy(float)
-    own = {label: rows[label].to_numpy() for label in labels}
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, int], np.ndarray] = {}
-        sizes: dict[tuple[str, int], int] = {}
-        for batch in batches:
-            points = batch[list(coordinates)].to_numpy(float)
-            for begin in range(0, len(points), 1024):
-                part = points[begin : begin + 1024]
-                gap = np.zeros((len(centre), len(part)))
-                for axis in range(part.shape[1]):
-                    gap += (centre[:, axis, None] - part[None, :, axis]) ** 2
-                distance = np.sqrt(gap)
-                for label in labels:
-                    values = batch[label].to_numpy()[begin : begin + 1024]
-                    for cluster in np.unique(values):
-                        slot, member = (label, int(cluster)), values == cluster
-                        sums[slot] = sums.get(slot, 0) + distance[:, member].sum(axis=1)
-                        sizes[slot] = sizes.get(slot, 0) + int(member.sum())
-        for (label, cluster), total in sums.items():
-            yield pd.DataFrame(
-                {
-                    "label_column": label,
-                    "sampled": np.arange(len(total), dtype="int32"),
-                    "own": own[label].astype("int32"),
-                    "cluster": np.int32(cluster),
-                    "distance": total,
-                    "points": np.int64(sizes[label, cluster]),
-                }
-            )
-
-    schema = (
-        "label_column string, sampled int, own int, cluster int, distance double, points bigint"
-    )
-    totals = (
-        labelled.select(*columns)
-        .mapInPandas(partial, schema)
-        .groupBy("label_column", "sampled", "own", "cluster")
-        .agg(F.sum("distance").alias("distance"), F.sum("points").alias("points"))
-    )
-    mine = F.col("cluster") == F.col("own")
-    per_point = totals.groupBy("label_column", "sampled").agg(
-        F.max(F.when(mine, F.col("points"))).alias("size"),
-        F.max(F.when(mine, F.try_divide(F.col("distance"), F.col("points") - 1))).alias("a"),
-        F.min(F.when(~mine, F.col("distance") / F.col("points"))).alias("b"),
+    points = _long(labelled, coordinates, labels)
+    clusters = (
+        points.groupBy("label_column", "cluster")
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
+            F.array(*[F.sum(F.col("x")[i]) for i in range(len(coordinates))]).alias("sum"),
+            F.sum(_dot(F.col("x"), F.col("x"))).alias("squares"),
+        )
+        .groupBy("label_column")
+        .agg(F.collect_list(F.struct("cluster", "n", "sum", "squares")).alias("all"))
     )
-    apart = F.coalesce(
-        F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)
+
+    def total(one: Column) -> Column:
+        gap = one["n"] * _dot(F.col("x"), F.col("x")) - 2 * _dot(F.col("x"), one["sum"]) + one["squares"]
+        return F.greatest(gap, F.lit(0.0))  # rounding may leave a tiny negative
+
+    own = F.element_at(F.filter("all", lambda one: one["cluster"] == F.col("cluster")), 1)
+    others = F.filter("all", lambda one: one["cluster"] != F.col("cluster"))
+    scored = points.join(F.broadcast(clusters), "label_column").select(
+        "label_column",
+        own["n"].alias("size"),
+        F.try_divide(total(own), own["n"] - 1).alias("a"),
+        F.array_min(F.transform(others, lambda one: total(one) / one["n"])).alias("b"),
     )
+    apart = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     score = F.when(F.col("size") == 1, F.lit(0.0)).otherwise(apart)
     # With a single cluster there is no score.
-    return per_point.groupBy("label_column").agg(
+    return scored.groupBy("label_column").agg(
         F.when(F.count("b") > 0, F.avg(score)).alias("silhouette")
     )
 
@@ -91,26 +68,26 @@ def _distance(left: Column, right: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
 
 
-def davies_bouldin(labelled: DataFrame, coordinates: Sequence[str], label: str) -> DataFrame:
-    """One row: the Davies-Bouldin index of a labelling.
+def davies_bouldins(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """The Davies-Bouldin index of several labellings: (label_column, davies_bouldin).
 
     Centres and spreads are one row per cluster; their comparison happens inside
-    one array of that many entries.
+    one array of that many entries per labelling.
     """
-    point = F.array(*[F.col(name) for name in coordinates])
-    centres = labelled.groupBy(label).agg(
-        F.array(*[F.avg(name) for name in coordinates]).alias("centre")
+    points = _long(labelled, coordinates, labels)
+    centres = points.groupBy("label_column", "cluster").agg(
+        F.array(*[F.avg(F.col("x")[i]) for i in range(len(coordinates))]).alias("centre")
     )
-    spreads = (
-        labelled.select(F.col(label), point.alias("location"))
-        .join(F.broadcast(centres), label)
-        .groupBy(label, "centre")
-        .agg(F.avg(_distance(F.col("location"), F.col("centre"))).alias("spread"))
+    clusters = (
+        points.join(F.broadcast(centres), ["label_column", "cluster"])
+        .groupBy("label_column", "cluster", "centre")
+        .agg(F.avg(_distance(F.col("x"), F.col("centre"))).alias("spread"))
+        .groupBy("label_column")
+        .agg(F.collect_list(F.struct("cluster", "centre", "spread")).alias("all"))
     )
-    clusters = spreads.agg(F.collect_list(F.struct(label, "centre", "spread")).alias("all"))
 
     def worst(this: Column) -> Column:
-        others = F.filter("all", lambda other: other[label] != this[label])
+        others = F.filter("all", lambda other: other["cluster"] != this["cluster"])
         ratios = F.transform(
             others,
             lambda other: F.try_divide(
@@ -120,4 +97,9 @@ def davies_bouldin(labelled: DataFrame, coordinates: Sequence[str], label: str)
         return F.coalesce(F.array_max(ratios), F.lit(0.0))
 
     total = F.aggregate(F.transform("all", worst), F.lit(0.0), lambda total, x: total + x)
-    return clusters.select(F.try_divide(total, F.size("all")).alias("davies_bouldin"))
+    return clusters.select("label_column", F.try_divide(total, F.size("all")).alias("davies_bouldin"))
+
+
+def davies_bouldin(labelled: DataFrame, coordinates: Sequence[str], label: str) -> DataFrame:
+    """One row: the Davies-Bouldin index of a labelling."""
+    return davies_bouldins(labelled, coordinates, [label]).select("davies_bouldin")

@@ -15,7 +15,7 @@ from ledgerloom.functions import half_even
 from ledgerloom.functions.columns import FEATURE
 from ledgerloom.operators.customers import log_features
 from ledgerloom.operators.scaling import assemble, standardise
-from ledgerloom.operators.scores import davies_bouldin, silhouettes
+from ledgerloom.operators.scores import davies_bouldins, silhouettes
 from ledgerloom.session import materialise
 
 
@@ -51,7 +51,7 @@ def fit_kmeans(
     def fit(job: tuple[int, int]) -> KMeansModel:
         k, start = job
         return KMeans(
-            k=k, seed=seed + start, featuresCol="point", predictionCol=f"cluster_{k}", maxIter=50
+            k=k, seed=seed + start, featuresCol="point", predictionCol=f"cluster_{k}", maxIter=300, tol=0.0
         ).fit(space)
 
     jobs = [(k, start) for k in ks for start in range(starts)]
@@ -88,13 +88,12 @@ def kmeans_sweep(
     method: str,
     ks: Sequence[int] = range(2, 9),
     starts: int = 10,
-    sample_size: int = 2000,
 ) -> DataFrame:
     """Silhouette and Davies-Bouldin score of the best k-means model for each k."""
     models = fit_kmeans(points, list(ks), starts)
     labelled = reduce(lambda frame, model: model.transform(frame), models.values(), points)
     labels = {k: f"cluster_{k}" for k in models}
-    return score_labels(labelled, coordinates, labels, method, sample_size)
+    return score_labels(labelled, coordinates, labels, method)
 
 
 def score_labels(
@@ -102,17 +101,10 @@ def score_labels(
     coordinates: Sequence[str],
     labels: dict[int, str],
     method: str,
-    sample_size: int = 2000,
 ) -> DataFrame:
     """One row per labelling: (Method, Clusters, SilhouetteScore, DaviesBouldinIndex)."""
-    index = reduce(
-        DataFrame.unionByName,
-        [
-            davies_bouldin(labelled, coordinates, label).withColumn("label_column", F.lit(label))
-            for label in labels.values()
-        ],
-    )
-    silhouette = silhouettes(labelled, coordinates, list(labels.values()), sample_size)
+    index = davies_bouldins(labelled, coordinates, list(labels.values()))
+    silhouette = silhouettes(labelled, coordinates, list(labels.values()))
     clusters = reduce(
         lambda rest, item: F.when(F.col("label_column") == item[1], item[0]).otherwise(rest),
         labels.items(),

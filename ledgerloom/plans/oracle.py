@@ -427,11 +427,10 @@ DESIGN_SUMS = ", ".join(
 
 for _parts in (2, 3, 4):
     CTES[f"space{_parts}"] = f"SELECT s.*, segment FROM scaled s JOIN seg{_parts} USING (CustomerID)"
-CTES["sampled"] = "SELECT * FROM scaled ORDER BY md5(CustomerID) LIMIT 2000"
 CTES["distances"] = """
     SELECT s.CustomerID AS a, p.CustomerID AS b,
-           sqrt((s.x0 - p.x0) ** 2 + (s.x1 - p.x1) ** 2 + (s.x2 - p.x2) ** 2) AS d
-    FROM sampled s JOIN scaled p ON true"""
+           (s.x0 - p.x0) ** 2 + (s.x1 - p.x1) ** 2 + (s.x2 - p.x2) ** 2 AS d
+    FROM scaled s JOIN scaled p ON true"""
 
 
 def _silhouette(labels: str) -> str:
@@ -497,8 +496,6 @@ CTES |= {
         LEFT JOIN group_label USING (root)""",
     "dense_features": "SELECT * FROM base JOIN dense USING (CustomerID)",
     "dense_kept": "SELECT CustomerID, cluster AS segment FROM dense WHERE cluster >= 0",
-    "dense_sampled": """
-        SELECT * FROM scaled JOIN dense_kept USING (CustomerID) ORDER BY md5(CustomerID) LIMIT 2000""",
     "covariance": "SELECT " + ", ".join(
         f"covar_pop(x{i}, x{j}) AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM scaled",
 }
@@ -659,7 +656,7 @@ def statements() -> dict[str, str]:
             SELECT {up("CAST(sum(CAST(close_value AS DECIMAL(18,4))) AS DOUBLE) / count(close_value)", 2)}
                    AS avg_won_deal FROM sales_pipeline WHERE deal_stage = 'Won'""",
         "active_pipeline": """
-            SELECT count(*) FILTER (deal_stage NOT IN ('Won', 'Lost')) AS active_opportunities
+            SELECT count(*) FILTER (coalesce(deal_stage, '') NOT IN ('Won', 'Lost')) AS active_opportunities
             FROM sales_pipeline""",
         "revenue_by_sector": f"""
             SELECT a.sector, {_won("sp.close_value")} AS revenue
@@ -783,11 +780,7 @@ def statements() -> dict[str, str]:
         "density_silhouette": "SELECT "
         + even("s", 3)
         + " AS silhouette FROM ("
-        + _silhouette("dense_kept").replace(
-            "FROM distances d",
-            "FROM (SELECT s.CustomerID AS a, p.CustomerID AS b, sqrt((s.x0 - p.x0) ** 2 "
-            "+ (s.x1 - p.x1) ** 2 + (s.x2 - p.x2) ** 2) AS d FROM dense_sampled s JOIN scaled p ON true) d",
-        )
+        + _silhouette("dense_kept")
         + ")",
         "pca_projection": f"""
             SELECT CustomerID, Monetary,

@@ -53,8 +53,6 @@ HISTOGRAM_BINS = {
     "ProductDiversity": 75,
     "AvgPurchaseValue": 75,
 }
-# Seeded k-means starts per k; the operators themselves default to ten.
-STARTS = 4
 
 QUERIES: dict[str, Query] = {}
 
@@ -580,33 +578,33 @@ def best_k(run: Inputs) -> DataFrame:
 
 @query
 def kmeans_sweep(run: Inputs) -> DataFrame:
-    return segments.kmeans_sweep(run.rfm_points(), RFM_SCALED, "KMeans_RFM", starts=STARTS)
+    return segments.kmeans_sweep(run.rfm_points(), RFM_SCALED, "KMeans_RFM")
 
 
 @query
 def kmeans_sweep_extended(run: Inputs) -> DataFrame:
     points = segments.model_space(run.feature_table, customers.EXTENDED)
     return segments.kmeans_sweep(
-        points, EXTENDED_SCALED, "KMeans_ExtendedFeatures", starts=STARTS
+        points, EXTENDED_SCALED, "KMeans_ExtendedFeatures"
     )
 
 
 @query
 def segment_customers(run: Inputs) -> DataFrame:
-    labelled = segments.segment_customers(run.rfm_points(), (3, 4), STARTS)
+    labelled = segments.segment_customers(run.rfm_points(), (3, 4))
     return labelled.select("CustomerID", *customers.RFM, "cluster_3", "cluster_4")
 
 
 @query
 def segment_summary(run: Inputs) -> DataFrame:
-    labelled = segments.segment_customers(run.rfm_points(), (3,), STARTS)
+    labelled = segments.segment_customers(run.rfm_points(), (3,))
     return segments.cluster_summary(labelled, "cluster_3", customers.RFM)
 
 
 @query
 def segment_without_outliers(run: Inputs) -> DataFrame:
     points = run.rfm_points(quality.without_outliers(run.rfm_table, "Monetary"))
-    return segments.kmeans_sweep(points, RFM_SCALED, "KMeans_Filtered", [2], STARTS)
+    return segments.kmeans_sweep(points, RFM_SCALED, "KMeans_Filtered", [2])
 
 
 @query

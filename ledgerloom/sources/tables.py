@@ -22,18 +22,6 @@ def star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.STAR_TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Distribute a table that lies in fewer files than the session has cores.
-
-    A single small file is read by a single task, and so would be everything up
-    to the first shuffle. A table in many files is left as it is.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if len(frame.inputFiles()) >= cores:
-        return frame
-    return frame.repartition(cores, key)
-
-
 def flatten_arrays(frame: DataFrame, separator: str = ", ") -> DataFrame:
     """Join array columns to sorted text, since text formats have no arrays."""
     arrays = {

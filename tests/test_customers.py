@@ -147,3 +147,14 @@ def test_ids_read_as_decimals_and_csv_input(spark, tmp_path):
     clean = clean_transactions(load_transactions(spark, str(tmp_path / "tx.csv"), "csv"))
     row = clean.select("CustomerID", "TotalPrice").distinct().collect()
     assert [(r.CustomerID, float(r.TotalPrice)) for r in row] == [("17850", 3.0)]
+
+
+def test_ids_read_as_numbers_of_any_size(spark):
+    base = sales(rows=8, seed=9).assign(Quantity=2, UnitPrice=1.5, InvoiceNo="1")
+    ids = [12345678.0, 12999999.0, 17850.0, float("nan"), 1e15, 5.0, 6.0, 7.0]
+    doubles = spark.createDataFrame(base.assign(CustomerID=ids))
+    got = {row.CustomerID for row in clean_transactions(doubles).collect()}
+    assert got == {"12345678", "12999999", "17850", "1000000000000000", "5", "6", "7"}
+    texts = ["1.2345678E7", "17850.0", "17850", "abc", "12", "13", "14", "15"]
+    found = {row.CustomerID for row in clean_transactions(spark.createDataFrame(base.assign(CustomerID=texts))).collect()}
+    assert found == {"12345678", "17850", "12", "13", "14", "15"}

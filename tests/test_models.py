@@ -76,7 +76,7 @@ def blobs(spark):
 
 
 def _silhouette(points, labels):
-    distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    distance = ((points[:, None] - points[None]) ** 2).sum(-1)
     values = []
     for i, own in enumerate(labels):
         same = labels == own
@@ -242,3 +242,44 @@ def test_support_bound_is_exact(spark):
     items = spark.createDataFrame(rows, "segment int, InvoiceNo string, item string")
     got = {tuple(r["items"]): r.freq for r in baskets.frequent_itemsets(items).collect()}
     assert got == {("x",): 7, ("y",): 350, ("x", "y"): 7}
+
+
+def test_density_chain_longer_than_any_round_limit(spark):
+    rows = [(str(i), float(i // 5), 0.0) for i in range(5 * 260)] + [("far", 1e6, -1e6)]
+    frame = spark.createDataFrame(rows, "CustomerID string, x double, y double")
+    labels = {r.CustomerID: r.cluster for r in density.density_clusters(frame, ["x", "y"], 1.0).collect()}
+    assert {labels[str(i)] for i in range(5 * 260)} == {0} and labels["far"] == density.NOISE
+
+
+def test_metrics_of_a_zero_actual_with_a_large_error(spark):
+    from ledgerloom.operators.regression import regression_metrics
+
+    frame = spark.createDataFrame([(0.0, 5e8), (1.0, 2.0)], "actual double, predicted double")
+    assert regression_metrics(frame).first().MAPE > 1e24
+
+
+def test_forecast_runs_where_workers_cannot_import_the_package(tmp_path):
+    import subprocess
+    import sys
+    import textwrap
+    from pathlib import Path
+
+    script = tmp_path / "job.py"
+    script.write_text(
+        textwrap.dedent(
+            f"""
+            import sys
+            sys.path.insert(0, {str(Path(__file__).parent.parent)!r})
+            from datetime import date, timedelta
+            from ledgerloom.operators.forecast import arima_forecast
+            from ledgerloom.session import build_session
+            sys.path.pop(0)
+            spark = build_session("foreign", "local[2]", **{{"spark.ui.enabled": "false"}})
+            rows = [("a", date(2020, 1, 1) + timedelta(days=i), float(i % 7 + i)) for i in range(60)]
+            train = spark.createDataFrame(rows, "series string, Date date, Sales double")
+            print("ROWS", arima_forecast(train).count())
+            """
+        )
+    )
+    run = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS 7" in run.stdout, run.stderr[-2000:]

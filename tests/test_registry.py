@@ -7,12 +7,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-import __spark_entry__ as entry_points
+from ledgerloom.plans import oracle, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["nation", "customer", "part", "orders", "lineitem"]
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = dict(registry.QUERIES)
+ORACLE = oracle.oracle_sql()
 # k-means labels depend on seeded starts, which SQL cannot repeat.
 ROWS_ONLY = {
     "kmeans_sweep",
