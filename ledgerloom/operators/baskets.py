@@ -11,7 +11,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import half_even
@@ -110,12 +110,19 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
     compares products of counts, not rounded quotients.
     """
     size = F.size("items")
+
+    def masks(bits: Column) -> Column:
+        """All numbers of so many bits."""
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), (F.pow(F.lit(2.0), bits) - 1).cast("bigint")))
+
+    # Two halves of the subset's mask, so that no row holds an array of all subsets.
+    half = F.floor(size / 2).cast("int")
     splits = (
         itemsets.filter(size >= 2)
-        .withColumn(
-            "mask",
-            F.explode(F.sequence(F.lit(1).cast("bigint"), (F.pow(F.lit(2.0), size) - 2).cast("bigint"))),
-        )
+        .withColumn("low", masks(half))
+        .withColumn("high", masks(size - half))
+        .withColumn("mask", F.col("low") + F.col("high") * F.pow(F.lit(2.0), half).cast("bigint"))
+        .filter((F.col("mask") > 0) & (F.col("mask") < F.pow(F.lit(2.0), size).cast("bigint") - 1))
         .select(
             "segment",
             F.filter("items", lambda _, i: F.getbit("mask", i) == 1).alias("antecedents"),

@@ -39,7 +39,8 @@ def normal_sums(frame: DataFrame, target: str, predictors: Sequence[str]) -> Dat
 
     return frame.groupBy(SERIES).agg(
         F.count_if(complete).alias("rows"),
-        F.array(*[total(x, y) for x in predictors for y in predictors]).alias("xtx"),
+        # Equal products are one sum, so only half of the symmetric matrix is added up.
+        F.array(*[total(*sorted((x, y))) for x in predictors for y in predictors]).alias("xtx"),
         F.array(*[total(x, target) for x in predictors]).alias("xty"),
     )
 

@@ -24,6 +24,25 @@ def long_form(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _bucketed(counts: DataFrame, steps: int = 1 << 16) -> DataFrame:
+    """Add the bucket of each value, by its size and by its place in the feature's range.
+
+    Both parts grow with the value. Heavy-tailed columns spread by the first,
+    narrow ones far from zero by the second.
+    """
+    # One row per feature.
+    ranges = counts.groupBy("feature").agg(
+        F.min("value").alias("_low"), (F.max("value") - F.min("value")).alias("_width")
+    )
+    place = F.try_divide(F.col("value") - F.col("_low"), F.col("_width"))
+    linear = F.coalesce(F.floor(F.when(F.abs("_width") < float("inf"), place) * (steps - 1)), F.lit(0))
+    return (
+        counts.join(F.broadcast(ranges), "feature")
+        .withColumn("bucket", order_bucket(F.col("value")).cast("bigint") * steps + linear)
+        .drop("_low", "_width")
+    )
+
+
 def exact_quantiles(
     frame: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
@@ -32,8 +51,8 @@ def exact_quantiles(
         long_form(frame, columns)
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("bucket", order_bucket(F.col("value")))
     )
+    counts = _bucketed(counts)
     running = Window.partitionBy("feature").orderBy("bucket")
     buckets = (
         counts.groupBy("feature", "bucket")

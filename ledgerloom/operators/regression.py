@@ -39,8 +39,19 @@ def spend_regression(
     The solver sums the normal equations on the executors; the driver solves a
     system of as many unknowns as predictors.
     """
+    return fit_split(split_rows(features, predictors, target, test_share), predictors)
+
+
+def split_rows(
+    features: DataFrame, predictors: Sequence[str], target: str = "Monetary", test_share: float = 0.2
+) -> DataFrame:
+    """Customers with predictors, ``actual`` and ``is_test``, written out since a fit reads them often."""
     needed = features.select("CustomerID", *predictors, F.col(target).alias("actual"))
-    split = materialise(train_test_split(needed, test_share=test_share), "regression")
+    return materialise(train_test_split(needed, test_share=test_share), "regression")
+
+
+def fit_split(split: DataFrame, predictors: Sequence[str]) -> SpendModel:
+    """Least squares on rows that ``split_rows`` made."""
     train = split.filter(~F.col("is_test"))
     names = [f"{name}_scaled" for name in predictors]
     points = assemble(standardise(split, predictors, fit_on=train), names)
@@ -49,7 +60,7 @@ def spend_regression(
     ).fit(points.filter(~F.col("is_test")))
     terms = [("Intercept", float(model.intercept))]
     terms += list(zip(predictors, (float(value) for value in model.coefficients)))
-    coefficients = features.sparkSession.createDataFrame(terms, "term string, coefficient double")
+    coefficients = split.sparkSession.createDataFrame(terms, "term string, coefficient double")
     scored = model.transform(points).select("CustomerID", "is_test", "actual", "predicted")
     return SpendModel(coefficients, scored)
 
@@ -97,11 +108,10 @@ def model_report(model: SpendModel, name: str, predictors: Sequence[str]) -> Dat
 
 def regression_comparison(features: DataFrame) -> DataFrame:
     """Baseline and extended predictors on the same split, one row each."""
-    baseline = model_report(
-        spend_regression(features, BASELINE), "Baseline Regression", BASELINE
-    )
+    split = split_rows(features, EXTENDED_PREDICTORS)
+    baseline = model_report(fit_split(split, BASELINE), "Baseline Regression", BASELINE)
     extended = model_report(
-        spend_regression(features, EXTENDED_PREDICTORS),
+        fit_split(split, EXTENDED_PREDICTORS),
         "Extended Feature Regression",
         EXTENDED_PREDICTORS,
     )

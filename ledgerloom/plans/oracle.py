@@ -135,48 +135,55 @@ CTES |= {
         SELECT segment, InvoiceNo, Description AS item
         FROM clean JOIN seg3 USING (CustomerID) WHERE Description IS NOT NULL
         GROUP BY ALL HAVING sum(Quantity) > 0""",
-    "sizes": """
-        SELECT segment, count(DISTINCT InvoiceNo) AS n FROM items
-        GROUP BY segment HAVING count(DISTINCT InvoiceNo) >= 10""",
-    "ones": """
-        SELECT segment, [item] AS items, count(*) AS freq, any_value(n) AS n
-        FROM items JOIN sizes USING (segment) GROUP BY segment, item
-        HAVING count(*) * 100 >= 2 * any_value(n)""",
-    "kept": "SELECT i.* FROM items i JOIN ones o ON o.segment = i.segment AND o.items[1] = i.item",
-    "twos": """
-        SELECT a.segment, [a.item, b.item] AS items, count(*) AS freq, any_value(n) AS n
-        FROM kept a JOIN kept b ON a.segment = b.segment AND a.InvoiceNo = b.InvoiceNo
-             AND a.item < b.item JOIN sizes s ON s.segment = a.segment
-        GROUP BY a.segment, a.item, b.item HAVING count(*) * 100 >= 2 * any_value(n)""",
-    "threes": """
-        SELECT a.segment, list_append(t.items, a.item) AS items, count(*) AS freq, any_value(t.n) AS n
-        FROM twos t JOIN kept x ON x.segment = t.segment AND x.item = t.items[1]
-        JOIN kept y ON y.segment = t.segment AND y.InvoiceNo = x.InvoiceNo AND y.item = t.items[2]
-        JOIN kept a ON a.segment = t.segment AND a.InvoiceNo = x.InvoiceNo AND a.item > t.items[2]
-        GROUP BY a.segment, t.items, a.item HAVING count(*) * 100 >= 2 * any_value(t.n)""",
-    "sets": "FROM ones UNION ALL FROM twos UNION ALL FROM threes",
-    "splits": """
-        SELECT s.segment, a.items AS ante, c.items AS cons, s.freq::DOUBLE AS f, s.n::DOUBLE AS n,
-               a.freq::DOUBLE AS fa, c.freq::DOUBLE AS fc
-        FROM sets s
-        JOIN sets a ON a.segment = s.segment AND len(a.items) < len(s.items)
-             AND list_has_all(s.items, a.items)
-        JOIN sets c ON c.segment = s.segment AND len(c.items) = len(s.items) - len(a.items)
-             AND list_has_all(s.items, c.items) AND NOT list_has_any(a.items, c.items)""",
-    "rule": """
-        SELECT segment, array_to_string(ante, ', ') AS antecedents,
-               array_to_string(cons, ', ') AS consequents, len(ante) AS a_size, len(cons) AS c_size,
-               fa / n AS antecedent_support, fc / n AS consequent_support, f / n AS support,
-               f / fa AS confidence, f * n / (fa * fc) AS lift,
-               (f * n - fa * fc) / (n * n) AS leverage,
-               CASE WHEN fa > f THEN (n - fc) * fa / (n * (fa - f)) END AS conviction
-        FROM splits WHERE f * n >= fa * fc""",
-    "unmirrored": """
-        SELECT * FROM rule
-        WHERE a_size > c_size OR (a_size = c_size AND antecedents < consequents)""",
+    "items_deep": """
+        SELECT DISTINCT segment, InvoiceNo, 'Group#' || (substr(item, 7)::INT % 6) AS item FROM items""",
 }
 
 
+def _mining(suffix: str) -> dict[str, str]:
+    """Item sets of any size, by all subsets of each basket's frequent items, and their rules."""
+    t = suffix
+    return {
+        f"sizes{t}": f"""
+            SELECT segment, count(DISTINCT InvoiceNo) AS n FROM items{t}
+            GROUP BY segment HAVING count(DISTINCT InvoiceNo) >= 10""",
+        f"ones{t}": f"""
+            SELECT segment, item, any_value(n) AS n FROM items{t} JOIN sizes{t} USING (segment)
+            GROUP BY segment, item HAVING count(*) * 100 >= 2 * any_value(n)""",
+        f"lists{t}": f"""
+            SELECT segment, InvoiceNo, list_sort(list(item)) AS basket, any_value(n) AS n
+            FROM items{t} JOIN ones{t} USING (segment, item) GROUP BY segment, InvoiceNo""",
+        f"subsets{t}": f"""
+            SELECT segment, n, list_filter(basket, lambda x, i: (mask // (1 << (i - 1))) % 2 = 1) AS items
+            FROM (SELECT *, unnest(range(1, 1 << len(basket))) AS mask FROM lists{t})""",
+        f"sets{t}": f"""
+            SELECT segment, items, count(*) AS freq, any_value(n) AS n FROM subsets{t}
+            GROUP BY segment, items HAVING count(*) * 100 >= 2 * any_value(n)""",
+        f"splits{t}": f"""
+            SELECT s.segment, a.items AS ante, c.items AS cons, s.freq::DOUBLE AS f, s.n::DOUBLE AS n,
+                   a.freq::DOUBLE AS fa, c.freq::DOUBLE AS fc
+            FROM sets{t} s
+            JOIN sets{t} a ON a.segment = s.segment AND len(a.items) < len(s.items)
+                 AND list_has_all(s.items, a.items)
+            JOIN sets{t} c ON c.segment = s.segment AND len(c.items) = len(s.items) - len(a.items)
+                 AND list_has_all(s.items, c.items) AND NOT list_has_any(a.items, c.items)""",
+        f"rule{t}": f"""
+            SELECT segment, array_to_string(ante, ', ') AS antecedents,
+                   array_to_string(cons, ', ') AS consequents, len(ante) AS a_size, len(cons) AS c_size,
+                   fa / n AS antecedent_support, fc / n AS consequent_support, f / n AS support,
+                   f / fa AS confidence, f * n / (fa * fc) AS lift,
+                   (f * n - fa * fc) / (n * n) AS leverage,
+                   CASE WHEN fa > f THEN (n - fc) * fa / (n * (fa - f)) END AS conviction
+            FROM splits{t} WHERE f * n >= fa * fc""",
+        f"unmirrored{t}": f"""
+            SELECT * FROM rule{t}
+            WHERE a_size > c_size OR (a_size = c_size AND antecedents < consequents)""",
+    }
+
+
+CTES |= _mining("") | _mining("_deep")
+
+
 def chain(statement: str) -> str:
     """The statement behind the expressions it needs, dependencies first."""
     order: list[str] = []
@@ -526,6 +533,46 @@ CTES["deflated"] = "SELECT " + ", ".join(
 _power("axis2", "deflated")
 
 
+ONE_COUNTRY = f"(SELECT * FROM clean WHERE Country = '{DASHBOARD_COUNTRY}')"
+ONE_MONTH = f"(SELECT * FROM clean WHERE year(InvoiceDate) * 100 + month(InvoiceDate) = {DASHBOARD_MONTH})"
+
+
+def _by_month(rows: str) -> str:
+    return f"""
+        SELECT year(InvoiceDate) * 100 + month(InvoiceDate) AS month_key,
+                   strftime(InvoiceDate, '%b %Y') AS month_year, {KPIS}
+        FROM {rows} GROUP BY ALL"""
+
+
+def _by_country(rows: str) -> str:
+    share = f"CAST(sum(TotalPrice) AS DOUBLE) * 100 / CAST((SELECT sum(TotalPrice) FROM {rows}) AS DOUBLE)"
+    return f"""
+        SELECT Country, CAST(sum(TotalPrice) AS DOUBLE) AS revenue, {even(share, 6)} AS share_pct
+        FROM {rows} GROUP BY Country"""
+
+
+def _top_products(rows: str) -> str:
+    return f"""
+        SELECT row_number() OVER o AS position, StockCode, CAST(total AS DOUBLE) AS revenue,
+                   {even("CAST(total AS DOUBLE) * 100 / everything", 6)} AS share_pct,
+                   {even("CAST(sum(total) OVER (o ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 100 / everything", 6)}
+                   AS running_share_pct
+        FROM (SELECT StockCode, sum(TotalPrice) AS total,
+                         CAST(sum(sum(TotalPrice)) OVER () AS DOUBLE) AS everything
+                  FROM {rows} GROUP BY StockCode)
+        WINDOW o AS (ORDER BY total DESC, StockCode) QUALIFY position <= 10"""
+
+
+def _rules(table: str) -> str:
+    measures = (
+        "antecedent_support", "consequent_support", "support", "confidence", "lift", "leverage", "conviction"
+    )
+    bound = """leverage / nullif(greatest(support * (1 - antecedent_support),
+               antecedent_support * (consequent_support - support)), 0)"""
+    rounded = ", ".join(f"{even(m, 6)} AS {m}" for m in measures)
+    return f"SELECT segment, antecedents, consequents, {rounded}, {even(bound, 6)} AS zhang FROM {table}"
+
+
 def _pivot() -> str:
     cells = []
     for stage in STAGES:
@@ -680,28 +727,18 @@ def statements() -> dict[str, str]:
             UNION ALL
             SELECT {KPIS}, '{DASHBOARD_MONTH}' AS page FROM clean
             WHERE year(InvoiceDate) * 100 + month(InvoiceDate) = {DASHBOARD_MONTH}""",
-        "revenue_by_month": f"""
-            SELECT year(InvoiceDate) * 100 + month(InvoiceDate) AS month_key,
-                   strftime(InvoiceDate, '%b %Y') AS month_year, {KPIS}
-            FROM clean GROUP BY ALL""",
-        "revenue_by_country": f"""
-            SELECT Country, CAST(sum(TotalPrice) AS DOUBLE) AS revenue,
-                   {even("CAST(sum(TotalPrice) AS DOUBLE) * 100 / CAST((SELECT sum(TotalPrice) FROM clean) AS DOUBLE)", 6)}
-                   AS share_pct FROM clean GROUP BY Country""",
+        "revenue_by_month": _by_month("clean"),
+        "revenue_by_month_in_country": _by_month(ONE_COUNTRY),
+        "revenue_by_country": _by_country("clean"),
+        "revenue_by_country_in_month": _by_country(ONE_MONTH),
         "product_concentration": f"""
             SELECT StockCode, CAST(total AS DOUBLE) AS revenue, rank() OVER (ORDER BY total DESC) AS rank,
                    {even("CAST(sum(total) OVER (ORDER BY total DESC RANGE UNBOUNDED PRECEDING) AS DOUBLE) * 100 / CAST(sum(total) OVER () AS DOUBLE)", 6)}
                    AS running_share_pct
             FROM (SELECT StockCode, sum(TotalPrice) AS total FROM clean GROUP BY StockCode)""",
-        "top_products": f"""
-            SELECT row_number() OVER o AS position, StockCode, CAST(total AS DOUBLE) AS revenue,
-                   {even("CAST(total AS DOUBLE) * 100 / everything", 6)} AS share_pct,
-                   {even("CAST(sum(total) OVER (o ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 100 / everything", 6)}
-                   AS running_share_pct
-            FROM (SELECT StockCode, sum(TotalPrice) AS total,
-                         CAST(sum(sum(TotalPrice)) OVER () AS DOUBLE) AS everything
-                  FROM clean GROUP BY StockCode)
-            WINDOW o AS (ORDER BY total DESC, StockCode) QUALIFY position <= 10""",
+        "top_products": _top_products("clean"),
+        "top_products_in_country": _top_products(ONE_COUNTRY),
+        "top_products_in_month": _top_products(ONE_MONTH),
         "attrition_overall": f"""
             SELECT employees, departures, attrition_pct
             FROM ({_attrition("0", "0")})""",
@@ -740,6 +777,9 @@ def statements() -> dict[str, str]:
         "forecast_metrics_arima": _forecast_metrics(
             _compare("all_parts", "arima_all_path"), "ARIMA(4,1,1)"
         ),
+        "backtest_comparison": f"""
+            SELECT series, {DATE}, ActualSales, PredictedSales
+            FROM ({_compare("window_parts", "arima_window_path")})""",
         "backtest_metrics": f"""
             SELECT *, '{BACKTEST_START} to {BACKTEST_END}' AS ValidationPeriod
             FROM ({_forecast_metrics(_compare("window_parts", "arima_window_path"), "ARIMA(4,1,1)")})""",
@@ -789,20 +829,16 @@ def statements() -> dict[str, str]:
             FROM scaled JOIN base USING (CustomerID) JOIN axis1 a ON true JOIN axis2 b ON true""",
         "basket_items": "SELECT * FROM items",
         "frequent_itemsets": f"SELECT segment, {sets_text} AS items, freq, n AS baskets FROM sets",
+        "frequent_itemsets_deep": f"SELECT segment, {sets_text} AS items, freq, n AS baskets FROM sets_deep",
         "frequent_pairs": """
             SELECT segment, items[1] AS item_a, items[2] AS item_b, freq, freq::DOUBLE / n AS support
             FROM sets WHERE len(items) = 2""",
-        "association_rules": "SELECT segment, antecedents, consequents, "
-        + ", ".join(
-            f"{even(m, 6)} AS {m}"
-            for m in (
-                "antecedent_support", "consequent_support", "support", "confidence", "lift",
-                "leverage", "conviction",
-            )
-        )
-        + f""", {even('''leverage / nullif(greatest(support * (1 - antecedent_support),
-                antecedent_support * (consequent_support - support)), 0)''', 6)} AS zhang FROM rule""",
+        "association_rules": _rules("rule"),
+        "association_rules_deep": _rules("rule_deep"),
         "rules_dedup": f"SELECT segment, antecedents, consequents, {even('lift', 6)} AS lift FROM unmirrored",
+        "rules_dedup_deep": (
+            f"SELECT segment, antecedents, consequents, {even('lift', 6)} AS lift FROM unmirrored_deep"
+        ),
         "top_rules": f"""
             SELECT segment, row_number() OVER (PARTITION BY segment
                        ORDER BY lift DESC, support DESC, antecedents, consequents) AS position,

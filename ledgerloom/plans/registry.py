@@ -159,7 +159,9 @@ EXTENDED_SCALED = segments.scaled_names(customers.EXTENDED)
 
 @query
 def load_transactions(run: Inputs) -> DataFrame:
-    return run.view("transactions")
+    path = scratch_path(run.spark, "transactions")
+    run.view("transactions").write.parquet(path)
+    return tables.load_transactions(run.spark, path)
 
 
 @query
@@ -385,6 +387,29 @@ def retail_kpis_filtered(run: Inputs) -> DataFrame:
     )
 
 
+@query
+def revenue_by_month_in_country(run: Inputs) -> DataFrame:
+    return retail.revenue_by_month(retail.dashboard_filter(run.clean, countries=[DASHBOARD_COUNTRY]))
+
+
+@query
+def revenue_by_country_in_month(run: Inputs) -> DataFrame:
+    kept = retail.dashboard_filter(run.clean, months=[DASHBOARD_MONTH])
+    return _rounded(retail.revenue_by_country(kept), 6, "share_pct")
+
+
+@query
+def top_products_in_country(run: Inputs) -> DataFrame:
+    kept = retail.dashboard_filter(run.clean, countries=[DASHBOARD_COUNTRY])
+    return _rounded(retail.top_products(kept), 6, "share_pct", "running_share_pct")
+
+
+@query
+def top_products_in_month(run: Inputs) -> DataFrame:
+    kept = retail.dashboard_filter(run.clean, months=[DASHBOARD_MONTH])
+    return _rounded(retail.top_products(kept), 6, "share_pct", "running_share_pct")
+
+
 @query
 def revenue_by_month(run: Inputs) -> DataFrame:
     return retail.revenue_by_month(run.clean)
@@ -490,6 +515,12 @@ def forecast_metrics_arima(run: Inputs) -> DataFrame:
     return forecast.forecast_metrics(compared, "ARIMA(4,1,1)", "7 Days")
 
 
+@query
+def backtest_comparison(run: Inputs) -> DataFrame:
+    train, test = run.backtest()
+    return forecast.forecast_comparison(test, forecast.arima_forecast(train))
+
+
 @query
 def backtest_metrics(run: Inputs) -> DataFrame:
     train, test = run.backtest()
@@ -655,6 +686,30 @@ def frequent_itemsets(run: Inputs) -> DataFrame:
     return baskets.frequent_itemsets(run.items)
 
 
+def _coarse_items(run: Inputs) -> DataFrame:
+    """Items by groups of brands, of which baskets hold three and more."""
+    group = F.concat(F.lit("Group#"), F.substring("item", 7, 9).cast("int") % 6)
+    return run.items.select("segment", "InvoiceNo", group.alias("item")).distinct()
+
+
+@query
+def frequent_itemsets_deep(run: Inputs) -> DataFrame:
+    return baskets.frequent_itemsets(_coarse_items(run))
+
+
+@query
+def association_rules_deep(run: Inputs) -> DataFrame:
+    rules = baskets.association_rules(baskets.frequent_itemsets(_coarse_items(run)))
+    return _rounded(rules, 6, *RULE_MEASURES)
+
+
+@query
+def rules_dedup_deep(run: Inputs) -> DataFrame:
+    rules = baskets.association_rules(baskets.frequent_itemsets(_coarse_items(run)))
+    kept = baskets.drop_mirrored(rules)
+    return _rounded(kept.select("segment", "antecedents", "consequents", "lift"), 6, "lift")
+
+
 @query
 def frequent_pairs(run: Inputs) -> DataFrame:
     pairs = baskets.frequent_itemsets(run.items).filter(F.size("items") == 2)
