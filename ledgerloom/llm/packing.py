@@ -30,70 +30,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.words import Splitter, in_batches, stretches
+from ledgerloom.llm.arrays import find
+from ledgerloom.llm.words import Splitter, in_batches, non_letter_bytes, stretches
 from ledgerloom.session import materialise
 
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-KNOWN_WORDS = 300_000
+KNOWN_UNITS = 400_000
 PARTS = 8  # a piece of a rest is at most this share of a window
 
 
 class WordIds:
-    """Ids of words, remembered for the words seen last.
-
-    A word between white space is encoded by the tokenizer itself; its ids do
-    not depend on its neighbours, since the tokenizer drops white space before
-    it looks at words. The memory starts afresh when it is full.
+    """Ids of units of text, remembered for those seen last.
+
+    The tokenizer folds case, drops white space, and looks at runs of letters by
+    themselves. So words are cut where letters meet other signs, lower-cased, and
+    every distinct unit is encoded once by the tokenizer itself. Words with an
+    apostrophe, a bar or signs beyond Latin letters stay whole, since contractions,
+    special tokens and other scripts need their neighbours. The memory starts
+    afresh when it is full.
     """
 
     def __init__(self, model: str, end_id: int) -> None:
         self.tokenizer, self.end_id = Tokenizer.from_str(model), end_id
         self.splitter = Splitter(lower=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.letter = ~non_letter_bytes()
+        self.whole = np.zeros(256, bool)  # bytes that keep a word whole
+        self.whole[[ord("'"), ord("|"), 0xC2, *range(0xC4, 0x100)]] = True
+        self.fold = np.arange(256, dtype=np.uint8)
+        self.fold[ord("A") : ord("Z") + 1] += 32
         self._forget()
 
     def _forget(self) -> None:
-        self.place = {int(END_WORD): 0}
-        self.begin, self.size = [0], [1]
-        self.ids = np.full(1 << 16, self.end_id, np.uint32)
-        self.used = 1
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for begin in range(0, len(words), 1024):
-            for encoding in self.tokenizer.encode_batch(words[begin : begin + 1024], add_special_tokens=False):
-                ids = encoding.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.begin.append(self.used)
-                self.size.append(len(ids))
-                self.used += len(ids)
-        for key in hashes:
-            self.place[key] = len(self.place)
+        self.known = np.array([END_WORD])  # hashes in order, and the number of each
+        self.number = np.zeros(1, np.int64)
+        self.begin, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids = np.full(1, self.end_id, np.uint32)
+
+    def _store(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        number = np.arange(len(keys)) + len(self.begin)
+        order = np.argsort(np.concatenate([self.known, keys]), kind="stable")
+        self.known = np.concatenate([self.known, keys])[order]
+        self.number = np.concatenate([self.number, number])[order]
+        self.begin = np.concatenate([self.begin, np.cumsum(sizes) - sizes + len(self.ids)])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _learn(self, keys: np.ndarray, units: list[str], letters: np.ndarray) -> None:
+        """Encode new units. Runs of letters go as one text, in which the last id of each is known by its end mark."""
+        plain, odd = np.flatnonzero(letters), np.flatnonzero(~letters)
+        if len(plain):
+            joined = [" ".join([units[i] for i in plain[at : at + 512].tolist()]) for at in range(0, len(plain), 512)]
+            found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.concatenate([np.array(encoding.ids, np.uint32) for encoding in found])
+            ends = np.flatnonzero(self.final[ids])
+            self._store(keys[plain], ids, np.diff(ends, prepend=-1))
+        if len(odd):
+            found = self.tokenizer.encode_batch_fast([units[i] for i in odd.tolist()], add_special_tokens=False)
+            lists = [encoding.ids for encoding in found]
+            flat = np.array([x for ids in lists for x in ids], np.uint32)
+            self._store(keys[odd], flat, np.array([len(ids) for ids in lists]))
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(bytes, starts, ends, hashes, bounds, runs of letters) of the units of texts."""
+        words = self.splitter.split(data, offsets)
+        stays = self.whole[data]
+        stays[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs among the letters
+        sums = np.append(0, np.cumsum(stays))
+        kept = sums[words.ends] > sums[words.starts]
+        letter = self.letter[data]
+        space = self.splitter.separator[data]
+        turn = np.flatnonzero((letter[1:] != letter[:-1]) & ~space[1:] & ~space[:-1]) + 1
+        owner = np.searchsorted(words.starts, turn, side="right") - 1
+        turn = turn[~kept[owner] & (turn != words.starts[owner])]
+        folded = self.fold[data]
+        for start, end in zip(words.starts[kept], words.ends[kept]):
+            folded[start:end] = data[start:end]
+        starts = np.sort(np.concatenate([words.starts, turn]))
+        ends = np.sort(np.concatenate([words.ends, turn]))
+        self.splitter.load(folded)
+        letters = self.letter[folded[starts]]
+        letters[np.searchsorted(starts, words.starts[kept])] = False
+        return folded, starts, ends, self.splitter.stretch(starts, ends), np.searchsorted(starts, offsets), letters
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of texts, each with the end id."""
-        words = self.splitter.split(data, offsets)
-        hashes = np.insert(words.hashes, words.bounds[1:], END_WORD)
-        bounds = words.bounds + np.arange(len(words.bounds))
-        distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > KNOWN_WORDS:
+        folded, starts, ends, own, bounds, letters = self.units(data, offsets)
+        hashes = np.insert(own, bounds[1:], END_WORD)
+        bounds = bounds + np.arange(len(bounds))
+        distinct, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > KNOWN_UNITS:
             self._forget()
-        keys = distinct.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.place]
-        raw = data.tobytes() if new else b""
-        self._learn(
-            [keys[i] for i in new],
-            [raw[words.starts[first[i]] : words.ends[first[i]]].decode() for i in new],
-        )
-        known = np.array([self.place[key] for key in keys], np.int64)
+        new = np.flatnonzero(find(self.known, distinct) < 0)
+        if len(new):
+            raw = folded.tobytes()
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+            self._learn(distinct[new], [raw[low:high].decode() for low, high in spans], letters[first[new]])
         place = np.zeros(len(hashes), np.int64)
-        place[hashes != END_WORD] = known[inverse]
-        begin = np.array(self.begin)[place]
-        size = np.array(self.size)[place]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.append(0, ends)[bounds]
+        place[hashes != END_WORD] = self.number[find(self.known, distinct)][inverse]
+        begin, size = self.begin[place], self.size[place]
+        last = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
+        return ids, np.append(0, last)[bounds]
 
 
 def cuts(total: int, capacity: int) -> list[int]:
@@ -184,7 +225,8 @@ def windows_of(lengths: np.ndarray, capacity: int) -> np.ndarray:
     rest = np.flatnonzero(~full)
     if not len(rest):
         return out
-    count = max(1, -(-int(lengths[rest].sum()) // capacity))
+    # Windows filled to the last few tokens are beyond reach, so the count begins with a little room.
+    count = max(1, -(-int(lengths[rest].sum() * 1.0005) // capacity))
     while True:
         window = difference(lengths[rest], count)
         if np.bincount(window, lengths[rest]).max() <= capacity:

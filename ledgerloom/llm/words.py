@@ -105,7 +105,7 @@ class Splitter:
         inside = ~self.separator[data]
         first = np.empty(size + 1, bool)
         first[1:size] = inside[1:] & ~inside[:-1]
-        first[:1] = inside[:1]
+        first[0] = size > 0 and inside[0]
         first[size] = False
         begins = offsets[:-1][offsets[:-1] < size]
         first[begins] |= inside[begins]
@@ -117,14 +117,18 @@ class Splitter:
         inner = offsets[(offsets > 0) & (offsets < size)]
         last[inner] |= inside[inner - 1]
         ends = np.flatnonzero(last)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(self.value[data] * self.powers[:size], out=sums[1:])
-        self.sums = sums
+        self.load(data)
         hashes = self.stretch(starts, ends)
         return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
+    def load(self, data: np.ndarray) -> None:
+        """Take the bytes whose stretches are hashed next."""
+        self._reserve(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.powers[: len(data)], out=self.sums[1:])
+
     def stretch(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of stretches of the bytes split last."""
+        """Hashes of stretches of the bytes taken last."""
         return mix((self.sums[ends] - self.sums[starts]) * self.inverses[starts])
 
 
