@@ -230,13 +230,19 @@ def symbol_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(window, doc_id, start) for the windows in the ``spans`` of each document."""
+    """(window, doc_id, start, late) for the windows in the ``spans`` of each document.
+
+    Of equal windows in a batch only the first competes with other batches. The
+    rest are late for certain; they get names of their own, so that a very
+    common window is not one long stream.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, prefix = Splitter(lower=False), Prefix()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
+            names, docs_of, places = [], [], []
             for first, after, data, offsets in stretches(batch.column(1)):
                 words = splitter.split(data, offsets)
                 sums = prefix.sums(words.hashes)
@@ -249,16 +255,24 @@ def window_rows(docs: DataFrame, width: int) -> DataFrame:
                 start, owner = np.concatenate(starts), np.concatenate(owners)
                 fits = start + width <= words.bounds[owner - first + 1]
                 start, owner = start[fits], owner[fits]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _long(prefix.stretch(sums, start, start + width)),
-                        pa.array(ids[owner], pa.int64()),
-                        pa.array(start - words.bounds[owner - first]),
-                    ],
-                    names=["window", "doc_id", "start"],
-                )
-
-    return in_batches(docs).mapInArrow(emit, "window bigint, doc_id bigint, start bigint")
+                names.append(prefix.stretch(sums, start, start + width))
+                docs_of.append(ids[owner].astype(np.int64))
+                places.append(start - words.bounds[owner - first])
+            name, doc, place = np.concatenate(names), np.concatenate(docs_of), np.concatenate(places)
+            order = np.lexsort((place, doc, name))
+            name, doc, place = name[order], doc[order], place[order]
+            # A repeated row is the same window, not a later one.
+            same = np.append(False, name[1:] == name[:-1])[: len(name)]
+            moved = np.append(False, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))[: len(name)]
+            group = np.maximum.accumulate(np.where(same, 0, np.arange(len(name))))
+            late = np.cumsum(moved & same) > np.cumsum(moved & same)[group]
+            name[late] = mix(doc[late].astype(np.uint64) * _ODD + place[late].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [_long(name), pa.array(doc), pa.array(place), pa.array(late)],
+                names=["window", "doc_id", "start", "late"],
+            )
+
+    return in_batches(docs).mapInArrow(emit, "window bigint, doc_id bigint, start bigint, late boolean")
 
 
 def _covered(spans: np.ndarray, size: int, reach: int) -> np.ndarray:
@@ -279,7 +293,7 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
         symbol_rows(known, width)
         .withColumn("same", F.min("whole").over(symbol) == F.max("whole").over(symbol))
         .withColumn("n", F.count("*").over(symbol))
-        .withColumn("turn", F.row_number().over(symbol.orderBy("doc_id", "span")))
+        .withColumn("turn", F.dense_rank().over(symbol.orderBy("doc_id", "span")))
         .filter("n > 1")
         .select("doc_id", "span", "same", "turn"),
         "shared",
@@ -288,11 +302,11 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
 
     unsure = shared.filter("NOT same").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     checked = known.join(unsure, "doc_id").select("doc_id", "text", "spans")
-    window = Window.partitionBy("window").orderBy("doc_id", "start")
+    window = Window.partitionBy("window", "late").orderBy("doc_id", "start")
     single = (
         window_rows(checked, width)
-        .withColumn("turn", F.row_number().over(window))
-        .filter("turn > 1")
+        .withColumn("turn", F.dense_rank().over(window))
+        .filter("late OR turn > 1")
         .select("doc_id", (F.col("start") * (1 << 32) + F.col("start")).alias("span"))
     )
     return later.unionByName(single).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
