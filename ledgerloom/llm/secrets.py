@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.skew import spread_join
+
 LEDGER = "blob string, rules array<string>, spans array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
@@ -150,7 +152,8 @@ def update_ledger(
 def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per version of a path: (path, blob, spans), the spans of all its rules in order.
 
-    Only blobs with findings take part in the join, which is what makes that side small.
+    Only blobs with findings take part in the join, which is what makes that side small;
+    the versions of a blob with very many of them spread over several tasks.
     """
     kinds = [rule.kind for rule in rules]
     hits = (
@@ -164,8 +167,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
     )
     empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return (
-        versions.select("path", "blob")
-        .join(hits, "blob", "left")
+        spread_join(versions.select("path", "blob"), hits, ["blob"], "path")
         .select("path", "blob", F.coalesce("spans", empty).alias("spans"))
     )
 
