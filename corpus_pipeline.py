@@ -43,15 +43,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     versions = secrets.versions_of(docs, "doc_id")
     ledger = secrets.update_ledger(spark, versions, scratch_path(spark, "ledger"))
     hits = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    marked = docs.join(hits, secrets.content_address(docs["text"]) == F.col("_blob"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        secrets.redact(F.col("text"), F.col("_spans"))
+    clean = secrets.redact(docs["text"], F.col("_spans"))
+    marked = docs.join(hits, secrets.content_address(docs["text"]) == F.col("_blob"), "left").withColumn(
+        "_clean", F.when(F.col("_spans").isNotNull(), clean)
     )
-    out = {"text": text}
+    new = {"text": F.coalesce("_clean", "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(kind)
-    return marked.withColumns(out).select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("_clean").cast(kind), "n_chars")
+    return marked.select(*[new.get(name, F.col(name)).alias(name) for name in docs.columns])
 
 
 def draw_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
