@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ledgerloom.session import materialise
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs under exactly one other, which hangs under none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below"))
+    )
+    counts = ends.groupBy("node").agg(F.sum("below").alias("below"), F.count("*").alias("all"))
+    return counts.filter((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("all") > 1))).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); a component is named by its smallest node.
 
@@ -22,14 +31,12 @@ def components(links: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(lowest, "u").filter(F.col("v") > F.col("u")).select(
             F.col("v").alias("u"), F.col("m").alias("v")
         )
-        large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(
             F.explode(
@@ -42,10 +49,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(
             small.select("edge.*").filter(F.col("u") != F.col("v")).distinct(), "edges"
         )
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            break
-        state = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

@@ -8,11 +8,12 @@ size band has its own d, and a document joins its band and those below that
 hold sets similar enough in size. A block travels as the xor of random codes of
 its set bits. Blocks without elements say nothing and are left out of the join
 unless a document has more than m of them, which keeps the argument exact. Equal
-blocks are candidates, and every candidate pair is verified on the whole sets.
+blocks are candidates; those whose short sketches differ in too many bits are
+dropped, and the others are verified on the whole sets.
 
-Equal sets become one class first, so copies never meet in a block. Within a
+Equal sets become one class, so copies never meet in a block. Within a
 block the members of lowest rank are compared with the rest, in rounds of
-doubling size, and a block is finished as soon as its members are connected: a
+growing size, and a block is finished as soon as its members are connected: a
 large group of near copies costs a few comparisons per member, while members
 that stay unconnected do get compared with each other. No pair that could
 change a component is skipped.
@@ -28,13 +29,15 @@ gives no rows. Columns besides the id and the text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import components
+from ledgerloom.llm.skew import spread_join
 from ledgerloom.llm.words import Splitter, in_batches, mix, sequence_hash, stretches
 from ledgerloom.session import materialise
 
@@ -104,40 +107,73 @@ def block_keys(
     return np.concatenate(keys)
 
 
-def signatures(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(doc_id, n, low, high, keys): set size, a 128-bit name of the set, its block keys."""
+def set_name(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of hashes."""
+    low = np.bitwise_xor.reduce(hashes, initial=np.uint64(0))
+    return int(low), int(np.sum(mix(hashes), dtype=np.uint64))
+
+
+SKETCH = [f"s{i}" for i in range(8)]
+
+
+def short_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set folded to 512 bits, as eight numbers."""
+    places = (mix(hashes + np.uint64(1)) >> np.uint64(55)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=512) & 1).view(np.int64)
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, low, high, s0 ... s7): size, name and short sketch of each document's set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        lows, apart = size_bands(numerator, denominator)
         for batch in batches:
-            sizes, low, high, keys, ends = [], [], [], [], [0]
-            for hashes in shingles.sets(batch.column(1)):
-                sizes.append(len(hashes))
-                low.append(int(np.bitwise_xor.reduce(hashes, initial=np.uint64(0))))
-                high.append(int(np.sum(mix(hashes), dtype=np.uint64)))
-                if len(hashes):
-                    keys.append(block_keys(hashes, lows, apart, numerator, denominator))
-                ends.append(ends[-1] + (len(keys[-1]) if len(hashes) else 0))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            sets = list(shingles.sets(batch.column(1)))
+            names = np.array([set_name(hashes) for hashes in sets], np.uint64).reshape(len(sets), 2)
+            sketches = np.array([short_sketch(hashes) for hashes in sets], np.int64).reshape(len(sets), 8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(np.array(low, np.uint64).view(np.int64)),
-                    pa.array(np.array(high, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(
-                        pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))
-                    ),
+                    pa.array([len(hashes) for hashes in sets], pa.int64()),
+                    *[pa.array(np.ascontiguousarray(names[:, i]).view(np.int64)) for i in (0, 1)],
+                    *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(8)],
                 ],
-                names=["doc_id", "n", "low", "high", "keys"],
+                names=["doc_id", "n", "low", "high", *SKETCH],
             )
 
     return in_batches(docs).select("doc_id", "text").mapInArrow(
-        sign, "doc_id bigint, n bigint, low bigint, high bigint, keys array<bigint>"
+        sign, "doc_id bigint, n bigint, low bigint, high bigint, " + ", ".join(f"{s} bigint" for s in SKETCH)
     )
 
 
+def sketch_keys(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(key, doc_id) of every sketch block of every document with a set.
+
+    A task sends the blocks of equal sets once.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        lows, apart = size_bands(numerator, denominator)
+        sent: set[tuple[int, int]] = set()
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for row, hashes in enumerate(shingles.sets(batch.column(1))):
+                name = set_name(hashes)
+                if len(hashes) and name not in sent:
+                    sent.add(name)
+                    keys.append(block_keys(hashes, lows, apart, numerator, denominator))
+                    owners.append(np.full(len(keys[-1]), ids[row], np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))],
+                names=["key", "doc_id"],
+            )
+
+    known = in_batches(docs).select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    return known.mapInArrow(emit, "key bigint, doc_id bigint")
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles): the sorted distinct shingle hashes of each document."""
 
@@ -185,21 +221,33 @@ def similar_documents(
     Documents link when the Jaccard index of their shingle sets is at least
     numerator / denominator; a component is named by its smallest doc_id.
     """
-    signed = materialise(signatures(docs, width, numerator, denominator), "signatures")
+    signed = materialise(signatures(docs, width), "signatures")
     identified = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = materialise(
-        identified.groupBy("low", "high", "n").agg(
-            F.min("doc_id").alias("rep"), F.first("keys").alias("keys")
-        ),
-        "classes",
+    name = ["low", "high", "n"]
+    # A set of one document represents itself; only shared sets take part in the join.
+    classes = identified.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    shared_sets = classes.filter("size > 1").drop("size")
+    members = materialise(
+        spread_join(identified, shared_sets, name, "doc_id")
+        .select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", *SKETCH)
+        .distinct(),
+        "members",
+    )
+    same = Window.partitionBy("key")
+    shared = (
+        sketch_keys(docs, width, numerator, denominator)
+        .withColumn("other", F.min("doc_id").over(same) < F.max("doc_id").over(same))
+        .filter("other")
+        .select("key", "doc_id")
     )
-    # One exchange serves the count per key and the join with its result.
-    keyed = classes.select(F.explode("keys").alias("key"), "rep", "n").repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"))
-    shared = shared.filter(F.col("first") < F.col("last")).select("key")
-    blocks = materialise(keyed.join(shared, "key"), "blocks")
     ranked = materialise(
-        blocks.withColumn("rank", F.expr("row_number() OVER (PARTITION BY key ORDER BY rep) - 1")),
+        shared.join(members, "doc_id")
+        .select("key", "rep", "n", *SKETCH)
+        .dropDuplicates(["key", "rep"])
+        .withColumn("rank", F.row_number().over(same.orderBy("rep")) - 1)
+        .withColumn("most", F.max("rank").over(same))
+        .filter("most > 0")
+        .drop("most"),
         "ranked",
     )
     wanted = ranked.select(F.col("rep").alias("doc_id")).distinct()
@@ -210,10 +258,7 @@ def similar_documents(
     linked = connect(ranked, sets, numerator, denominator)
 
     by_class = (
-        identified.select("doc_id", "low", "high", "n")
-        .join(classes.select("low", "high", "n", "rep"), ["low", "high", "n"])
-        .select("doc_id", "rep")
-        .join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+        members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
         .groupBy("doc_id")
         .agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     )
@@ -227,53 +272,49 @@ def similar_documents(
 def connect(ranked: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(node, component) of the verified links among documents that share a block.
 
-    Round r takes the members ranked 2^r - 1 up to 2^(r+1) - 2 of every block
-    that still holds two components and compares them with later members of
-    other components. It ends when no block has such members left.
+    The first round compares the first member of every block with the others,
+    each later round eight times as many members, among the blocks that still
+    hold two components. It ends when no block has such members left.
     """
-    named, low = None, 0
+    in_block = Window.partitionBy("key")
+    named, low, high = None, 0, 1
     while True:
-        high = 2 * low + 1
         if named is None:
             state = ranked.withColumn("component", F.col("rep"))
         else:
-            state = (
+            state = materialise(
                 ranked.join(named.withColumnRenamed("node", "rep"), "rep", "left")
                 .withColumn("component", F.coalesce("component", "rep"))
+                .withColumn("apart", F.min("component").over(in_block) < F.max("component").over(in_block))
+                .withColumn("top", F.max("rank").over(in_block))
+                .filter(F.col("apart") & (F.col("top") > low))
+                .drop("apart", "top"),
+                "live",
             )
-            unfinished = (
-                state.groupBy("key")
-                .agg(
-                    F.min("component").alias("one"),
-                    F.max("component").alias("other"),
-                    F.max("rank").alias("top"),
-                )
-                .filter((F.col("one") < F.col("other")) & (F.col("top") > low))
-                .select("key")
-            )
-            state = materialise(state.join(unfinished, "key", "left_semi"), "live")
             if state.isEmpty():
                 return named
         pivots = state.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
             "key", F.col("rep").alias("a"), F.col("n").alias("n_a"),
             F.col("rank").alias("rank_a"), F.col("component").alias("component_a"),
+            *[F.col(s).alias(f"{s}_a") for s in SKETCH],
         )
+        # The sketches differ in no more bits than the sets in elements; all of this
+        # is part of the join's condition, so only promising pairs leave the join.
+        differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_a"))) for s in SKETCH])
+        apart = (F.col("n") + F.col("n_a")) * (denominator - numerator)
         pairs = (
             state.join(pivots, "key")
             .filter((F.col("rank") > F.col("rank_a")) & (F.col("component") != F.col("component_a")))
-            .filter(
-                F.least("n", "n_a") * denominator >= F.greatest("n", "n_a") * numerator
-            )
+            .filter(F.least("n", "n_a") * denominator >= F.greatest("n", "n_a") * numerator)
+            .filter(differ * (denominator + numerator) <= apart)
             .select("a", F.col("rep").alias("b"))
             .distinct()
         )
         found = verify(pairs, sets, numerator, denominator)
         if named is not None:  # a component stays one through the star of its members
-            found = found.unionByName(
-                named.select(F.col("component").alias("a"), F.col("node").alias("b"))
-            )
+            found = found.unionByName(named.select(F.col("component").alias("a"), F.col("node").alias("b")))
         named = components(found)
-        low = high
+        low, high = high, 8 * high + high
 
 
 def oracle(width: int, numerator: int, denominator: int) -> str:
