@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -245,18 +244,26 @@ def packed(parts: DataFrame, capacity: int = 4096, group_windows: int = 512) ->
     place = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
     columns = parts.columns
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "row"], kind="stable", ignore_index=True)
-        window = windows_of(group["length"].to_numpy(), capacity)
-        group["sequence_id"] = group["group"].to_numpy() * (1 << 20) + window
-        group["offset"] = group.groupby("sequence_id")["length"].cumsum() - group["length"]
-        return group[[*columns, "sequence_id", "offset"]]
+    def pack(group: pa.Table) -> pa.Table:
+        doc, start, row, length = (
+            group.column(name).fill_null(-1).to_numpy() for name in ("doc_id", "start", "row", "length")
+        )
+        order = np.lexsort((row, start, doc))
+        length = length[order]
+        sequence = group.column("group")[0].as_py() * (1 << 20) + windows_of(length, capacity)
+        along = np.argsort(sequence, kind="stable")
+        before = np.cumsum(length[along]) - length[along]
+        first = np.flatnonzero(np.diff(sequence[along], prepend=-1))
+        offset = np.zeros(len(length), np.int64)
+        offset[along] = before - np.repeat(before[first], np.diff(first, append=len(length)))
+        out = group.select(columns).take(pa.array(order))
+        return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
     return (
         parts.select("*", F.pmod(place, F.lit(groups)).alias("group"), place.alias("row"))
         .groupBy("group")
-        .applyInPandas(pack, f"{types}, sequence_id bigint, offset bigint")
+        .applyInArrow(pack, f"{types}, sequence_id bigint, offset bigint")
     )
 
 
