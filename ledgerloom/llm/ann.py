@@ -44,6 +44,7 @@ WANTED_SHARE = 0.97
 LIST_BLOCK, QUERY_BLOCK = 8192, 2048
 COLUMNS = 16
 CONFIDENCE = 2.1
+DENSE = 0.05  # share of pairs below which they are followed one by one
 SCHEMA = "query_id bigint, vec_id bigint, score double"
 
 
@@ -153,19 +154,27 @@ def scan(
         worst = best[:, -1]
         # Squared distance is |q|^2 + R^2 - 2 q.x, so the worst result gives the limit.
         limit = (queries**2).sum(axis=1) + index.radius**2 - 2 * worst
-        left, right = flat[:, :COLUMNS], chunk[:, :COLUMNS]
-        partial = (left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2 * left @ right.T
-        query, item = np.nonzero(
-            (partial * (size / COLUMNS) <= limit[:, None] * (1 + CONFIDENCE / np.sqrt(COLUMNS)) ** 2)
-            & (query_ids[:, None] != ids[None, begin:end])
-        )
-        so_far = partial[query, item]
-        for low in range(COLUMNS, size, COLUMNS):
+        alive = query_ids[:, None] != ids[None, begin:end]
+        partial = np.zeros(alive.shape)
+        query = item = so_far = None
+        for low in range(0, size, COLUMNS):
             high = min(size, low + COLUMNS)
-            so_far = so_far + ((flat[query, low:high] - chunk[item, low:high]) ** 2).sum(axis=1)
             bound = 1.0 if high == size else (1 + CONFIDENCE / np.sqrt(high)) ** 2
-            stays = so_far * (size / high) <= limit[query] * bound * (1 + 1e-9) + 1e-12
+            scale = (high / size) * bound * (1 + 1e-9)
+            if query is None and alive.mean() > DENSE:
+                # While most pairs are left, a block of columns is one matrix product.
+                left, right = flat[:, low:high], chunk[:, low:high]
+                partial += (left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2 * left @ right.T
+                alive &= partial <= (limit * scale + 1e-12)[:, None]
+                continue
+            if query is None:
+                query, item = np.nonzero(alive)
+                so_far = partial[query, item]
+            so_far = so_far + ((flat[query, low:high] - chunk[item, low:high]) ** 2).sum(axis=1)
+            stays = so_far <= limit[query] * scale + 1e-12
             query, item, so_far = query[stays], item[stays], so_far[stays]
+        if query is None:
+            query, item = np.nonzero(alive)
         score = np.einsum("ij,ij->i", queries[query], points[begin + item])
         rows, first, count = np.unique(query, return_index=True, return_counts=True)
         if len(rows):
