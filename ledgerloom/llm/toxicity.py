@@ -16,7 +16,9 @@ significant ones. A logistic curve over binned evidence turns it into a
 probability.
 
 The fit reads a bounded sample of labelled rows, at most ``SAMPLE`` of each
-label, drawn by id; scoring reads every text whole.
+label, drawn by id; scoring reads every text whole. The curve counts each sampled
+row for as many rows of its label as it stands for, so that probabilities follow
+the share of toxic labels in all of them, at any size.
 
 Defined results: a null or empty text has no segment and gets the lowest score;
 labels that are null, or whose id is null or missing among the documents, teach
@@ -189,8 +191,10 @@ def log_odds(counts: DataFrame) -> DataFrame:
     return counts.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / ours + 1 / theirs))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE) -> DataFrame:
-    """(toxic, text) of at most about ``most`` documents of each label that may teach.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE
+) -> tuple[DataFrame, dict[int, float]]:
+    """(toxic, text) of at most about ``most`` documents of each label that may teach, and each label's share drawn.
 
     The sample's ids are bounded by the parameter, so they are broadcast and no
     text is shuffled.
@@ -201,11 +205,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int
         .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     )
     counts = {row["toxic"]: row["count"] for row in marked.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, most / max(most, counts.get(1, 0))).otherwise(
-        most / max(most, counts.get(0, 0))
-    )
+    shares = {label: most / max(most, counts.get(label, 0)) for label in (1, 0)}
+    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
     draw = F.crc32(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))) / float(1 << 32)
-    return docs.select("doc_id", "text").join(F.broadcast(marked.filter(draw < share)), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(marked.filter(draw < share)), "doc_id"), shares
 
 
 def karlin_scale(scores: np.ndarray, rates: np.ndarray, penalty: float) -> float:
@@ -246,7 +249,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, learn: Column) -> Lexicon:
     ``learn`` tells by ``doc_id`` which labels may be used. The driver gets the
     lexicon and two histograms, all of fixed size.
     """
-    sample = labelled_sample(docs, labels, learn)
+    sample, shares = labelled_sample(docs, labels, learn)
     strong = (
         log_odds(feature_counts(sample))
         .filter((F.col("toxic") >= 3) & (F.col("z") > 3) & (F.col("odds") > 0))
@@ -286,7 +289,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, learn: Column) -> Lexicon:
     rows = scored.groupBy("toxic", F.floor(F.col("evidence") / width).alias("bin")).count().collect()
     toxic, other = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for row in rows:
-        (toxic if row["toxic"] else other)[row["bin"]] += row["count"]
+        (toxic if row["toxic"] else other)[row["bin"]] += row["count"] / shares[row["toxic"]]
     if toxic.sum() and other.sum():
         lexicon.intercept, lexicon.slope = fit_curve((np.arange(BINS + 1) + 0.5) * width, toxic, other)
     elif toxic.sum():

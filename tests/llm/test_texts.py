@@ -397,3 +397,26 @@ def test_toxicity_on_held_out_rows(spark, documents, edges, empty):
     assert toxicity.document_toxicity(empty, table).count() == 0
     nothing = table.limit(0)
     assert {row["predicted"] for row in toxicity.document_toxicity(documents(rows[:5]), nothing).collect()} == {0}
+
+
+def test_toxicity_scores_do_not_follow_the_sample(spark, documents, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(3000):
+        words = [f"w{chr(97 + a)}{chr(97 + b)}" for a, b in rng.integers(0, 5, (40, 2))]
+        toxic = i % 10 == 0
+        bad = rng.integers(1, 4) if toxic else int(rng.random() < 0.05)  # one such word occurs under either label
+        for at in rng.choice(40, bad, replace=False):
+            words[at] = "vileword"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs = documents(rows)
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    whole = by_id(toxicity.document_toxicity(docs, table))
+    # About all toxic rows that teach, and a ninth of the clean ones.
+    monkeypatch.setattr(toxicity.labelled_sample, "__defaults__", (240,))
+    drawn = by_id(toxicity.document_toxicity(docs, table))
+    one = next(i for i, text in rows if text.count("vileword") == 1)
+    assert abs(whole[one]["score"] - drawn[one]["score"]) < 0.1
+    assert sum(abs(whole[i]["score"] - drawn[i]["score"]) for i, _ in rows) / len(rows) < 0.01
+    assert sum(whole[i]["predicted"] != drawn[i]["predicted"] for i, _ in rows) < 0.01 * len(rows)
