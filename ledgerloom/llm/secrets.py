@@ -49,13 +49,26 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
-PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+# A private key runs to its END line, over up to 64 runs of hyphens, such as those of
+# header fields or of a diff, but not past the next line of five. Where no END line
+# follows, it runs over header fields and lines of base64, in breaks that may be
+# escaped, indented, quoted or commented out; up to 200 such lines not directly
+# below each other, as repeating a group takes stack. The last word may be prose.
+_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_CLOSED = r"[^-]*(?:-{1,4}[^-]+){0,64}-{5,}END [A-Z ]*PRIVATE KEY-----"
+_BREAK = r"""[\t "'>|#*,;]*[\r\n\\][\t\r\n\\ "'>|#*,;]*"""
+_FIELDS = rf"(?:{_BREAK}[A-Za-z]+-[A-Za-z]+: [^\r\n\\]*){{0,8}}"
+_LINES = (
+    rf"""(?:(?:{_BREAK}(?:-[\t "'>|#*,;]*)?[A-Za-z0-9+/=]|[\t ]*{'[A-Za-z0-9+/=]' * 16})"""
+    r"(?:[A-Za-z0-9+/=\r\n\\]*[A-Za-z0-9+/=])?){0,200}"
+)
+PEM = f"{_HEAD}(?:{_CLOSED}|{_FIELDS}{_LINES})"
 JWT = r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 
 # In the order that breaks ties between spans of one start. Hex runs are maximal,
 # so asking for 16 digits in the pattern equals dropping shorter runs afterwards.
 BASE = (Rule("assign", ASSIGN, 2, 12), Rule("access", ACCESS, 0, 18), Rule("hex", HEX, 0, 16))
-RULES = (*BASE, Rule("pem", PEM), Rule("jwt", JWT))
+RULES = (*BASE, Rule("pem", PEM, version=2), Rule("jwt", JWT))
 
 
 def content_address(text: Column) -> Column:
@@ -152,18 +165,21 @@ def update_ledger(
 def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per version of a path: (path, blob, spans), the spans of all its rules in order.
 
+    Spans that other versions of a rule found are left out.
     Only blobs with findings take part in the join, which is what makes that side small;
     the versions of a blob with very many of them spread over several tasks.
     """
-    kinds = [rule.kind for rule in rules]
+
+    def current(span: Column) -> Column:
+        return reduce(
+            Column.__or__, [(span["kind"] == rule.kind) & F.array_contains("rules", rule.key) for rule in rules]
+        )
+
     hits = (
         ledger.filter(F.size("spans") > 0)
+        .select("blob", F.filter("spans", current).alias("spans"))
         .groupBy("blob")
-        .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-        .select(
-            "blob",
-            F.array_sort(F.filter("spans", lambda span: span["kind"].isin(kinds))).alias("spans"),
-        )
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     )
     empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return (
