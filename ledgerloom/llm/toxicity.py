@@ -88,24 +88,32 @@ def maximal_segments(places: np.ndarray, gains: np.ndarray, penalty: float) -> l
     """All maximal scoring segments (first, last, score) of a text.
 
     Only tokens with a gain are given; every token in between costs the penalty.
+    Linear: candidates are closed once no sum before one is smaller than the next's,
+    and each keeps the place of the nearest before it whose sum is smaller.
     """
-    kept: list[list[float]] = []  # first, last, sum before it, sum after it
+    closed: list[list[float]] = []
+    kept: list[list[float]] = []  # first, last, sum before it, sum after it, that place or -1
     total, last = 0.0, -1
     for place, gain in zip(places.tolist(), gains.tolist()):
         total -= penalty * (place - last - 1)
         last = place
         segment = [place, place, total, total + gain]
         total += gain
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= segment[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= segment[3]:
-                kept.append(segment)
+                j = kept[j][4]
+            if j < 0:
+                closed += kept
+                kept = [[*segment, j]]
                 break
-            segment[0], segment[2] = kept[j][0], kept[j][2]
+            if kept[j][3] >= segment[3]:
+                kept.append([*segment, j])
+                break
+            segment[0], segment[2], link = kept[j][0], kept[j][2], kept[j][4]
             del kept[j:]
-    return [(int(first), int(end), after - before) for first, end, before, after in kept]
+            j = link
+    return [(int(first), int(end), after - before) for first, end, before, after, _ in closed + kept]
 
 
 def surprise(score: float, size: int, scale: float) -> float:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -422,6 +423,13 @@ def test_segments_against_their_definition(scores):
         assert score == pytest.approx(sum(scores[first : last + 1]))
 
 
+def test_segments_of_long_clean_text_take_linear_time():
+    began = time.process_time()
+    found = toxicity.maximal_segments(np.arange(0, 1_200_000, 30), np.full(40_000, 1.5), 1.0)
+    assert [segment[:2] for segment in found] == [(at, at) for at in range(0, 1_200_000, 30)]
+    assert time.process_time() - began < 5
+
+
 def test_toxicity_on_held_out_rows(spark, documents, edges, empty):
     rng = np.random.default_rng(6)
     rows, labels = [], []
