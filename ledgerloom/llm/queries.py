@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import ann, jaccard, langid, lm, mixing, packing, rangejoin, recompression, secrets, toxicity
+from ledgerloom.llm import (
+    ann,
+    jaccard,
+    langid,
+    lm,
+    manifest,
+    mixing,
+    packing,
+    radix,
+    rangejoin,
+    recompression,
+    secrets,
+    toxicity,
+    winnow,
+)
 from ledgerloom.session import scratch_path
 
 
@@ -68,6 +82,21 @@ def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     return recompression.removal_digest(_table(spark, folder, "documents"), 20)
 
 
+def op11_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of ten words in every document."""
+    return winnow.contamination_digest(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 10)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return radix.prefix_nodes(_table(spark, folder, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaf, proof and folded root of every document."""
+    return manifest.manifest(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_jaccard_join": op2_jaccard_join,
@@ -79,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_range_join": op9_range_join,
     "op10_recompression": op10_recompression,
+    "op11_winnowing": op11_winnowing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -88,6 +120,9 @@ ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": secrets.oracle(),
     "op9_range_join": rangejoin.oracle(0.9),
     "op10_recompression": recompression.oracle(20),
+    "op11_winnowing": winnow.oracle(10),
+    "op12_prefix_trie": radix.oracle(),
+    "op13_merkle_manifest": manifest.oracle(),
 }
 
 if corpus_pipeline.ORACLE_SQL:

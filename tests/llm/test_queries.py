@@ -9,7 +9,7 @@ import pytest
 from ledgerloom.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "labels"]
+TABLES = ["documents", "embeddings", "labels", "benchmark", "conversations"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
