@@ -33,12 +33,15 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **con
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables, visible to every executor.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; where that is
-    unset, a folder below the warehouse, which executors share as well.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a session
+    whose executors are threads of the driver may leave that unset; it gets a
+    folder below its warehouse.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
@@ -85,3 +88,11 @@ def materialise(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing will read again."""
+    for frame in frames:
+        for folder in {path.rsplit("/", 1)[0] for path in frame.inputFiles()}:
+            if "/ledgerloom-" in folder:
+                discard(frame.sparkSession, folder)
