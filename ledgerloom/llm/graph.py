@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialise
+from ledgerloom.session import materialise, release
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -46,9 +46,11 @@ def components(links: DataFrame) -> DataFrame:
                 )
             ).alias("edge")
         )
+        before = edges
         edges = materialise(
             small.select("edge.*").filter(F.col("u") != F.col("v")).distinct(), "edges"
         )
+        release(before)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

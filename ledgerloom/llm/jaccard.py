@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.skew import spread_join
 from ledgerloom.llm.words import Splitter, in_batches, mix, sequence_hash, stretches
-from ledgerloom.session import materialise
+from ledgerloom.session import materialise, release
 
 
 class Shingles:
@@ -240,11 +240,13 @@ def similar_documents(
         .filter("other")
         .select("key", "doc_id")
     )
+    # Two numbers a row: sizes and sketches join the far fewer pairs, not the blocks.
     ranked = materialise(
-        shared.join(members, "doc_id")
-        .select("key", "rep", "n", *SKETCH)
-        .dropDuplicates(["key", "rep"])
-        .withColumn("rank", F.row_number().over(same.orderBy("rep")) - 1)
+        shared.join(members.select("doc_id", "rep"), "doc_id")
+        .select("key", "rep")
+        .repartition("key")
+        .distinct()
+        .withColumn("rank", (F.row_number().over(same.orderBy("rep")) - 1).cast("int"))
         .withColumn("most", F.max("rank").over(same))
         .filter("most > 0")
         .drop("most"),
@@ -255,7 +257,9 @@ def similar_documents(
         shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width),
         "sets",
     )
-    linked = connect(ranked, sets, numerator, denominator)
+    sketches = members.filter(F.col("doc_id") == F.col("rep")).select("rep", "n", *SKETCH)
+    linked = connect(ranked, sketches, sets, numerator, denominator)
+    release(ranked, sets)
 
     by_class = (
         members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
@@ -269,7 +273,28 @@ def similar_documents(
     )
 
 
-def connect(ranked: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def promising(pairs: DataFrame, sketches: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and short sketches allow the threshold.
+
+    The sketches differ in no more bits than the sets in elements.
+    """
+    first = sketches.select(
+        F.col("rep").alias("a"), F.col("n").alias("n_a"), *[F.col(s).alias(f"{s}_a") for s in SKETCH]
+    )
+    differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_a"))) for s in SKETCH])
+    apart = (F.col("n") + F.col("n_a")) * (denominator - numerator)
+    return (
+        pairs.join(first, "a")
+        .join(sketches.withColumnRenamed("rep", "b"), "b")
+        .filter(F.least("n", "n_a") * denominator >= F.greatest("n", "n_a") * numerator)
+        .filter(differ * (denominator + numerator) <= apart)
+        .select("a", "b")
+    )
+
+
+def connect(
+    ranked: DataFrame, sketches: DataFrame, sets: DataFrame, numerator: int, denominator: int
+) -> DataFrame:
     """(node, component) of the verified links among documents that share a block.
 
     The first round compares the first member of every block with the others,
@@ -277,13 +302,15 @@ def connect(ranked: DataFrame, sets: DataFrame, numerator: int, denominator: int
     hold two components. It ends when no block has such members left.
     """
     in_block = Window.partitionBy("key")
-    named, low, high = None, 0, 1
+    named, state, low, high = None, None, 0, 1
     while True:
+        before = state
         if named is None:
             state = ranked.withColumn("component", F.col("rep"))
         else:
             state = materialise(
-                ranked.join(named.withColumnRenamed("node", "rep"), "rep", "left")
+                (ranked if before is None else before).drop("component")
+                .join(named.withColumnRenamed("node", "rep"), "rep", "left")
                 .withColumn("component", F.coalesce("component", "rep"))
                 .withColumn("apart", F.min("component").over(in_block) < F.max("component").over(in_block))
                 .withColumn("top", F.max("rank").over(in_block))
@@ -291,26 +318,20 @@ def connect(ranked: DataFrame, sets: DataFrame, numerator: int, denominator: int
                 .drop("apart", "top"),
                 "live",
             )
+            if before is not None and low > 1:
+                release(before)
             if state.isEmpty():
                 return named
         pivots = state.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
-            "key", F.col("rep").alias("a"), F.col("n").alias("n_a"),
-            F.col("rank").alias("rank_a"), F.col("component").alias("component_a"),
-            *[F.col(s).alias(f"{s}_a") for s in SKETCH],
+            "key", F.col("rep").alias("a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a")
         )
-        # The sketches differ in no more bits than the sets in elements; all of this
-        # is part of the join's condition, so only promising pairs leave the join.
-        differ = reduce(Column.__add__, [F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_a"))) for s in SKETCH])
-        apart = (F.col("n") + F.col("n_a")) * (denominator - numerator)
         pairs = (
             state.join(pivots, "key")
             .filter((F.col("rank") > F.col("rank_a")) & (F.col("component") != F.col("component_a")))
-            .filter(F.least("n", "n_a") * denominator >= F.greatest("n", "n_a") * numerator)
-            .filter(differ * (denominator + numerator) <= apart)
             .select("a", F.col("rep").alias("b"))
             .distinct()
         )
-        found = verify(pairs, sets, numerator, denominator)
+        found = verify(promising(pairs, sketches, numerator, denominator), sets, numerator, denominator)
         if named is not None:  # a component stays one through the star of its members
             found = found.unionByName(named.select(F.col("component").alias("a"), F.col("node").alias("b")))
         named = components(found)
