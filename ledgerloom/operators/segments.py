@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import half_even
 from ledgerloom.functions.columns import FEATURE
+from ledgerloom.operators import kmeans
 from ledgerloom.operators.customers import log_features
 from ledgerloom.operators.scaling import assemble, standardise
 from ledgerloom.operators.scores import davies_bouldins, silhouettes
@@ -33,41 +31,9 @@ def scaled_names(columns: Sequence[str]) -> list[str]:
     return [f"{name}_log_scaled" for name in columns]
 
 
-def fit_kmeans(
-    points: DataFrame,
-    ks: Sequence[int],
-    starts: int = 10,
-    seed: int = 42,
-    parallel: int = 8,
-) -> dict[int, KMeansModel]:
-    """For each k, the model of lowest cost among several seeded starts.
-
-    A few of the distributed fits share the cluster at a time, as in a parameter
-    grid; the driver sees the centres and the cost of each. Labels go to
-    ``cluster_<k>``.
-    """
-    space = points.select("point").persist()
-
-    def fit(job: tuple[int, int]) -> KMeansModel:
-        k, start = job
-        return KMeans(
-            k=k, seed=seed + start, featuresCol="point", predictionCol=f"cluster_{k}", maxIter=300, tol=0.0
-        ).fit(space)
-
-    jobs = [(k, start) for k in ks for start in range(starts)]
-    try:
-        with ThreadPool(max(1, min(parallel, len(jobs)))) as pool:
-            task = inheritable_thread_target(space.sparkSession)(fit)
-            models = list(zip(jobs, pool.map(task, jobs)))
-    finally:
-        space.unpersist()
-    return {
-        k: min(
-            (model for (size, _), model in models if size == k),
-            key=lambda model: model.summary.trainingCost,
-        )
-        for k in ks
-    }
+def with_labels(points: DataFrame, coordinates: Sequence[str], ks: Sequence[int], starts: int = 10) -> DataFrame:
+    """Points with ``cluster_<k>`` for each k, from models that are fitted together."""
+    return kmeans.labelled(points, coordinates, kmeans.fit_models(points, coordinates, list(ks), starts))
 
 
 def relabel(labelled: DataFrame, label: str, by: str = "Monetary") -> DataFrame:
@@ -90,10 +56,8 @@ def kmeans_sweep(
     starts: int = 10,
 ) -> DataFrame:
     """Silhouette and Davies-Bouldin score of the best k-means model for each k."""
-    models = fit_kmeans(points, list(ks), starts)
-    labelled = reduce(lambda frame, model: model.transform(frame), models.values(), points)
-    labels = {k: f"cluster_{k}" for k in models}
-    return score_labels(labelled, coordinates, labels, method)
+    labelled = with_labels(points, coordinates, ks, starts)
+    return score_labels(labelled, coordinates, {k: f"cluster_{k}" for k in ks}, method)
 
 
 def score_labels(
@@ -124,12 +88,24 @@ def best_k(scores: DataFrame) -> DataFrame:
 
 
 def segment_customers(
-    points: DataFrame, ks: Sequence[int] = (3, 4), starts: int = 10
+    points: DataFrame, coordinates: Sequence[str], ks: Sequence[int] = (3, 4), starts: int = 10
 ) -> DataFrame:
     """Each customer with its label under every k, as ``cluster_k`` columns."""
-    models = fit_kmeans(points, list(ks), starts)
-    labelled = reduce(lambda frame, model: model.transform(frame), models.values(), points)
-    return reduce(lambda frame, k: relabel(frame, f"cluster_{k}"), models, labelled)
+    labelled = materialise(with_labels(points, coordinates, ks, starts), "labelled")
+    return reduce(lambda frame, k: relabel(frame, f"cluster_{k}"), ks, labelled)
+
+
+def winning_segments(
+    points: DataFrame, coordinates: Sequence[str], ks: Sequence[int] = range(2, 9), starts: int = 10
+) -> DataFrame:
+    """Each customer with ``cluster``, its label under the k of the highest silhouette, and ``Clusters``, that k."""
+    labelled = materialise(with_labels(points, coordinates, ks, starts), "labelled")
+    scores = score_labels(labelled, coordinates, {k: f"cluster_{k}" for k in ks}, "KMeans")
+    row = best_k(scores).first()
+    if row is None:
+        return labelled.withColumns({"cluster": F.lit(0), "Clusters": F.lit(0)})  # no customers
+    k = row["Clusters"]
+    return relabel(labelled, f"cluster_{k}").withColumns({"cluster": F.col(f"cluster_{k}"), "Clusters": F.lit(k)})
 
 
 def cluster_summary(labelled: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:

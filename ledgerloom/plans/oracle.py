@@ -434,13 +434,22 @@ DESIGN_SUMS = ", ".join(
 
 for _parts in (2, 3, 4):
     CTES[f"space{_parts}"] = f"SELECT s.*, segment FROM scaled s JOIN seg{_parts} USING (CustomerID)"
-CTES["distances"] = """
-    SELECT s.CustomerID AS a, p.CustomerID AS b,
-           (s.x0 - p.x0) ** 2 + (s.x1 - p.x1) ** 2 + (s.x2 - p.x2) ** 2 AS d
-    FROM scaled s JOIN scaled p ON true"""
 
 
-def _silhouette(labels: str) -> str:
+def _gap(left: str, right: str, axes: int) -> str:
+    return " + ".join(f"({left}.x{i} - {right}.x{i}) ** 2" for i in range(axes))
+
+
+def _distances(name: str, source: str, axes: int) -> None:
+    CTES[name] = f"""
+    SELECT s.CustomerID AS a, p.CustomerID AS b, {_gap("s", "p", axes)} AS d
+    FROM {source} s JOIN {source} p ON true"""
+
+
+_distances("distances", "scaled", 3)
+
+
+def _silhouette(labels: str, distances: str = "distances") -> str:
     """Mean silhouette under a labelling given as a table (CustomerID, segment)."""
     return f"""
         SELECT avg(CASE WHEN own_size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s
@@ -448,27 +457,124 @@ def _silhouette(labels: str) -> str:
                      max(CASE WHEN a.own = a.seg THEN a.total / nullif(a.n - 1, 0) END) AS a,
                      min(CASE WHEN a.own <> a.seg THEN a.total / a.n END) AS b
               FROM (SELECT d.a, l.segment AS own, r.segment AS seg, count(*) AS n, sum(d.d) AS total
-                    FROM distances d JOIN {labels} l ON l.CustomerID = d.a
+                    FROM {distances} d JOIN {labels} l ON l.CustomerID = d.a
                     JOIN {labels} r ON r.CustomerID = d.b GROUP BY ALL) a
               GROUP BY a.a)"""
 
 
-def _davies_bouldin(labels: str) -> str:
+def _davies_bouldin(labels: str, axes: int = 3) -> str:
     return f"""
         SELECT avg(worst) AS db FROM (
-            SELECT i.segment, max((i.s + j.s) / sqrt((i.c0 - j.c0) ** 2 + (i.c1 - j.c1) ** 2
-                                                     + (i.c2 - j.c2) ** 2)) AS worst
+            SELECT i.segment, max((i.s + j.s) / sqrt({_gap("i", "j", axes)})) AS worst
             FROM {labels}_spread i JOIN {labels}_spread j ON i.segment <> j.segment GROUP BY i.segment)"""
 
 
-for _parts in (2, 3, 4):
-    CTES[f"space{_parts}_spread"] = f"""
-        SELECT segment, any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2,
-               avg(sqrt((x0 - c0) ** 2 + (x1 - c1) ** 2 + (x2 - c2) ** 2)) AS s
-        FROM (SELECT *, avg(x0) OVER g AS c0, avg(x1) OVER g AS c1, avg(x2) OVER g AS c2
-              FROM space{_parts} WINDOW g AS (PARTITION BY segment))
+def _spread(labels: str, axes: int = 3) -> None:
+    """Each cluster's centre and the mean distance to it."""
+    centre = ", ".join(f"avg(x{i}) OVER g AS c{i}" for i in range(axes))
+    same = ", ".join(f"any_value(c{i}) AS x{i}" for i in range(axes))
+    apart = " + ".join(f"(x{i} - c{i}) ** 2" for i in range(axes))
+    CTES[f"{labels}_spread"] = f"""
+        SELECT segment, {same}, avg(sqrt({apart})) AS s
+        FROM (SELECT *, {centre} FROM {labels} WINDOW g AS (PARTITION BY segment))
         GROUP BY segment"""
 
+
+for _parts in (2, 3, 4):
+    _spread(f"space{_parts}")
+
+
+def _scale(name: str, source: str, columns: Sequence[str]) -> None:
+    """Standardised logarithms x0, x1, ... of columns."""
+    cells = ", ".join(f"(l{i} - avg(l{i}) OVER ()) / stddev_pop(l{i}) OVER () AS x{i}" for i in range(len(columns)))
+    logs = ", ".join(f"ln(1 + {n}::DOUBLE) AS l{i}" for i, n in enumerate(columns))
+    CTES[name] = f"SELECT CustomerID, {cells} FROM (SELECT CustomerID, {logs} FROM {source})"
+
+
+def _kmeans(name: str, source: str, axes: int, ks: Sequence[int], starts: int = 10, scale: int = 1_000_000) -> None:
+    """Rounds of every start of every k until nothing moves; ``<name><k>`` holds (CustomerID, x..., segment)."""
+    count = starts * max(ks)
+    names = ", ".join(f"q{i}" for i in range(axes))
+    CTES[f"{name}_grid"] = f"""
+        SELECT CustomerID, {", ".join(f"x{i}, CAST(CAST(round(x{i} * {scale}) AS BIGINT) AS DOUBLE) AS q{i}" for i in range(axes))}
+        FROM {source}"""
+    CTES[f"{name}_seeds"] = f"""
+        SELECT row_number() OVER (ORDER BY d) - 1 AS r, [{names}] AS q
+        FROM (SELECT {names}, min(md5(CustomerID)) AS d FROM {name}_grid GROUP BY {names})
+        QUALIFY r < {count}"""
+    CTES[f"{name}_jobs"] = f"""
+        SELECT k, s, (SELECT count(*) FROM {name}_seeds) AS m
+        FROM (SELECT unnest([{", ".join(map(str, ks))}]) AS k) JOIN (SELECT unnest(range({starts})) AS s) ON true"""
+    CTES[f"{name}_begin"] = f"""
+        SELECT k, s, list(q ORDER BY j) AS centres
+        FROM (SELECT *, unnest(range(k)) AS j FROM {name}_jobs) JOIN {name}_seeds ON r = (s + {starts} * j) % m
+        GROUP BY k, s"""
+    gap = " + ".join(f"(q{i} - c[{i + 1}]) * (q{i} - c[{i + 1}])" for i in range(axes))
+    near = f"list_transform(centres, lambda c: {gap})"
+    sums = ", ".join(f"sum(CAST(q{i} AS HUGEINT)) AS s{i}" for i in range(axes))
+    total = "[" + ", ".join(f"CAST(s{i} AS DOUBLE) / n" for i in range(axes)) + "]"
+    square = " + ".join(f"s{i} * s{i}" for i in range(axes))
+    step = [f"(fresh[j][{i + 1}] - centres[j][{i + 1}])" for i in range(axes)]
+    shift = " + ".join(f"{x} * {x}" for x in step)
+    CTES[f"{name}_rounds"] = f"""
+        SELECT k, s, 0 AS round, centres, true AS moved, 0::HUGEINT AS gain FROM {name}_begin
+        UNION ALL
+        SELECT k, s, round + 1, fresh, list_sum(list_transform(range(1, k + 1), lambda j: {shift})) > {1e-4 * scale * scale}, gain
+        FROM (SELECT k, s, round, centres, gain,
+                     list_transform(range(1, k + 1), lambda j: coalesce(found[j], centres[j])) AS fresh
+              FROM (SELECT k, s, any_value(round) AS round, any_value(centres) AS centres,
+                           map(list(j ORDER BY j), list({total} ORDER BY j)) AS found,
+                           CAST(sum(({square}) // n) AS HUGEINT) AS gain
+                    FROM (SELECT k, s, j, any_value(round) AS round, any_value(centres) AS centres, count(*) AS n, {sums}
+                          FROM (SELECT k, s, round, centres, {names}, list_position({near}, list_min({near})) AS j
+                                FROM {name}_rounds JOIN {name}_grid ON moved)
+                          GROUP BY k, s, j)
+                    GROUP BY k, s))"""
+    CTES[f"{name}_best"] = f"""
+        SELECT k, centres FROM {name}_rounds WHERE NOT moved
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, s) = 1"""
+    for k in ks:
+        CTES[f"{name}{k}"] = f"""
+            SELECT CustomerID, {", ".join(f"x{i}" for i in range(axes))}, list_position({near}, list_min({near})) AS segment
+            FROM {name}_grid JOIN {name}_best ON k = {k}"""
+        _spread(f"{name}{k}", axes)
+
+
+def _sweep(name: str, method: str, axes: int, ks: Sequence[int], distances: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{method}' AS Method, {k}::BIGINT AS Clusters, {even('s', 4)} AS SilhouetteScore, "
+        f"{even('db', 4)} AS DaviesBouldinIndex FROM ({_silhouette(f'{name}{k}', distances)}) "
+        f"JOIN ({_davies_bouldin(f'{name}{k}', axes)}) ON true"
+        for k in ks
+    )
+
+
+def _ordered(name: str, k: int, features: str) -> str:
+    """(features, cluster): labels by falling mean of Monetary."""
+    return f"""(SELECT f.*, dense_rank() OVER (ORDER BY mean DESC, segment) - 1 AS cluster
+        FROM (SELECT f.*, segment, avg(Monetary::DOUBLE) OVER (PARTITION BY segment) AS mean
+              FROM {name}{k} JOIN {features} f USING (CustomerID)) f)"""
+
+
+SWEPT = range(2, 9)
+_scale("scaled6", "feat", EXTENDED)
+CTES["base_kept"] = """
+    SELECT base.* FROM base JOIN (
+        SELECT quantile_cont(Monetary, 0.25) AS q1, quantile_cont(Monetary, 0.75) AS q3 FROM base)
+    ON Monetary <= q3 + 1.5::DOUBLE * (q3 - q1)"""
+_scale("scaled_kept", "base_kept", RFM)
+_distances("distances6", "scaled6", len(EXTENDED))
+_distances("distances_kept", "scaled_kept", 3)
+_kmeans("km", "scaled", 3, SWEPT)
+_kmeans("kmx", "scaled6", len(EXTENDED), SWEPT)
+_kmeans("kmp", "scaled", 3, (3, 4))
+_kmeans("kmpx", "scaled6", len(EXTENDED), (3, 4))
+_kmeans("kmf", "scaled_kept", 3, (2,))
+CTES["km_scores"] = _sweep("km", "KMeans_RFM", 3, SWEPT, "distances")
+CTES["km_win"] = "SELECT Clusters AS won FROM km_scores ORDER BY SilhouetteScore DESC, Clusters LIMIT 1"
+for _k in SWEPT:
+    CTES[f"km{_k}_ordered"] = f"SELECT {_k}::BIGINT AS Clusters, * FROM {_ordered('km', _k, 'base')} JOIN km_win ON won = {_k}"
+
 CTES |= {
     "placed": f"""
         SELECT CustomerID, {", ".join(f"CAST(floor(x{i} / {DENSITY_EPS}::DOUBLE) AS BIGINT) AS g{i}" for i in range(3))}
@@ -812,6 +918,27 @@ def statements() -> dict[str, str]:
             for k in (2, 3, 4)
         )
         + ") ORDER BY SilhouetteScore DESC, Clusters LIMIT 1",
+        "kmeans_sweep": "SELECT * FROM km_scores",
+        "kmeans_sweep_extended": _sweep("kmx", "KMeans_ExtendedFeatures", len(EXTENDED), SWEPT, "distances6"),
+        "best_k_kmeans": "SELECT * FROM km_scores ORDER BY SilhouetteScore DESC, Clusters LIMIT 1",
+        "segment_customers": f"""
+            SELECT a.CustomerID, {", ".join(f"a.{n}" for n in RFM)}, a.cluster AS cluster_3, b.cluster AS cluster_4
+            FROM {_ordered("kmp", 3, "base")} a JOIN {_ordered("kmp", 4, "base")} b USING (CustomerID)""",
+        "segment_customers_extended": f"""
+            SELECT a.CustomerID, a.cluster AS cluster_3, b.cluster AS cluster_4
+            FROM {_ordered("kmpx", 3, "feat")} a JOIN {_ordered("kmpx", 4, "feat")} b USING (CustomerID)""",
+        "segment_summary": " UNION ALL ".join(
+            f"SELECT *, {k}::BIGINT AS Clusters FROM ({_summary(_ordered('kmp', k, 'base'), 'cluster', RFM)})"
+            for k in (3, 4)
+        ),
+        "segment_summary_extended": " UNION ALL ".join(
+            f"SELECT *, {k}::BIGINT AS Clusters FROM ({_summary(_ordered('kmpx', k, 'feat'), 'cluster', EXTENDED)})"
+            for k in (3, 4)
+        ),
+        "winning_summary": " UNION ALL ".join(
+            f"SELECT *, {k}::BIGINT AS Clusters FROM ({_summary(f'km{k}_ordered', 'cluster', RFM)})" for k in SWEPT
+        ),
+        "segment_without_outliers": _sweep("kmf", "KMeans_Filtered", 3, (2,), "distances_kept"),
         "density_cells": """
             SELECT core, count(*) AS cells, CAST(sum(points) AS BIGINT) AS points,
                    CAST(max(block_points) AS BIGINT) AS largest_block FROM blocks GROUP BY core""",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,6 +118,10 @@ class Inputs:
     def rfm_points(self, features: DataFrame | None = None) -> DataFrame:
         return segments.model_space(self.rfm_table if features is None else features, customers.RFM)
 
+    @property
+    def extended_points(self) -> DataFrame:
+        return segments.model_space(self.feature_table, customers.EXTENDED)
+
     @property
     def items(self) -> DataFrame:
         clean = self.clean
@@ -614,22 +618,52 @@ def kmeans_sweep(run: Inputs) -> DataFrame:
 
 @query
 def kmeans_sweep_extended(run: Inputs) -> DataFrame:
-    points = segments.model_space(run.feature_table, customers.EXTENDED)
-    return segments.kmeans_sweep(
-        points, EXTENDED_SCALED, "KMeans_ExtendedFeatures"
-    )
+    return segments.kmeans_sweep(run.extended_points, EXTENDED_SCALED, "KMeans_ExtendedFeatures")
+
+
+@query
+def best_k_kmeans(run: Inputs) -> DataFrame:
+    return segments.best_k(segments.kmeans_sweep(run.rfm_points(), RFM_SCALED, "KMeans_RFM"))
 
 
 @query
 def segment_customers(run: Inputs) -> DataFrame:
-    labelled = segments.segment_customers(run.rfm_points(), (3, 4))
+    labelled = segments.segment_customers(run.rfm_points(), RFM_SCALED, (3, 4))
     return labelled.select("CustomerID", *customers.RFM, "cluster_3", "cluster_4")
 
 
+@query
+def segment_customers_extended(run: Inputs) -> DataFrame:
+    labelled = segments.segment_customers(run.extended_points, EXTENDED_SCALED, (3, 4))
+    return labelled.select("CustomerID", "cluster_3", "cluster_4")
+
+
+def _segment_summaries(points: DataFrame, coordinates: list[str], columns: list[str]) -> DataFrame:
+    labelled = segments.segment_customers(points, coordinates, (3, 4))
+    parts = [
+        segments.cluster_summary(labelled, f"cluster_{k}", columns)
+        .withColumnRenamed(f"cluster_{k}", "cluster")
+        .withColumn("Clusters", F.lit(k))
+        for k in (3, 4)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def segment_summary(run: Inputs) -> DataFrame:
-    labelled = segments.segment_customers(run.rfm_points(), (3,))
-    return segments.cluster_summary(labelled, "cluster_3", customers.RFM)
+    return _segment_summaries(run.rfm_points(), RFM_SCALED, customers.RFM)
+
+
+@query
+def segment_summary_extended(run: Inputs) -> DataFrame:
+    return _segment_summaries(run.extended_points, EXTENDED_SCALED, customers.EXTENDED)
+
+
+@query
+def winning_summary(run: Inputs) -> DataFrame:
+    labelled = segments.winning_segments(run.rfm_points(), RFM_SCALED)
+    summary = segments.cluster_summary(labelled, "cluster", customers.RFM)
+    return summary.withColumn("Clusters", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
 
 
 @query

@@ -53,12 +53,13 @@ def _segmentation(
 ) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Labels for every k, their scores, and the summaries of the best and the fixed ks."""
     points = segments.model_space(features, columns)
+    axes = segments.scaled_names(columns)
     labelled = materialise(
-        segments.segment_customers(points, list(options.ks), options.starts).drop("point"), "labels"
+        segments.segment_customers(points, axes, list(options.ks), options.starts).drop("point"), "labels"
     )
     labels = {k: f"cluster_{k}" for k in options.ks}
     scored = materialise(
-        segments.score_labels(labelled, segments.scaled_names(columns), labels, method), "scores"
+        segments.score_labels(labelled, axes, labels, method), "scores"
     )
     best = segments.best_k(scored).first().Clusters
     wanted = {"best": best} | {str(k): k for k in options.summary_ks}

@@ -1,5 +1,6 @@
 """Scaling, regression, clusters, scores and baskets."""
 
+import hashlib
 import itertools
 import math
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import (
     baskets,
     density,
+    kmeans,
     projection,
     regression,
     scaling,
@@ -115,11 +117,50 @@ def test_kmeans_finds_the_blobs_and_numbers_them_by_spend(spark, blobs):
     points = scaling.assemble(spark.createDataFrame(blobs), ["x", "y"])
     sweep = segments.kmeans_sweep(points, ["x", "y"], "KMeans", ks=[2, 3, 4], starts=3)
     assert segments.best_k(sweep).first().Clusters == 3
-    labelled = segments.segment_customers(points, (3,), starts=3).toPandas()
+    labelled = segments.segment_customers(points, ["x", "y"], (3,), starts=3).toPandas()
     assert labelled.groupby("cluster_3").Monetary.nunique().eq(1).all()
     assert labelled.groupby("cluster_3").Monetary.first().tolist() == [300.0, 200.0, 100.0]
 
 
+def _lloyd(points, seeds):
+    centres = np.array(seeds, float)
+    for _ in range(300):
+        label = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        moved = np.array([points[label == j].mean(0) if (label == j).any() else c for j, c in enumerate(centres)])
+        shift, centres = ((moved - centres) ** 2).sum(), moved
+        if shift <= kmeans.TOLERANCE * kmeans.SCALE**2:
+            break
+    size = [(label == j).sum() for j in range(len(centres))]
+    gain = sum((points[label == j].sum(0) ** 2).sum() / n for j, n in enumerate(size) if n)
+    return centres, gain
+
+
+def test_joint_models_equal_plain_rounds(spark):
+    rng = np.random.default_rng(8)
+    xy = np.round(rng.normal(size=(400, 2)), 6)
+    frame = spark.createDataFrame(
+        pd.DataFrame({"CustomerID": [str(i) for i in range(400)], "x": xy[:, 0], "y": xy[:, 1]})
+    ).repartition(5)
+    models = kmeans.fit_models(frame, ["x", "y"], [2, 5], starts=4)
+    points = np.round(xy * kmeans.SCALE)
+    order = sorted(range(400), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    for k in (2, 5):
+        runs = [_lloyd(points, points[[order[s + 4 * j] for j in range(k)]]) for s in range(4)]
+        best = max(runs, key=lambda run: run[1])[0]
+        assert np.allclose(np.array(models[k]), best, rtol=0, atol=1e-3)
+        got = kmeans.labelled(frame, ["x", "y"], {k: models[k]}).orderBy(F.col("CustomerID").cast("int")).toPandas()
+        want = ((points[:, None] - np.array(models[k])[None]) ** 2).sum(2).argmin(1)
+        assert (got[f"cluster_{k}"].to_numpy() == want).all()
+
+
+def test_joint_models_of_few_or_no_points(spark):
+    rows = [("a", 1.0, 2.0), ("b", 1.0, 2.0), ("c", 3.0, 4.0)]
+    frame = spark.createDataFrame(rows, "CustomerID string, x double, y double")
+    got = segments.with_labels(frame, ["x", "y"], [2, 4], 2).orderBy("CustomerID").collect()
+    assert got[0].cluster_2 == got[1].cluster_2 != got[2].cluster_2
+    assert segments.with_labels(frame.limit(0), ["x", "y"], [2], 2).count() == 0
+
+
 def test_best_k_breaks_rounded_ties_by_the_smaller_k(spark):
     rows = [("m", 3, round(0.43211, 4), 1.0), ("m", 2, round(0.43214, 4), 1.0), ("m", 4, 0.1, 1.0)]
     frame = spark.createDataFrame(

@@ -13,14 +13,6 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = ["nation", "customer", "part", "orders", "lineitem"]
 QUERIES = dict(registry.QUERIES)
 ORACLE = oracle.oracle_sql()
-# k-means labels depend on seeded starts, which SQL cannot repeat.
-ROWS_ONLY = {
-    "kmeans_sweep",
-    "kmeans_sweep_extended",
-    "segment_customers",
-    "segment_summary",
-    "segment_without_outliers",
-}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
@@ -42,9 +34,8 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
-def test_only_seeded_clusterings_lack_sql():
-    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -60,11 +51,6 @@ def test_query_matches_sql(spark, engine, name):
                 assert a == b, (left, right)
 
 
-@pytest.mark.parametrize("name", ["segment_customers", "segment_without_outliers"])
-def test_clusterings_run(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
-
-
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry_points
 
