@@ -252,14 +252,10 @@ def similar_documents(
         .drop("most"),
         "ranked",
     )
-    wanted = ranked.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(
-        shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width),
-        "sets",
-    )
+    release()  # the shuffle of all block keys has been read
     sketches = members.filter(F.col("doc_id") == F.col("rep")).select("rep", "n", *SKETCH)
-    linked = connect(ranked, sketches, sets, numerator, denominator)
-    release(ranked, sets)
+    linked = connect(ranked, sketches, Sets(docs, width), numerator, denominator)
+    release(ranked)
 
     by_class = (
         members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
@@ -292,8 +288,31 @@ def promising(pairs: DataFrame, sketches: DataFrame, numerator: int, denominator
     )
 
 
+class Sets:
+    """The shingle sets of documents that some pair needs, each made once."""
+
+    def __init__(self, docs: DataFrame, width: int) -> None:
+        self.docs, self.width = docs.select("doc_id", "text"), width
+        self.made: list[DataFrame] = []
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(doc_id, shingles) for the ends of all pairs so far."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        for known in self.made:
+            wanted = wanted.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+        wanted = materialise(wanted, "wanted")
+        if not self.made or not wanted.isEmpty():
+            texts = self.docs.join(wanted, "doc_id", "left_semi")
+            self.made.append(materialise(shingle_sets(texts, self.width), "sets"))
+        release(wanted)
+        return reduce(DataFrame.unionByName, self.made)
+
+    def close(self) -> None:
+        release(*self.made)
+
+
 def connect(
-    ranked: DataFrame, sketches: DataFrame, sets: DataFrame, numerator: int, denominator: int
+    ranked: DataFrame, sketches: DataFrame, sets: Sets, numerator: int, denominator: int
 ) -> DataFrame:
     """(node, component) of the verified links among documents that share a block.
 
@@ -321,6 +340,7 @@ def connect(
             if before is not None and low > 1:
                 release(before)
             if state.isEmpty():
+                sets.close()
                 return named
         pivots = state.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
             "key", F.col("rep").alias("a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a")
@@ -331,10 +351,12 @@ def connect(
             .select("a", F.col("rep").alias("b"))
             .distinct()
         )
-        found = verify(promising(pairs, sketches, numerator, denominator), sets, numerator, denominator)
+        close = materialise(promising(pairs, sketches, numerator, denominator), "pairs")
+        found = verify(close, sets.of(close), numerator, denominator)
         if named is not None:  # a component stays one through the star of its members
             found = found.unionByName(named.select(F.col("component").alias("a"), F.col("node").alias("b")))
         named = components(found)
+        release(close)
         low, high = high, 8 * high + high
 
 
