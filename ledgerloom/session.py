@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,8 +92,16 @@ def materialise(frame: DataFrame, name: str) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote and nothing will read again."""
+    """Delete tables that ``materialise`` wrote and nothing will read again.
+
+    Shuffle files of finished jobs go when the driver collects garbage, which a
+    driver with room to spare does too seldom for long jobs, so it is asked to.
+    """
     for frame in frames:
         for folder in {path.rsplit("/", 1)[0] for path in frame.inputFiles()}:
             if "/ledgerloom-" in folder:
                 discard(frame.sparkSession, folder)
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        gc.collect()
+        session.sparkContext._jvm.System.gc()
