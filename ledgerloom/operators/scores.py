@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _long(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """(x, label_column, cluster): every point once per labelling."""
@@ -62,6 +68,79 @@ def silhouettes(labelled: DataFrame, coordinates: Sequence[str], labels: Sequenc
     )
 
 
+def euclidean_silhouettes(
+    labelled: DataFrame,
+    coordinates: Sequence[str],
+    labels: Sequence[str],
+    key: str = "CustomerID",
+    draws: int = 1000,
+) -> DataFrame:
+    """Silhouettes by plain Euclidean distance: (label_column, draws, silhouette, standard_error).
+
+    Such distances have no closed form, so the score is a mean over at most
+    ``draws`` points, those of the smallest key digests, each against all points.
+    Tasks add up distances by drawn point and cluster in matrices, so what leaves
+    them is draws times clusters, whatever the number of points. The error is that
+    of a draw without replacement: where the draw covers all points, the score is
+    exact and the error zero. A point alone in its cluster scores 0.
+    """
+    axes = [F.col(name).cast("double") for name in coordinates]
+    points = labelled.select(F.array(*axes).alias("x"), F.array(*[F.col(c).cast("bigint") for c in labels]).alias("c"))
+    digest = F.md5(F.col(key).cast("string"))
+    chosen = labelled.select(digest.alias("d"), F.array(*axes).alias("x"), F.array(*[F.col(c).cast("bigint") for c in labels]).alias("c"))
+    drawn = chosen.orderBy("d").limit(draws).collect()  # set by the parameter
+    spots = np.array([row["x"] for row in drawn], float).reshape(len(drawn), len(coordinates))
+    own = np.array([row["c"] for row in drawn], np.int64).reshape(len(drawn), len(labels))
+    names, dims = list(labels), len(coordinates)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            place = batch.column(0).flatten().to_numpy().reshape(-1, dims)
+            cluster = batch.column(1).flatten().to_numpy().reshape(-1, len(names))
+            for begin in range(0, len(place), 1024):
+                part = place[begin : begin + 1024]
+                gap = np.sqrt(sum((spots[:, None, i] - part[None, :, i]) ** 2 for i in range(dims)))
+                for j in range(len(names)):
+                    mine = cluster[begin : begin + 1024, j]
+                    for value in np.unique(mine):
+                        state = totals.setdefault((j, int(value)), [0, np.zeros(len(spots))])
+                        state[0] += int((mine == value).sum())
+                        state[1] += gap[:, mine == value].sum(axis=1)
+        size = len(spots)
+        for (j, value), (n, total) in totals.items():
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([names[j]] * size), pa.array(range(size), pa.int64()), pa.array(own[:, j] == value),
+                    pa.array([value] * size, pa.int64()), pa.array([n] * size, pa.int64()), pa.array(total),
+                ],
+                names=["label_column", "draw", "own", "cluster", "n", "total"],
+            )
+
+    schema = "label_column string, draw bigint, own boolean, cluster bigint, n bigint, total double"
+    sums = (
+        points.mapInArrow(add, schema)
+        .groupBy("label_column", "draw", "own", "cluster")
+        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        .groupBy("label_column", "draw")
+        .agg(
+            F.sum("n").alias("all"),
+            F.max(F.when(F.col("own"), F.col("n"))).alias("size"),
+            F.max(F.when(F.col("own"), F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
+            F.min(F.when(~F.col("own"), F.col("total") / F.col("n"))).alias("b"),
+        )
+    )
+    apart = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    score = F.when(F.col("size") == 1, F.lit(0.0)).otherwise(apart)
+    unseen = F.sqrt(F.lit(1.0) - F.count(F.lit(1)) / F.max("all"))
+    error = F.coalesce(F.stddev_samp(score), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)).cast("double")) * unseen
+    return sums.groupBy("label_column").agg(
+        F.count(F.lit(1)).alias("draws"),
+        F.when(F.count("b") > 0, F.avg(score)).alias("silhouette"),  # none of a single cluster
+        F.when(F.count("b") > 0, error).alias("standard_error"),
+    )
+
+
 def _distance(left: Column, right: Column) -> Column:
     """Euclidean distance of two equally long arrays."""
     squares = F.zip_with(left, right, lambda x, y: (x - y) * (x - y))

@@ -462,6 +462,24 @@ def _silhouette(labels: str, distances: str = "distances") -> str:
               GROUP BY a.a)"""
 
 
+CTES["drawn"] = "SELECT CustomerID FROM scaled ORDER BY md5(CustomerID) LIMIT 1000"
+
+
+def _euclidean(labels: str, name: str) -> str:
+    """The mean Euclidean silhouette of the drawn points, and its standard error."""
+    return f"""
+        SELECT '{name}' AS label_column, count(*) AS draws, {even("avg(s)", 4)} AS silhouette,
+               {even("stddev_samp(s) / sqrt(count(*)) * sqrt(1 - count(*)::DOUBLE / any_value(total))", 4)} AS standard_error
+        FROM (SELECT CASE WHEN own_size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s, total
+              FROM (SELECT id, sum(n) AS total, max(CASE WHEN own = seg THEN n END) AS own_size,
+                           max(CASE WHEN own = seg THEN far / nullif(n - 1, 0) END) AS a,
+                           min(CASE WHEN own <> seg THEN far / n END) AS b
+                    FROM (SELECT d.a AS id, l.segment AS own, r.segment AS seg, count(*) AS n, sum(sqrt(d.d)) AS far
+                          FROM distances d JOIN drawn ON drawn.CustomerID = d.a JOIN {labels} l ON l.CustomerID = d.a
+                          JOIN {labels} r ON r.CustomerID = d.b GROUP BY ALL)
+                    GROUP BY id))"""
+
+
 def _davies_bouldin(labels: str, axes: int = 3) -> str:
     return f"""
         SELECT avg(worst) AS db FROM (
@@ -909,6 +927,8 @@ def statements() -> dict[str, str]:
         "cluster_summary_extended": _summary("feat4", "segment", EXTENDED),
         "silhouette": f"""
             SELECT 'segment' AS label_column, {even("s", 4)} AS silhouette FROM ({_silhouette("space3")})""",
+        "silhouette_euclidean": _euclidean("space3", "segment"),
+        "kmeans_silhouette_euclidean": " UNION ALL ".join(_euclidean(f"km{k}", f"cluster_{k}") for k in SWEPT),
         "davies_bouldin": f"SELECT {even('db', 4)} AS davies_bouldin FROM ({_davies_bouldin('space3')})",
         "best_k": "SELECT * FROM ("
         + " UNION ALL ".join(

@@ -595,6 +595,21 @@ def silhouette(run: Inputs) -> DataFrame:
     return _rounded(scores.silhouettes(points, RFM_SCALED, ["segment"]), 4, "silhouette")
 
 
+@query
+def silhouette_euclidean(run: Inputs) -> DataFrame:
+    points = run.rfm_points(run.segmented(run.rfm_table))
+    score = scores.euclidean_silhouettes(points, RFM_SCALED, ["segment"])
+    return _rounded(score, 4, "silhouette", "standard_error")
+
+
+@query
+def kmeans_silhouette_euclidean(run: Inputs) -> DataFrame:
+    ks = range(2, 9)
+    labelled = materialise(segments.with_labels(run.rfm_points(), RFM_SCALED, ks).drop("point"), "labelled")
+    score = scores.euclidean_silhouettes(labelled, RFM_SCALED, [f"cluster_{k}" for k in ks])
+    return _rounded(score, 4, "silhouette", "standard_error")
+
+
 @query
 def davies_bouldin(run: Inputs) -> DataFrame:
     points = run.rfm_points(run.segmented(run.rfm_table))

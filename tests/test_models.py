@@ -108,6 +108,26 @@ def test_scores_match_brute_force(spark, blobs):
     assert index == pytest.approx(np.mean(worst), rel=1e-9)
 
 
+def test_euclidean_silhouette_of_all_points_is_exact_and_of_a_draw_near(spark):
+    rng = np.random.default_rng(4)
+    xy = rng.normal(size=(300, 2)) + rng.integers(0, 3, 300)[:, None] * 3
+    labels = (xy.sum(1) > 3).astype(int) + (xy.sum(1) > 9)
+    labels[7] = 9  # alone in its cluster
+    gap = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+    want = []
+    for i, own in enumerate(labels):
+        mean = {c: gap[i, labels == c].sum() / (np.sum(labels == c) - (c == own) or 1) for c in set(labels)}
+        a, b = mean.pop(own), min(v for c, v in mean.items() if c != own)
+        want.append(0 if (labels == own).sum() == 1 else (b - a) / max(a, b))
+    data = pd.DataFrame({"CustomerID": range(300), "x": xy[:, 0], "y": xy[:, 1], "l": labels})
+    frame = spark.createDataFrame(data).repartition(4)
+    whole = scores.euclidean_silhouettes(frame, ["x", "y"], ["l"]).first()
+    assert whole.silhouette == pytest.approx(np.mean(want), rel=1e-9) and whole.standard_error == 0
+    some = scores.euclidean_silhouettes(frame, ["x", "y"], ["l"], draws=150).first()
+    assert abs(some.silhouette - np.mean(want)) < 4 * some.standard_error and some.draws == 150
+    assert scores.euclidean_silhouettes(frame.limit(0), ["x", "y"], ["l"]).count() == 0
+
+
 def test_one_cluster_has_no_silhouette(spark, blobs):
     frame = spark.createDataFrame(blobs).withColumn("one", F.lit(0))
     assert scores.silhouettes(frame, ["x", "y"], ["one"]).first().silhouette is None
