@@ -99,7 +99,7 @@ def release(*frames: DataFrame) -> None:
     """
     for frame in frames:
         for folder in {path.rsplit("/", 1)[0] for path in frame.inputFiles()}:
-            if "/ledgerloom-" in folder:
+            if f"/{run_folder(frame.sparkSession).rsplit('/', 1)[1]}/" in folder:
                 discard(frame.sparkSession, folder)
     session = SparkSession.getActiveSession()
     if session is not None:
