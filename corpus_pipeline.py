@@ -13,14 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard, mixing, packing, secrets, toxicity
-from ledgerloom.session import materialise, scratch_path
+from ledgerloom.llm.skew import spread_join
+from ledgerloom.session import materialise, release, scratch_path
 
 FRACTION, POWER = 0.9, 0.8
 TOKENIZER = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
+    """Documents that the toxicity operator does not reject.
+
+    Null and empty texts hold no toxic word and stay unless such rows were labelled
+    toxic; rows that repeat share one fate; an empty table gives no rows; extra
+    columns are carried along unread.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.fit_lexicon(docs, labels, toxicity.teaching_fold(F.col("doc_id")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
@@ -39,23 +45,37 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark and n_chars counted anew."""
+    """All documents, with every secret replaced by a mark and n_chars counted anew.
+
+    A null text stays null and an empty one empty; rows without a secret stay as
+    they are, other columns too, whatever their names; rows that repeat are
+    redacted alike; an empty table gives no rows.
+    """
     versions = secrets.versions_of(docs, "doc_id")
     ledger = secrets.update_ledger(spark, versions, scratch_path(spark, "ledger"))
-    hits = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    clean = secrets.redact(docs["text"], F.col("_spans"))
-    marked = docs.join(hits, secrets.content_address(docs["text"]) == F.col("_blob"), "left").withColumn(
-        "_clean", F.when(F.col("_spans").isNotNull(), clean)
+    hits = ledger.filter(F.size("spans") > 0).select("blob", "spans")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        secrets.content_address(docs["text"]).alias("blob"),
+        docs["doc_id"].alias("by"),
     )
-    new = {"text": F.coalesce("_clean", "text")}
+    text, before = F.col("row")["text"], F.col("row")
+    clean = F.when(F.col("spans").isNotNull(), secrets.redact(text, F.col("spans")))
+    marked = spread_join(rows, hits, ["blob"], "by").withColumn("clean", clean)
+    new = {"text": F.coalesce("clean", text)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.coalesce(F.length("_clean").cast(kind), "n_chars")
-    return marked.select(*[new.get(name, F.col(name)).alias(name) for name in docs.columns])
+        new["n_chars"] = F.coalesce(F.length("clean").cast(kind), before["n_chars"])
+    return marked.select(*[new.get(name, before[name]).alias(name) for name in docs.columns])
 
 
 def draw_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by raked weights: nine tenths of all tokens, margins tempered."""
+    """Documents drawn by raked weights: nine tenths of all tokens, margins tempered.
+
+    A null source, language or layout is a class of its own; rows without tokens
+    weigh nothing on the margins; extra columns are carried along unread; an empty
+    table gives no rows.
+    """
     cells = docs.select(
         F.struct(*docs.columns).alias("row"),
         "doc_id",
@@ -70,7 +90,7 @@ def draw_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens; a null text is one end token, an empty table no rows."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -89,5 +109,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder, each written out before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
