@@ -77,3 +77,15 @@ def test_run_applies_all_stages(spark, folder):
     path, texts = folder
     rows = corpus_pipeline.run(spark, path).collect()
     assert {row["doc_id"] for row in rows} <= set(texts) and len({row["sequence_id"] for row in rows}) >= 1
+
+
+def test_redaction_keeps_columns_of_any_name(spark, documents):
+    texts = [(1, "password = abcdefghijkl123 end"), (2, None), (3, ""), (1, "password = abcdefghijkl123 end"), (None, "plain")]
+    docs = documents(texts, ("_spans", "_blob", "spans", "clean", "row", "by", "_part"))
+    got = corpus_pipeline.redact_secrets(spark, docs, "")
+    assert got.columns == docs.columns
+    rows = sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    assert "abcdefghijkl123" not in rows[0]["text"] and rows[0] == rows[1] and rows[0]["n_chars"] == len(rows[0]["text"])
+    assert rows[2]["text"] is None and rows[3]["text"] == "" and rows[4]["text"] == "plain"
+    assert all(row["_spans"] == row["by"] == "clash" for row in rows)
+    assert corpus_pipeline.redact_secrets(spark, docs.limit(0), "").count() == 0
