@@ -17,8 +17,9 @@ the same for all tasks without a dictionary to ship.
 Defined results: a null text has no words; texts shorter than a window lose
 nothing; rows with a null id lose nothing and count as nobody's earlier
 occurrence; rows repeating an id and text count as one document and get the same
-result each, and an id is meant to name one text; an empty table gives no rows.
-Columns besides the id and the text are not read. Text order is doc_id order.
+result each; different texts under one id are documents of their own, in the
+order of a hash of the text; an empty table gives no rows. Columns besides the id
+and the text are not read. Text order is doc_id order.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.identity import told_apart
 from ledgerloom.llm.words import Splitter, in_batches, mix, row_of, stretches
 from ledgerloom.session import materialise
 
@@ -199,7 +201,7 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def symbol_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(name, whole, doc_id, span): a symbol, a hash of what its windows cover, their first words.
+    """(name, whole, doc_id, body, span): a symbol, a hash of what its windows cover, their first words.
 
     ``span`` holds the first and the last window's first word, 32 bits each.
     """
@@ -208,6 +210,7 @@ def symbol_rows(docs: DataFrame, width: int) -> DataFrame:
         splitter, prefix = Splitter(lower=False), Prefix()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            bodies = batch.column(2).to_numpy()
             for first, _, data, offsets in stretches(batch.column(1)):
                 words = splitter.split(data, offsets)
                 name, start, last, begin, row = representatives(words.hashes, words.bounds, width)
@@ -221,16 +224,19 @@ def symbol_rows(docs: DataFrame, width: int) -> DataFrame:
                         _long(name),
                         _long(whole),
                         pa.array(ids[first + row], pa.int64()),
+                        pa.array(bodies[first + row], pa.int64()),
                         pa.array(((start - base) << 32) | (last - base)),
                     ],
-                    names=["name", "whole", "doc_id", "span"],
+                    names=["name", "whole", "doc_id", "body", "span"],
                 )
 
-    return in_batches(docs).mapInArrow(emit, "name bigint, whole bigint, doc_id bigint, span bigint")
+    return in_batches(docs).mapInArrow(
+        emit, "name bigint, whole bigint, doc_id bigint, body bigint, span bigint"
+    )
 
 
 def window_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(window, doc_id, start, late) for the windows in the ``spans`` of each document.
+    """(window, doc_id, body, start, late) for the windows in the ``spans`` of each document.
 
     Of equal windows in a batch only the first competes with other batches. The
     rest are late for certain; they get names of their own, so that a very
@@ -241,8 +247,8 @@ def window_rows(docs: DataFrame, width: int) -> DataFrame:
         splitter, prefix = Splitter(lower=False), Prefix()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            names, docs_of, places = [], [], []
+            bodies, lists = batch.column(2).to_numpy(), batch.column(3)
+            names, docs_of, bodies_of, places = [], [], [], []
             for first, after, data, offsets in stretches(batch.column(1)):
                 words = splitter.split(data, offsets)
                 sums = prefix.sums(words.hashes)
@@ -257,22 +263,27 @@ def window_rows(docs: DataFrame, width: int) -> DataFrame:
                 start, owner = start[fits], owner[fits]
                 names.append(prefix.stretch(sums, start, start + width))
                 docs_of.append(ids[owner].astype(np.int64))
+                bodies_of.append(bodies[owner])
                 places.append(start - words.bounds[owner - first])
-            name, doc, place = np.concatenate(names), np.concatenate(docs_of), np.concatenate(places)
-            order = np.lexsort((place, doc, name))
-            name, doc, place = name[order], doc[order], place[order]
+            name, doc, body, place = (np.concatenate(x) for x in (names, docs_of, bodies_of, places))
+            order = np.lexsort((place, body, doc, name))
+            name, doc, body, place = (x[order] for x in (name, doc, body, place))
             # A repeated row is the same window, not a later one.
             same = np.append(False, name[1:] == name[:-1])[: len(name)]
-            moved = np.append(False, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))[: len(name)]
+            other = (doc[1:] != doc[:-1]) | (body[1:] != body[:-1]) | (place[1:] != place[:-1])
+            moved = np.append(False, other)[: len(name)]
             group = np.maximum.accumulate(np.where(same, 0, np.arange(len(name))))
             late = np.cumsum(moved & same) > np.cumsum(moved & same)[group]
-            name[late] = mix(doc[late].astype(np.uint64) * _ODD + place[late].astype(np.uint64))
+            owner = doc[late].astype(np.uint64) * _ODD + mix(body[late].astype(np.uint64))
+            name[late] = mix(owner + place[late].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [_long(name), pa.array(doc), pa.array(place), pa.array(late)],
-                names=["window", "doc_id", "start", "late"],
+                [_long(name), pa.array(doc), pa.array(body), pa.array(place), pa.array(late)],
+                names=["window", "doc_id", "body", "start", "late"],
             )
 
-    return in_batches(docs).mapInArrow(emit, "window bigint, doc_id bigint, start bigint, late boolean")
+    return in_batches(docs).mapInArrow(
+        emit, "window bigint, doc_id bigint, body bigint, start bigint, late boolean"
+    )
 
 
 def _covered(spans: np.ndarray, size: int, reach: int) -> np.ndarray:
@@ -286,30 +297,34 @@ def _covered(spans: np.ndarray, size: int, reach: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, spans): runs of windows whose words also start earlier."""
-    known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    """(doc_id, body, spans): runs of windows whose words also start earlier.
+
+    ``docs`` has (doc_id, text, body) and every row of it is told apart by id and body.
+    """
+    known = docs.filter(F.col("doc_id").isNotNull())
+    document = ["doc_id", "body"]
     symbol = Window.partitionBy("name")
     shared = materialise(
         symbol_rows(known, width)
         .withColumn("same", F.min("whole").over(symbol) == F.max("whole").over(symbol))
         .withColumn("n", F.count("*").over(symbol))
-        .withColumn("turn", F.dense_rank().over(symbol.orderBy("doc_id", "span")))
+        .withColumn("turn", F.dense_rank().over(symbol.orderBy(*document, "span")))
         .filter("n > 1")
-        .select("doc_id", "span", "same", "turn"),
+        .select(*document, "span", "same", "turn"),
         "shared",
     )
-    later = shared.filter("same AND turn > 1").select("doc_id", "span")
+    later = shared.filter("same AND turn > 1").select(*document, "span")
 
-    unsure = shared.filter("NOT same").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    checked = known.join(unsure, "doc_id").select("doc_id", "text", "spans")
-    window = Window.partitionBy("window", "late").orderBy("doc_id", "start")
+    unsure = shared.filter("NOT same").groupBy(*document).agg(F.collect_list("span").alias("spans"))
+    checked = known.join(unsure, document).select("doc_id", "text", "body", "spans")
+    window = Window.partitionBy("window", "late").orderBy(*document, "start")
     single = (
         window_rows(checked, width)
         .withColumn("turn", F.dense_rank().over(window))
         .filter("late OR turn > 1")
-        .select("doc_id", (F.col("start") * (1 << 32) + F.col("start")).alias("span"))
+        .select(*document, (F.col("start") * (1 << 32) + F.col("start")).alias("span"))
     )
-    return later.unionByName(single).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    return later.unionByName(single).groupBy(*document).agg(F.collect_list("span").alias("spans"))
 
 
 def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -341,9 +356,10 @@ def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
+    apart = told_apart(docs)
     return (
-        in_batches(docs).select("doc_id", "text")
-        .join(repeated_spans(docs, width), "doc_id", "left")
+        in_batches(apart)
+        .join(repeated_spans(apart, width), ["doc_id", "body"], "left")
         .select("doc_id", "text", "spans")
         .mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
     )

@@ -270,6 +270,14 @@ def test_repeats_on_awkward_rows(edges, empty):
     assert recompression.removal_digest(empty).count() == 0
 
 
+def test_repeats_where_ids_name_several_texts(documents):
+    first, other = (" ".join(f"{name}{i}" for i in range(30)) for name in "ab")
+    frame = documents([(1, first), (2, first), (2, other), (2, other), (2, None), (3, other)])
+    rows = recompression.without_repeats(frame).collect()
+    found = sorted((row["doc_id"], row["n_removed"], row["kept"][:2]) for row in rows)
+    assert found == [(1, 0, "a0"), (2, 0, ""), (2, 0, "b0"), (2, 0, "b0"), (2, 30, ""), (3, 30, "")]
+
+
 def test_language_on_held_out_texts(spark, documents):
     rng = np.random.default_rng(1)
     parts = {"xx": ["ka", "ri", "to", "mu"], "yy": ["sch", "ung", "ein", "keit"], "zz": ["éau", "oux", "tion", "que"]}
