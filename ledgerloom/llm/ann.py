@@ -17,11 +17,12 @@ Lists, and the queries of a list, are split into blocks of bounded size, each
 pair of blocks being one task; only the best few of each leave it.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components, and rows with a null id, take no part, nor do vectors of another
-length than most; rows repeating an id count as one vector, the smallest; equal
-scores rank the smaller id first; a query finds all candidates where there are
-fewer than wanted; no queries or no vectors give no rows. Columns besides the id
-and the vector are not read.
+components, and rows with a null id, take no part; a query searches the vectors of
+its length, each length having an index of its own; rows repeating id and vector
+count as one, and different vectors under one id are candidates and queries of
+their own; equal scores rank the smaller id first; a query finds all candidates
+where there are fewer than wanted; no queries or no vectors give no rows. Columns
+besides the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.vectors import matrix, usable_vectors
+from ledgerloom.llm.vectors import matrix, numbered_vectors, spaces
 from ledgerloom.session import materialise
 
 SAMPLE = 16_384  # vectors from which the centroids are fitted
@@ -196,18 +197,40 @@ def search(
     table: DataFrame, queries: Column, wanted: int = 20, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row that ``queries`` selects by ``vec_id``."""
-    vectors = materialise(usable_vectors(table, key, vector), "vectors")
+    vectors, repeats = numbered_vectors(table, key, vector)
     asked = vectors.filter(queries)
-    if asked.isEmpty():
-        return vectors.select(
-            F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")
-        ).filter(F.lit(False))
+    found = table.sparkSession.createDataFrame([], SCHEMA)
+    for size, _ in spaces(asked):  # a length without queries needs no index
+        own = F.col("n") == size
+        number = F.col("node").alias("vec_id")
+        found = found.unionByName(
+            search_space(
+                vectors.filter(own).select(number, "vector"), asked.filter(own).select(number, "vector"), wanted
+            )
+        )
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= wanted)
+    if repeats:
+        found = materialise(found, "found")
+        ids = vectors.select("node", F.col("vec_id").alias("id"))
+        by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "candidate")
+        found = (
+            found.select(F.col("query_id").alias("query"), F.col("vec_id").alias("candidate"), "score")
+            .join(ids.toDF("query", "query_id"), "query")
+            .join(ids.toDF("candidate", "vec_id"), "candidate")
+            .withColumn("rank", F.row_number().over(by_id))
+        )
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def search_space(vectors: DataFrame, asked: DataFrame, wanted: int) -> DataFrame:
+    """(query_id, vec_id, score) for vectors of one length: the best of every pair of blocks."""
     index, _ = fit_index(vectors)
     lists = materialise(listed(vectors, index), "lists")
     sizes = np.zeros(len(index.centroids), np.int64)
     for row in lists.groupBy("list").count().collect():  # one row per list
         sizes[row["list"]] = row["count"]
-    least = probes_needed(lists, lists.filter(queries), index, wanted)
+    least = probes_needed(lists, asked, index, wanted)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,15 +278,7 @@ def search(
         return pa.table([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     keys = ["list", "block", "turn"]
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInArrow(find, SCHEMA)
-        .withColumn("rank", F.row_number().over(nearest))
-        .filter(F.col("rank") <= wanted)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(find, SCHEMA)
 
 
 def oracle(wanted: int = 20, every: int = 20) -> str:

@@ -16,9 +16,11 @@ speak of and visit most of them; the join then costs what comparing all does.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null id, link with nothing and are their own
-component; rows repeating an id count as one vector, the smallest, and get one
-result each; vectors of another length than most link with nothing; an empty
-table gives no rows. Columns besides the id and the vector are not read.
+component; rows repeating id and vector count as one vector and get one result
+each; different vectors under one id are vectors of their own, which may link with
+one another; vectors link with those of their length only, each length being joined
+by itself; an empty table gives no rows. Columns besides the id and the vector are
+not read.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.vectors import matrix, usable_vectors
+from ledgerloom.llm.vectors import matrix, numbered_vectors, spaces
 from ledgerloom.session import materialise
 
 CELL = 8192  # vectors per cell aimed at
 MOST_PIVOTS = 4096
 OWN_BLOCK, VISITOR_BLOCK = 16_384, 65_536
 STRIP = 256
+LINKS = "vec_id bigint, links bigint, root bigint"
 
 
 def draw_pivots(vectors: DataFrame, count: int) -> np.ndarray:
@@ -140,17 +143,8 @@ def block_links(
     return order[at], links[at], order[roots(at)] if len(at) else order[at]
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of a table of embeddings."""
-    vectors = materialise(usable_vectors(table), "vectors")
-    total = vectors.count()
-    everything = table.select("vec_id")
-    if not total:
-        alone = F.col("vec_id")
-        return everything.select(
-            "vec_id", F.lit(0).cast("bigint").alias("n_links"), alone.alias("component_id"),
-            F.col("vec_id").isNotNull().alias("kept"),
-        )
+def space_links(vectors: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(vec_id, links, root) of the linked vectors among ``total`` ones of one length."""
     pivots = draw_pivots(vectors, min(MOST_PIVOTS, -(-total // CELL)))
     homes = materialise(home_cells(vectors, pivots), "homes")
     sizes, radii = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
@@ -207,19 +201,36 @@ def near_vectors(table: DataFrame, threshold: float = 0.9) -> DataFrame:
             found = block_links(ids[first], points[first], ids[~first], points[~first], threshold, False)
         return pa.table([pa.array(x) for x in found], names=["vec_id", "links", "root"])
 
-    linked = materialise(
+    return materialise(
         residents.unionByName(visitors)
         .groupBy("cell", "own", "other", "kind")
-        .applyInArrow(link, "vec_id bigint, links bigint, root bigint"),
+        .applyInArrow(link, LINKS),
         "links",
     )
-    counted = linked.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+
+
+def near_vectors(table: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of a table of embeddings."""
+    vectors, repeats = numbered_vectors(table)
+    linked = table.sparkSession.createDataFrame([], LINKS)
+    for size, total in spaces(vectors):
+        if total > 1:
+            own = vectors.filter(F.col("n") == size).select(F.col("node").alias("vec_id"), "vector")
+            linked = linked.unionByName(space_links(own, total, threshold))
+    counted = linked.groupBy(F.col("vec_id").alias("node")).agg(F.sum("links").alias("n_links"))
     named = components(linked.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    joined = everything.join(counted, "vec_id", "left").join(
-        named.withColumnRenamed("node", "vec_id"), "vec_id", "left"
-    )
+    if repeats:
+        # A component's name is its least id, which its least number need not be.
+        members = materialise(named.join(vectors.select("node", "vec_id"), "node"), "members")
+        least = members.groupBy("component").agg(F.min("vec_id").alias("least"))
+        named = members.join(least, "component").select("node", F.col("least").alias("component"))
+        rows = table.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).join(
+            vectors.select("vec_id", "vector", "node"), ["vec_id", "vector"], "left"
+        )
+    else:
+        rows = table.select("vec_id", F.col("vec_id").cast("bigint").alias("node"))
     component = F.coalesce("component", "vec_id")
-    return joined.select(
+    return rows.join(counted, "node", "left").join(named, "node", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         component.alias("component_id"),

@@ -61,6 +61,28 @@ def test_range_join_of_nothing_and_of_repeated_rows(vectors):
     assert sorted((row["vec_id"], row["n_links"], row["component_id"]) for row in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
 
 
+def test_range_join_of_several_lengths_and_of_ids_with_several_vectors(vectors):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0])] + [(10 + i, [1.0, float(i), 3.0 * (i % 2)]) for i in range(5)]
+    found = {row["vec_id"]: row for row in rangejoin.near_vectors(vectors(rows)).collect()}
+    assert [(found[i]["n_links"], found[i]["component_id"]) for i in (1, 2)] == [(1, 1), (1, 1)]
+    # Id 3 names three vectors, of which one links with 5 and one with 4; id 4 a vector and a null.
+    rows = [(5, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, [0.0, 2.0]), (4, None), (6, [3.0, 0.0])]
+    result = rangejoin.near_vectors(vectors(rows)).collect()
+    assert sorted(tuple(row) for row in result) == sorted([
+        (5, 2, 3, False), (3, 2, 3, True), (6, 2, 3, False), (3, 1, 3, True), (4, 1, 3, False),
+        (3, 0, 3, True), (4, 0, 4, True),
+    ])
+
+
+def test_search_of_several_lengths_and_of_ids_with_several_vectors(vectors):
+    rows = [(20, [1.0, 0.0]), (1, [3.0, 0.0]), (40, [1.0, 0.0, 0.0]), (2, [2.0, 1.0, 0.0]), (60, [1.0])]
+    found = ann.search(vectors(rows), F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()
+    assert [tuple(row) for row in found] == [(20, 1, 1, 3.0), (40, 1, 2, 2.0)]
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0]), (7, [2.0, 5.0])]
+    found = ann.search(vectors(rows), F.col("vec_id") % 20 == 0, 20).collect()
+    assert sorted(tuple(row) for row in found) == [(20, 1, 7, 2.0), (20, 1, 7, 5.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0)]
+
+
 def test_search_recall_and_exact_scores(vectors):
     rng = np.random.default_rng(8)
     points = rng.normal(size=(3000, 16)).astype(np.float32)
