@@ -182,34 +182,47 @@ def pieces(docs: DataFrame, model: str, capacity: int, end_id: int, with_ids: bo
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
-    """The window of each piece by multiway differencing, with windows of nearly equal sums."""
+    """The window of each piece by multiway differencing, with windows of nearly equal sums.
+
+    A partial partition holds its filled windows only, by falling sums, so all of
+    them together never hold more numbers than there are pieces. Single pieces
+    wait in falling order and need no partition until they merge.
+    """
     order = np.argsort(-sizes, kind="stable")
-    heap = []
-    for turn, item in enumerate(order.tolist()):
-        sums = np.zeros(windows, np.int64)
-        nodes = np.full(windows, -1)
-        sums[0], nodes[0] = sizes[item], item
-        heap.append((-int(sizes[item] if windows > 1 else 0), turn, sums, nodes))
-    heapq.heapify(heap)
     parent = np.arange(2 * len(sizes))
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    waiting = 0
     used = turn = len(sizes)
-    while len(heap) > 1:
-        _, _, sums, nodes = heapq.heappop(heap)
-        _, _, others, their = heapq.heappop(heap)
-        sums, their = sums + others[::-1], their[::-1]
-        both = np.flatnonzero((nodes >= 0) & (their >= 0))
-        fresh = np.arange(used, used + len(both))
-        parent[nodes[both]] = parent[their[both]] = fresh
-        nodes = np.maximum(nodes, their)
-        nodes[both] = fresh
-        used += len(both)
+
+    def widest() -> tuple[np.ndarray, np.ndarray]:
+        """Sums and nodes of the partition of largest difference; pieces before partitions."""
+        nonlocal waiting
+        if waiting < len(order):
+            item = order[waiting]
+            if not heap or (sizes[item] if windows > 1 else 0) >= -heap[0][0]:
+                waiting += 1
+                return sizes[item : item + 1].astype(np.int64), np.array([item])
+        return heapq.heappop(heap)[2:]
+
+    for _ in range(len(sizes) - 1):
+        (sums, nodes), (others, their) = widest(), widest()
+        # The largest sums of one lie on the smallest of the other, most of them empty.
+        others, their = others[::-1], their[::-1]
+        both = max(0, len(sums) + len(others) - windows)
+        alone = len(sums) - both
+        fresh = np.arange(used, used + both)
+        parent[nodes[alone:]] = parent[their[:both]] = fresh
+        used += both
+        sums = np.concatenate([sums[:alone], sums[alone:] + others[:both], others[both:]])
+        nodes = np.concatenate([nodes[:alone], fresh, their[both:]])
         falling = np.argsort(-sums, kind="stable")
         sums, nodes = sums[falling], nodes[falling]
         turn += 1
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), turn, sums, nodes))
+        least = int(sums[-1]) if len(sums) == windows else 0
+        heapq.heappush(heap, (least - int(sums[0]), turn, sums, nodes))
     window = np.full(2 * len(sizes), -1)
-    roots = heap[0][3]
-    window[roots[roots >= 0]] = np.flatnonzero(roots >= 0)
+    _, roots = widest()
+    window[roots] = np.arange(len(roots))
     at = np.arange(len(sizes))
     while (parent[at] != at).any():
         at = parent[at]
