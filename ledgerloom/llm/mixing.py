@@ -30,8 +30,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 
-# The marks that tell the layout of a text, in order of precedence.
-LAYOUTS = (("table", (" | ",)), ("symbols", ("$$$", "%%%", "&&&", "###", "***")), ("shout", ("!! ",)))
+# Layouts in order of precedence: characters, and the share of a text they make up at least, in percent.
+LAYOUTS = (("capitals", "A-Z", 20), ("digits", "0-9", 10), ("symbols", r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E", 10))
 
 
 def token_count(text: Column) -> Column:
@@ -39,10 +39,11 @@ def token_count(text: Column) -> Column:
 
 
 def layout_topic(text: Column) -> Column:
-    """A topic by layout, for corpora that come without topics: table, symbols, shout or prose."""
+    """A topic by layout, for corpora that come without topics: capitals, digits, symbols or prose."""
     topic = F.lit("prose")
-    for name, marks in reversed(LAYOUTS):
-        topic = F.when(reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks]), name).otherwise(topic)
+    for name, characters, percent in reversed(LAYOUTS):
+        found = F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("bigint") * 100
+        topic = F.when((found > 0) & (found >= F.length(text).cast("bigint") * percent), name).otherwise(topic)
     return topic
 
 
@@ -72,13 +73,13 @@ def rake(
     tolerance: float = 1e-6,
     most_rounds: int = 100,
 ) -> DataFrame:
-    """Cells with their ``mass`` after fitting every margin to its target shares.
+    """Cells with their ``mass`` after fitting every margin to its target shares, and ``fitted``.
 
     ``targets`` maps a dimension to (dimension, share); shares should add up to
     one. A round fits the dimensions one after another by a grouped sum each; it
     ends when no margin is off by more than ``tolerance`` of its target, or after
-    ``most_rounds``, since contradictory targets never meet. The driver sees one
-    number a round.
+    ``most_rounds``, since contradictory targets never meet; ``fitted`` tells which
+    it was. The driver sees one number a round.
     """
     dimensions = list(targets)
     grid = cells.withColumn("mass", F.col("tokens"))
@@ -88,11 +89,12 @@ def rake(
     grid = materialise(grid.fillna(0.0, shares), "cells")
     total = grid.agg(F.sum("tokens")).first()[0]
     if not total:
-        return grid.drop(*shares)
+        return grid.drop(*shares).withColumn("fitted", F.lit(True))
 
     def margin(frame: DataFrame, name: str) -> DataFrame:
         return frame.join(frame.groupBy(name).agg(F.sum("mass").alias("sum")), name)
 
+    fitted = False
     for _ in range(most_rounds):
         for name in dimensions:
             fitted = F.col("mass") * F.col(f"share_{name}") * total / F.col("sum")
@@ -106,9 +108,10 @@ def rake(
             .agg(F.max(F.when(F.col("goal") > 0, F.abs(F.col("sum") / F.col("goal") - 1))).alias("gap"))
             for name in dimensions[:-1]
         ]
-        if (reduce(DataFrame.unionByName, gaps).agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+        fitted = (reduce(DataFrame.unionByName, gaps).agg(F.max("gap")).first()[0] or 0.0) <= tolerance
+        if fitted:
             break
-    return grid.drop(*shares)
+    return grid.drop(*shares).withColumn("fitted", F.lit(fitted))
 
 
 def calibrated(cells: DataFrame, fraction: float) -> DataFrame:
@@ -130,15 +133,13 @@ def calibrated(cells: DataFrame, fraction: float) -> DataFrame:
         if not sums["rest"] or (goal - sums["full"]) / sums["rest"] <= scale * (1 + 1e-12):
             break
         scale = (goal - sums["full"]) / sums["rest"]
-    return weighed.withColumn(
-        "probability", F.least(F.lit(1.0), F.round(F.col("weight") * scale, 6))
-    ).withColumn("weight", F.round("weight", 6))
+    return weighed.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * scale))
 
 
 def draw(key: Column, seed: str = "mix") -> Column:
     """A number in [0, 1) that depends on the key alone."""
     text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def mixed(
@@ -149,7 +150,7 @@ def mixed(
     targets: Mapping[str, DataFrame] | None = None,
     key: str = "doc_id",
 ) -> DataFrame:
-    """``docs`` with weight, probability and selected.
+    """``docs`` with weight, probability, fitted and selected.
 
     ``features`` has the dimensions and ``tokens`` of every document; ``docs``
     has the key and the dimensions, and may be the same table. Without
@@ -158,7 +159,7 @@ def mixed(
     cells = materialise(token_cells(features), "cells")
     goals = targets or {name: tempered_targets(cells, name, power) for name in DIMENSIONS}
     rates = materialise(
-        calibrated(rake(cells, goals), fraction).select(*DIMENSIONS, "weight", "probability"), "rates"
+        calibrated(rake(cells, goals), fraction).select(*DIMENSIONS, "weight", "probability", "fitted"), "rates"
     )
     named = rates.toDF(*[f"_{name}" for name in rates.columns])
     same = reduce(
@@ -169,13 +170,17 @@ def mixed(
         docs.join(named, same, "left")
         .withColumn("weight", F.coalesce("_weight", F.lit(1.0)))
         .withColumn("probability", probability)
+        .withColumn("fitted", F.coalesce("_fitted", F.lit(True)))
         .withColumn("selected", draw(F.col(key)) < F.col("probability"))
         .drop(*named.columns)
     )
 
 
 def document_mix(docs: DataFrame, fraction: float = 0.5, power: float = 0.5) -> DataFrame:
-    """Every document with its cell, tokens, weight, probability and whether it is drawn."""
+    """Every document with its cell, tokens, weight, probability and whether it is drawn.
+
+    Weight and probability are shown to six digits; the draw uses them unrounded.
+    """
     features = materialise(
         docs.select(
             "doc_id",
@@ -186,14 +191,16 @@ def document_mix(docs: DataFrame, fraction: float = 0.5, power: float = 0.5) ->
         ),
         "features",
     )
-    return mixed(features, features, fraction, power)
+    drawn = mixed(features, features, fraction, power)
+    return drawn.withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
 
 
 def oracle(fraction: float = 0.5, power: float = 0.5) -> str:
     """The same mix as SQL for the checking engine."""
     layouts = " ".join(
-        "WHEN " + " OR ".join(f"contains(text, '{m}')" for m in marks) + f" THEN '{name}'"
-        for name, marks in LAYOUTS
+        f"WHEN regexp_matches(text, '[{characters}]') AND"
+        f" 100 * length(regexp_replace(text, '[^{characters}]+', '', 'g')) >= {percent} * length(text) THEN '{name}'"
+        for name, characters, percent in LAYOUTS
     )
     goals = ", ".join(
         f"t_{name} AS (SELECT {name}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER ()"
@@ -231,11 +238,13 @@ steps AS (
          / (sum(mass) OVER () - sum(mass) OVER (ORDER BY weight DESC, source, lang, topic) + mass) AS scale
   FROM raked),
 best AS (SELECT arg_max(scale, weight) AS scale FROM steps WHERE scale * weight < 1),
-rates AS (SELECT source, lang, topic, round(weight, 6) AS weight,
-                 least(1.0, round(weight * (SELECT scale FROM best), 6)) AS probability FROM raked),
-joined AS (SELECT f.*, coalesce(weight, 1.0) AS weight, coalesce(probability, 1.0) AS probability
+rates AS (SELECT source, lang, topic, weight, least(1.0, weight * (SELECT scale FROM best)) AS probability,
+                 (SELECT max(gap) FROM ipf WHERE r = (SELECT max(r) FROM ipf)) <= 1e-6 AS fitted FROM raked),
+joined AS (SELECT f.*, coalesce(weight, 1.0) AS weight, coalesce(probability, 1.0) AS probability,
+                  coalesce(fitted, true) AS fitted
            FROM features f LEFT JOIN rates USING (source, lang, topic))
-SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 8))::UBIGINT / 4294967296.0
-          < probability AS selected
+SELECT * REPLACE (round(weight, 6) AS weight, round(probability, 6) AS probability),
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::UBIGINT / 4503599627370496.0
+       < probability AS selected
 FROM joined
 """

@@ -219,6 +219,35 @@ def test_raking_meets_all_margins(spark):
     assert kept[0] == pytest.approx(0.6 * total, rel=1e-5) and kept[1] <= 1
 
 
+def test_differencing_of_very_many_tiny_pieces():
+    import tracemalloc
+
+    tracemalloc.start()
+    window = packing.windows_of(np.ones(60_000, np.int64), 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.bincount(window).max() <= 4096 and len(np.bincount(window)) == 15
+    assert peak < 60_000 * 600  # bytes a piece, whatever the number of windows
+
+
+def test_contradictory_targets_and_tiny_fractions(spark):
+    cells = spark.createDataFrame([("s0", "l0", "t", 10.0), ("s1", "l1", "t", 10.0)], "source string, lang string, topic string, tokens double")
+    share = lambda name, a, b: spark.createDataFrame([(f"{name[0]}0", a), (f"{name[0]}1", b)], f"{name} string, share double")
+    targets = {"source": share("source", 0.9, 0.1), "lang": share("lang", 0.1, 0.9)}
+    assert {row["fitted"] for row in mixing.rake(cells, targets, most_rounds=5).collect()} == {False}
+    targets["lang"] = share("lang", 0.9, 0.1)
+    fitted = mixing.rake(cells, targets)
+    assert {row["fitted"] for row in fitted.collect()} == {True}
+    rates = {row["source"]: row["probability"] for row in mixing.calibrated(fitted, 4e-7).collect()}
+    assert rates["s0"] == pytest.approx(4e-7 * 1.8) and rates["s1"] == pytest.approx(4e-7 * 0.2)
+
+
+def test_layout_follows_shares(documents):
+    texts = [(1, "plain words, and more of them"), (2, "STOP shouting NOW"), (3, "2024 10 17 a table"), (4, "a | b | c | d"), (5, ""), (6, None)]
+    found = documents(texts).select("doc_id", mixing.layout_topic(F.col("text")).alias("topic")).collect()
+    assert dict(found) == {1: "prose", 2: "capitals", 3: "digits", 4: "symbols", 5: "prose", 6: "prose"}
+
+
 def test_mix_on_awkward_rows(edges, empty):
     rows = mixing.document_mix(edges).collect()
     assert len(rows) == 12 and all(0 <= row["probability"] <= 1 for row in rows)
