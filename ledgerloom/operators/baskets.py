@@ -6,11 +6,11 @@ per product.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.fpm import FPGrowth
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,68 +38,153 @@ def basket_items(clean: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _least_count(baskets: int, support: float) -> int:
-    """Smallest count whose share reaches the support, in integers (no 0.02 * n)."""
+def frequent_items(items: DataFrame, support: float, min_baskets: int) -> DataFrame:
+    """(segment, item, n, code, baskets, least): items that reach their segment's least count.
+
+    The least count is the smallest whose share reaches the support, in integers
+    (no 0.02 * n). Codes number a segment's items from the most frequent on.
+    Segments with too few baskets are left out, as are rows without a segment.
+    """
     parts = round(support * 1_000_000)
-    return -(-baskets * parts // 1_000_000)
-
-
-def _mine(items: DataFrame, least: int) -> DataFrame | None:
-    """Frequent sets of one segment's (InvoiceNo, item) rows, at or above a count."""
-    frequent = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    baskets = (
-        items.join(frequent, "item", "left_semi")
-        .groupBy("InvoiceNo")
-        .agg(F.collect_set("item").alias("items"))
-        .select("items")
-        .persist()
+    totals = (
+        items.groupBy("segment")
+        .agg(F.countDistinct("InvoiceNo").alias("baskets"))
+        .filter(F.col("baskets") >= min_baskets)
+        .withColumn("least", F.expr(f"greatest(1, (baskets * {parts} + 999999) div 1000000)"))
+    )
+    rank = Window.partitionBy("segment").orderBy(F.desc("n"), "item")
+    return (
+        items.groupBy("segment", "item")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(totals, "segment")
+        .filter(F.col("n") >= F.col("least"))
+        .withColumn("code", F.row_number().over(rank) - 1)
+    )
+
+
+def coded_baskets(items: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(segment, grown, rest, weight): equal baskets as one row, codes rising, nothing grown yet."""
+    return (
+        items.join(frequent.select("segment", "item", "code"), ["segment", "item"])
+        .groupBy("segment", "InvoiceNo")
+        .agg(F.array_sort(F.collect_set("code")).alias("rest"))
+        .groupBy("segment", "rest")
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .select("segment", F.array().cast("array<int>").alias("grown"), "rest", "weight")
+    )
+
+
+def conditional_baskets(baskets: DataFrame) -> DataFrame:
+    """The same columns with each item of ``rest`` moved to ``grown``, before it only what is more frequent."""
+    return (
+        baskets.select("segment", "grown", "rest", "weight", F.posexplode("rest").alias("place", "code"))
+        .groupBy(
+            "segment",
+            F.concat("grown", F.array("code")).alias("grown"),
+            F.slice("rest", F.lit(1), F.col("place")).alias("rest"),
+        )
+        .agg(F.sum("weight").alias("weight"))
+    )
+
+
+def grow_sets(lists: pa.ListArray, weights: np.ndarray, least: int) -> Iterator[tuple[list[int], int]]:
+    """Every set of codes that weighs at least ``least`` among the lists, with its weight.
+
+    The lists are a bit matrix; a set is extended by rarer-first codes among the
+    rows that hold it, so no set is met twice.
+    """
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    codes, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    kept = np.flatnonzero(np.bincount(column, weights[row], len(codes)) >= least)
+    place = np.full(len(codes), -1)
+    place[kept] = np.arange(len(kept))
+    column = place[column]
+    held = np.zeros((len(lists), len(kept)), bool)
+    held[row[column >= 0], column[column >= 0]] = True
+    codes = codes[kept]
+    waiting = [([], np.arange(len(lists)), np.arange(len(kept)))]
+    while waiting:
+        grown, rows, able = waiting.pop()
+        sums = weights[rows].astype(float) @ held[np.ix_(rows, able)]  # whole numbers below 2^53
+        enough = sums >= least
+        able, sums = able[enough], sums[enough]
+        for turn, (code, total) in enumerate(zip(able.tolist(), sums.tolist())):
+            larger = [*grown, int(codes[code])]
+            yield larger, int(total)
+            if turn:
+                waiting.append((larger, rows[held[rows, code]], able[:turn]))
+
+
+def _grow_group(group: pa.Table) -> pa.Table:
+    """All frequent sets that one set of codes grows to."""
+    grown = group.column("grown")[0].as_py()
+    rest = group.column("rest").combine_chunks()
+    if isinstance(rest, pa.ChunkedArray):
+        rest = rest.chunk(0)
+    found = list(grow_sets(rest, group.column("weight").to_numpy(), group.column("least")[0].as_py()))
+    return pa.table(
+        {
+            "segment": pa.array([group.column("segment")[0].as_py()] * len(found), group.schema.field("segment").type),
+            "grown": pa.array([grown + more for more, _ in found], pa.list_(pa.int32())),
+            "freq": pa.array([freq for _, freq in found], pa.int64()),
+        }
     )
-    try:
-        rows = baskets.count()
-        if rows < least:
-            return None
-        # FP-growth rounds share * rows up; half a basket keeps that at ``least``.
-        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows).fit(baskets)
-        return materialise(model.freqItemsets, "itemsets")
-    finally:
-        baskets.unpersist()
 
 
 def frequent_itemsets(
-    items: DataFrame, support: float = 0.02, min_baskets: int = 10, parallel: int = 4
+    items: DataFrame, support: float = 0.02, min_baskets: int = 10, group_rows: int = 16_384
 ) -> DataFrame:
     """Item sets of any size at or above the support: (segment, items, freq, baskets).
 
-    Items below the support cannot be in a frequent set, so they are dropped
-    before baskets are formed, which keeps every basket short. Mining itself is
-    the distributed FP-growth; the driver sees one number pair per segment and
-    works on a few segments at a time. Segments with too few baskets are skipped.
+    All segments are mined together. Every basket goes to each of its frequent
+    items, with the items more frequent than that one, and equal rows become one
+    weighted row before the shuffle. Where an item's rows are at most
+    ``group_rows``, one task grows all its sets; a larger item is split by its
+    second item, and so on, so no group outgrows a task. Items below the support
+    cannot be in a frequent set and never enter a basket. Segments with too few
+    baskets are skipped.
     """
     items = materialise(items, "baskets")
-    spark = items.sparkSession
-    sizes = items.groupBy("segment").agg(F.countDistinct("InvoiceNo").alias("baskets"))
-    totals = {row.segment: row.baskets for row in sizes.collect() if row.baskets >= min_baskets}
-
-    def segment_sets(segment: int) -> DataFrame | None:
-        total = totals[segment]
-        own = items.filter(F.col("segment") == segment).select("InvoiceNo", "item")
-        found = _mine(own, _least_count(total, support))
-        if found is None:
-            return None
-        return found.select(
-            F.lit(segment).alias("segment"),
-            F.array_sort("items").alias("items"),
-            "freq",
-            F.lit(total).cast("bigint").alias("baskets"),
+    frequent = materialise(frequent_items(items, support, min_baskets), "frequent")
+    least = frequent.groupBy("segment").agg(F.max("least").alias("least"))
+    kind = items.schema["segment"].dataType.simpleString()
+    state, found = coded_baskets(items, frequent), []
+    while True:
+        rows = materialise(conditional_baskets(state), "conditional")
+        sets = materialise(
+            rows.groupBy("segment", "grown")
+            .agg(F.sum("weight").alias("freq"), F.count(F.lit(1)).alias("rows"))
+            .join(least, "segment")
+            .filter(F.col("freq") >= F.col("least")),
+            "sets",
         )
-
-    with ThreadPool(parallel) as pool:
-        task = inheritable_thread_target(spark)(segment_sets)
-        mined = [found for found in pool.map(task, sorted(totals)) if found is not None]
-    empty = spark.createDataFrame(
-        [], "segment int, items array<string>, freq bigint, baskets bigint"
+        alive = rows.filter(F.size("rest") > 0).join(sets, ["segment", "grown"])
+        grown = (
+            alive.filter(F.col("rows") <= group_rows)
+            .select("segment", "grown", "rest", "weight", "least")
+            .groupBy("segment", "grown")
+            .applyInArrow(_grow_group, f"segment {kind}, grown array<int>, freq bigint")
+        )
+        found += [sets.select("segment", "grown", "freq"), grown]
+        if sets.filter(F.col("rows") > group_rows).isEmpty():
+            break
+        state = alive.filter(F.col("rows") > group_rows).select("segment", "grown", "rest", "weight")
+    # A segment has no more frequent items than its baskets' mean size divided by the support.
+    names = frequent.groupBy("segment").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("code", "item"))), lambda x: x["item"]).alias("names"),
+        F.max("baskets").alias("baskets"),
+    )
+    return materialise(
+        reduce(DataFrame.unionByName, found)
+        .join(names, "segment")
+        .select(
+            "segment",
+            F.array_sort(F.transform("grown", lambda code: F.get("names", code))).alias("items"),
+            "freq",
+            "baskets",
+        ),
+        "itemsets",
     )
-    return reduce(DataFrame.unionByName, mined) if mined else empty
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -291,6 +292,27 @@ def test_mirrored_rules_keep_the_larger_antecedent(itemsets):
     assert ("bc", "a") in pairs and ("a", "bc") not in pairs
 
 
+@pytest.mark.parametrize("group_rows", [16_384, 4, 0])
+def test_item_sets_of_many_segments_against_all_subsets(spark, group_rows):
+    rng = np.random.default_rng(11)
+    rows, counts = [], Counter()
+    for segment in range(12):
+        total = int(rng.integers(8, 60))
+        for basket in range(total):
+            # Item 0 is in nearly every basket.
+            items = sorted({f"i{rng.geometric(0.3)}" for _ in range(rng.integers(1, 7))} | ({"i0"} if basket % 9 else set()))
+            rows += [(segment, f"{segment}-{basket}", item) for item in items]
+            for size in range(1, len(items) + 1):
+                counts.update((segment, total, part) for part in itertools.combinations(items, size))
+    expected = {
+        (segment, part, n, total) for (segment, total, part), n in counts.items() if total >= 10 and 20 * n >= total
+    }
+    items = spark.createDataFrame(rows, "segment int, InvoiceNo string, item string").repartition(4)
+    found = baskets.frequent_itemsets(items, 0.05, 10, group_rows).collect()
+    assert len(found) == len(expected)
+    assert {(r.segment, tuple(r["items"]), r.freq, r.baskets) for r in found} == expected
+
+
 def test_few_baskets_are_skipped(spark):
     rows = [r for r in _basket_rows() if int(r[1]) < 9]
     items = spark.createDataFrame(rows, "segment int, InvoiceNo string, item string")
