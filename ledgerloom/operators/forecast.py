@@ -66,10 +66,8 @@ def solve_series(sums: DataFrame) -> DataFrame:
     )
 
 
-def arima_forecast(
-    train: DataFrame, steps: int = 7, p: int = 4, long_order: int = 8
-) -> DataFrame:
-    """The next days of each gap-free series: (series, Date, PredictedSales)."""
+def series_shocks(train: DataFrame, long_order: int = 8) -> DataFrame:
+    """Lagged differences with the long autoregression's residual ``e0`` and the one before, ``e1``."""
     lagged = lagged_differences(train, long_order)
     lags = [f"d{i}" for i in range(1, long_order + 1)]
     first = solve_series(normal_sums(lagged, "d0", lags)).withColumnRenamed("beta", "long_beta")
@@ -79,12 +77,20 @@ def arima_forecast(
         lambda total, x: total + x,
     )
     by_date = Window.partitionBy(SERIES).orderBy("Date")
-    shocks = (
+    return (
         lagged.join(first, SERIES)
         .withColumn("e0", F.col("d0") - fitted)
         .withColumn("e1", F.lag("e0").over(by_date))
         .drop("long_beta")
     )
+
+
+def arima_forecast(
+    train: DataFrame, steps: int = 7, p: int = 4, long_order: int = 8
+) -> DataFrame:
+    """The next days of each gap-free series: (series, Date, PredictedSales)."""
+    shocks = series_shocks(train, long_order)
+    lags = [f"d{i}" for i in range(1, long_order + 1)]
     second = normal_sums(shocks, "d0", [*lags[:p], "e1"])
     recent = [f"d{i}" for i in range(p)]
     state = F.struct("Date", "Sales", F.array(*recent).alias("changes"), F.col("e0").alias("shock"))

@@ -22,6 +22,7 @@ from ledgerloom.operators import (
     customers,
     density,
     forecast,
+    likelihood,
     projection,
     quality,
     regression,
@@ -519,6 +520,33 @@ def forecast_metrics_arima(run: Inputs) -> DataFrame:
     return forecast.forecast_metrics(compared, "ARIMA(4,1,1)", "7 Days")
 
 
+@query
+def forecast_series_likelihood(run: Inputs) -> DataFrame:
+    train, test = run.holdout("Country")
+    return forecast.forecast_comparison(test, likelihood.likelihood_forecast(train))
+
+
+@query
+def arima_likelihood(run: Inputs) -> DataFrame:
+    """The exact likelihood of every country's model, at the two-stage estimates and at the fit."""
+    train, _ = run.holdout("Country")
+    return likelihood.fit_series(train).drop("path")
+
+
+@query
+def forecast_metrics_likelihood(run: Inputs) -> DataFrame:
+    train, test = run.holdout()
+    compared = forecast.forecast_comparison(test, likelihood.likelihood_forecast(train))
+    return forecast.forecast_metrics(compared, "ARIMA(4,1,1) by likelihood", "7 Days")
+
+
+@query
+def backtest_metrics_likelihood(run: Inputs) -> DataFrame:
+    train, test = run.backtest()
+    compared = forecast.forecast_comparison(test, likelihood.likelihood_forecast(train))
+    return forecast.forecast_metrics(compared, "ARIMA(4,1,1) by likelihood", "7 Days")
+
+
 @query
 def backtest_comparison(run: Inputs) -> DataFrame:
     train, test = run.backtest()

@@ -34,8 +34,14 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
+# Iterative fits beyond SQL; tests/test_likelihood.py holds them to dense calculations.
+FITTED = {
+    "arima_likelihood", "forecast_series_likelihood", "forecast_metrics_likelihood", "backtest_metrics_likelihood",
+}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - FITTED == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
