@@ -89,3 +89,16 @@ def test_redaction_keeps_columns_of_any_name(spark, documents):
     assert rows[2]["text"] is None and rows[3]["text"] == "" and rows[4]["text"] == "plain"
     assert all(row["_spans"] == row["by"] == "clash" for row in rows)
     assert corpus_pipeline.redact_secrets(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_duplicates_where_an_id_names_several_texts(spark, documents):
+    first, other = (" ".join(f"{name}{i}" for i in range(40)) for name in "ab")
+    texts = [(1, first), (2, first), (2, other), (2, other), (3, other), (4, None), (5, ""), (None, first)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(texts, ("text_id", "row", "_doc_id")), "")
+    assert kept.columns[:5] == COLUMNS and kept.columns[5:] == ["text_id", "row", "_doc_id"]
+    found = sorted((row["doc_id"] or 0, (row["text"] or "")[:2]) for row in kept.collect())
+    # Of the equal texts under ids 2 and 3 the one that keeps its id is the first.
+    assert found in (
+        [(0, "a0"), (1, "a0"), (2, "b0"), (2, "b0"), (4, ""), (5, "")],
+        [(0, "a0"), (1, "a0"), (3, "b0"), (4, ""), (5, "")],
+    )
