@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard, mixing, packing, secrets, toxicity
+from ledgerloom.llm.identity import one_id_per_text
 from ledgerloom.llm.skew import spread_join
 from ledgerloom.session import materialise, release, scratch_path
 
@@ -37,11 +38,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group linked by five-word shingles with J >= 0.8.
 
-    Rows with a null id are kept; rows that repeat an id are that document.
+    Rows with a null id are kept, and so are null and empty texts, which link with
+    nothing; rows that repeat id and text are one document; further texts of an id
+    are documents of their own that come after all ids; an empty table gives no
+    rows; extra columns are carried along unread.
     """
-    found = jaccard.similar_documents(docs, 5, 8, 10)
-    later = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    rows = one_id_per_text(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
+    found = jaccard.similar_documents(rows.select(F.col("text_id").alias("doc_id"), "text"), 5, 8, 10)
+    later = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("text_id")).distinct()
+    return rows.join(later, "text_id", "left_anti").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
