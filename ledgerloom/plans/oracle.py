@@ -766,6 +766,7 @@ def statements() -> dict[str, str]:
     sets_text = "array_to_string(items, ', ')"
     return {
         "load_transactions": f"SELECT {TX} FROM transactions",
+        "load_workbooks": f"SELECT {TX} FROM transactions",
         "sink_csv": _summary("seg3", "segment", RFM),
         "sink_partitioned": "SELECT * FROM seg3",
         "dataset_profile": _profile(),

@@ -35,7 +35,7 @@ from ledgerloom.operators import (
 )
 from ledgerloom.operators.quantiles import quantile_segments
 from ledgerloom.session import materialise, scratch_path
-from ledgerloom.sources import schemas, tables
+from ledgerloom.sources import schemas, tables, workbook
 from ledgerloom.sources.adapters import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,13 @@ def load_transactions(run: Inputs) -> DataFrame:
     return tables.load_transactions(run.spark, path)
 
 
+@query
+def load_workbooks(run: Inputs) -> DataFrame:
+    path = scratch_path(run.spark, "workbooks")
+    workbook.write_workbooks(run.view("transactions"), path)
+    return tables.load_transactions(run.spark, path, workbook.FORMAT)
+
+
 @query
 def sink_csv(run: Inputs) -> DataFrame:
     summary = segments.cluster_summary(run.segmented(run.rfm_table), "segment", customers.RFM)

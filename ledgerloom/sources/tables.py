@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.sources import schemas
+from ledgerloom.sources import schemas, workbook
 
 
 def load_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read the transaction table from Parquet, ORC, JSON or CSV with a fixed schema."""
+    """Read the transaction table from Parquet, ORC, JSON, CSV or workbooks with a fixed schema."""
+    if fmt == workbook.FORMAT:
+        return workbook.read_workbooks(spark, path, schemas.TRANSACTIONS)
     reader = spark.read.schema(schemas.TRANSACTIONS)
     if fmt == "csv":
         reader = reader.option("header", True)
