@@ -172,7 +172,8 @@ def load_transactions(run: Inputs) -> DataFrame:
 @query
 def load_workbooks(run: Inputs) -> DataFrame:
     path = scratch_path(run.spark, "workbooks")
-    workbook.write_workbooks(run.view("transactions"), path)
+    spread = run.view("transactions").repartition(run.spark.sparkContext.defaultParallelism)
+    workbook.write_workbooks(spread, path)
     return tables.load_transactions(run.spark, path, workbook.FORMAT)
 
 

@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from decimal import Context, Decimal, InvalidOperation
+from functools import cache
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
@@ -47,6 +48,7 @@ FORMAT = "workbook"
 ATTEMPTS = "_attempts"
 SHEET_ROWS = 1_048_576  # fixed by the format
 SUFFIXES = (".xlsx", ".xlsm")
+UNSAFE = "[\\x00-\\x08\\x0b-\\x1f\\ud800-\\udfff\\ufffe\\uffff]"  # what XML cannot hold, and line ends it alters
 WHOLE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}  # bits
 # Fixed values of the format: namespaces, part names and relation types.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -60,7 +62,7 @@ SHEET_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 
 def _shown(number: str) -> str:
     """A stored number as text: whole numbers without a point, others in their shortest form."""
-    if re.fullmatch(r"-?\d+", number):
+    if number.removeprefix("-").isdigit():
         return number
     value = float(number)
     return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
@@ -130,22 +132,32 @@ def _name(element: ElementTree.Element) -> str:
     return element.tag.rsplit("}", 1)[-1]
 
 
-def _elements(stream, wanted: str) -> Iterator[ElementTree.Element]:
-    """The named elements of an XML stream one by one; what was read is let go."""
-    path: list[ElementTree.Element] = []
-    for event, element in ElementTree.iterparse(stream, events=("start", "end")):
-        if event == "start":
-            path.append(element)
-            continue
-        path.pop()
-        if _name(element) == wanted:
-            yield element
-            if path:
-                path[-1].clear()
+def _children(stream, parent: str) -> Iterator[ElementTree.Element]:
+    """The children of the named element of an XML stream, piece by piece; read ones are let go."""
+    opened: list[ElementTree.Element] = []
+
+    def make(tag: str, attributes: dict[str, str]) -> ElementTree.Element:
+        element = ElementTree.Element(tag, attributes)
+        if tag.endswith(parent):
+            opened.append(element)
+        return element
+
+    parser = ElementTree.XMLParser(target=ElementTree.TreeBuilder(element_factory=make))
+    while piece := stream.read(1 << 16):
+        parser.feed(piece)
+        if opened:
+            done = opened[0][:-1]  # the last child may not have ended yet
+            yield from done
+            del opened[0][: len(done)]
+    parser.close()
+    if opened:
+        yield from opened[0]
 
 
 def _plain(text: str) -> str:
     """Undo the format's escapes of characters that XML cannot hold."""
+    if "_x" not in text:
+        return text
     return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda match: chr(int(match[1], 16)), text)
 
 
@@ -153,10 +165,10 @@ def _string(element: ElementTree.Element) -> str:
     """The text of a string, its formatted runs joined, without phonetic hints."""
     parts = []
     for child in element:
-        if _name(child) == "t":
+        if child.tag.endswith("}t"):
             parts.append(child.text or "")
-        elif _name(child) == "r":
-            parts.extend(run.text or "" for run in child if _name(run) == "t")
+        elif child.tag.endswith("}r"):
+            parts.extend(run.text or "" for run in child if run.tag.endswith("}t"))
     return _plain("".join(parts))
 
 
@@ -202,44 +214,42 @@ class Workbook:
         for kind, part in self.related.values():
             if kind == "sharedStrings":
                 with self.archive.open(part) as stream:
-                    return [_string(element) for element in _elements(stream, "si")]
+                    return [_string(element) for element in _children(stream, "sst")]
         return []
 
     def rows(self, sheet: str) -> Iterator[dict[int, tuple[str, str]]]:
         """Column number -> (cell kind, text) of every row that holds a value."""
         strings = self.strings()
         with self.archive.open(self.sheets[sheet]) as stream:
-            for row in _elements(stream, "row"):
-                cells, column = {}, -1
-                for cell in row:
-                    if _name(cell) != "c":
-                        continue
-                    column = _column(cell.get("r")) if cell.get("r") else column + 1
-                    found = _cell(cell, strings)
+            for row in _children(stream, "sheetData"):
+                prefix, cells, column = row.tag[: -len("row")], {}, -1
+                for cell in row.findall(f"{prefix}c"):
+                    reference = cell.get("r")
+                    column = _column(reference.rstrip("0123456789")) if reference else column + 1
+                    found = _cell(cell, prefix, strings)
                     if found is not None:
                         cells[column] = found
                 if cells:
                     yield cells
 
 
-def _column(reference: str) -> int:
-    """The column number of a reference: A1 is 0, AA7 is 26."""
+@cache
+def _column(letters: str) -> int:
+    """The number of a column: A is 0, AA is 26; there are at most 16,384."""
     number = 0
-    for letter in reference:
-        if not letter.isalpha():
-            break
+    for letter in letters:
         number = number * 26 + ord(letter.upper()) - 64
     return number - 1
 
 
-def _cell(cell: ElementTree.Element, strings: list[str]) -> tuple[str, str] | None:
+def _cell(cell: ElementTree.Element, prefix: str, strings: list[str]) -> tuple[str, str] | None:
     kind = cell.get("t", "n")
-    value = next((child for child in cell if _name(child) in ("v", "is")), None)
-    if value is None or kind == "e":
-        return None
     if kind == "inlineStr":
-        return "t", _string(value)
-    text = value.text or ""
+        inline = cell.find(f"{prefix}is")
+        return None if inline is None else ("t", _string(inline))
+    text = cell.findtext(f"{prefix}v")
+    if text is None or kind == "e":
+        return None
     if kind == "s":
         return "t", strings[int(text)]
     if kind in ("str", "d"):
@@ -324,10 +334,10 @@ class WorkbookReader(DataSourceReader):
 
 def _safe(text: str) -> str:
     """XML text; characters that XML cannot hold, and what looks like their escape, are escaped."""
-    text = re.sub(r"_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", text)
-    text = re.sub(
-        "[\x00-\x08\x0b-\x1f\ud800-\udfff￾￿]", lambda match: f"_x{ord(match[0]):04X}_", text
-    )
+    if "_x" in text:
+        text = re.sub(r"_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", text)
+    if not text.isprintable():
+        text = re.sub(UNSAFE, lambda match: f"_x{ord(match[0]):04X}_", text)
     return escape(text)
 
 
