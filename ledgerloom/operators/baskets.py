@@ -216,6 +216,11 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
             "baskets",
         )
     )
+    return measure_splits(splits, itemsets, min_lift)
+
+
+def measure_splits(splits: DataFrame, itemsets: DataFrame, min_lift: float = 1.0) -> DataFrame:
+    """The measures of splits (segment, antecedents, consequents, both, baskets) that reach the lift."""
     left = itemsets.select("segment", F.col("items").alias("antecedents"), F.col("freq").alias("ante"))
     right = itemsets.select("segment", F.col("items").alias("consequents"), F.col("freq").alias("cons"))
     both, total = F.col("both").cast("double"), F.col("baskets").cast("double")

@@ -687,6 +687,15 @@ def _top_products(rows: str) -> str:
         WINDOW o AS (ORDER BY total DESC, StockCode) QUALIFY position <= 10"""
 
 
+def _top_rules(table: str) -> str:
+    return f"""
+        SELECT segment, row_number() OVER (PARTITION BY segment
+                   ORDER BY lift DESC, support DESC, antecedents, consequents) AS position,
+               antecedents, consequents, {even("support", 4)} AS support,
+               {even("confidence", 4)} AS confidence, {even("lift", 4)} AS lift
+        FROM {table} QUALIFY position <= 10"""
+
+
 def _rules(table: str) -> str:
     measures = (
         "antecedent_support", "consequent_support", "support", "confidence", "lift", "leverage", "conviction"
@@ -987,12 +996,9 @@ def statements() -> dict[str, str]:
         "rules_dedup_deep": (
             f"SELECT segment, antecedents, consequents, {even('lift', 6)} AS lift FROM unmirrored_deep"
         ),
-        "top_rules": f"""
-            SELECT segment, row_number() OVER (PARTITION BY segment
-                       ORDER BY lift DESC, support DESC, antecedents, consequents) AS position,
-                   antecedents, consequents, {even("support", 4)} AS support,
-                   {even("confidence", 4)} AS confidence, {even("lift", 4)} AS lift
-            FROM unmirrored QUALIFY position <= 10""",
+        "top_rules": _top_rules("unmirrored"),
+        "best_rules": _top_rules("unmirrored"),
+        "best_rules_deep": _top_rules("unmirrored_deep"),
     }
 
 

@@ -18,6 +18,7 @@ from ledgerloom.functions import half_even
 from ledgerloom.operators import (
     attrition,
     baskets,
+    bestrules,
     cleaning,
     customers,
     density,
@@ -833,3 +834,13 @@ def rules_dedup(run: Inputs) -> DataFrame:
 @query
 def top_rules(run: Inputs) -> DataFrame:
     return baskets.top_rules(baskets.drop_mirrored(run.rules))
+
+
+@query
+def best_rules(run: Inputs) -> DataFrame:
+    return bestrules.best_rules(baskets.frequent_itemsets(run.items))
+
+
+@query
+def best_rules_deep(run: Inputs) -> DataFrame:
+    return bestrules.best_rules(baskets.frequent_itemsets(_coarse_items(run)))
