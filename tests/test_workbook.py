@@ -5,11 +5,21 @@ import zipfile
 from datetime import date, datetime
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql.datasource import DataSourceArrowWriter
 
 from ledgerloom.sources import schemas, tables
-from ledgerloom.sources.workbook import MAIN, RELATED, PACKAGE, read_workbooks, write_workbooks
+from ledgerloom.sources.workbook import (
+    MAIN,
+    PACKAGE,
+    RELATED,
+    WorkbookReader,
+    WorkbookWriter,
+    read_workbooks,
+    write_workbooks,
+)
 
 SHEET = "xl/worksheets/sheet{}.xml"
 
@@ -147,3 +157,34 @@ def test_transactions_from_a_workbook(spark, tmp_path):
     path = str(tmp_path / "sales")
     write_workbooks(spark.createDataFrame([row], schemas.TRANSACTIONS), path)
     assert tuple(tables.load_transactions(spark, path, "workbook").first()) == row
+
+
+def test_pieces_become_arrow_columns_and_odd_markup_is_parsed(spark, tmp_path):
+    """Common cells never pass through Python rows; a piece or worksheet with other markup gives the same."""
+    schema = spark.createDataFrame([], "code string, when decimal(10,2)").schema
+    plain = "".join(f'<row r="{i}"><c r="B{i}" t="s"><v>2</v></c><c r="D{i}"><v>{i}.5</v></c></row>' for i in range(4, 30))
+    odd = {
+        "plain": plain,
+        "repeated cell, lines and entities": plain
+        + '<row r="30"><c r="B30"><v>1</v></c><c r="B30" t="str"><f>A1&gt;2</f><v>a&amp;&#233;\r\n_x0041_</v></c></row>',
+        "order of attributes": plain + '<row r="30"><c t="s" r="B30"><v>2</v></c><c r="D30"><v>1e1</v></c></row>',
+        "runs": plain + '<row r="30"><c r="B30" t="inlineStr"><is><r><t>x</t></r><r><t>y</t></r></is></c></row>',
+        "comment": plain + '<!-- </row> --><row r="30"><c r="B30" t="inlineStr"><is><t><![CDATA[</row>]]></t></is></c></row>',
+    }
+    last = [(), (("a&é\nA", None),), (("WHITE HEART", Decimal("10.00")),), (("xy", None),), (("</row>", None),)]
+    for rows, more in zip(odd.values(), last):
+        handmade(tmp_path / "a.xlsx", {"Data": HEADER + rows}, STRINGS)
+        reader = WorkbookReader(schema, {"path": str(tmp_path / "a.xlsx")})
+        batches = list(reader.read(reader.partitions()[0]))
+        assert all(isinstance(batch, pa.RecordBatch) for batch in batches)
+        got = [tuple(row.values()) for batch in batches for row in batch.to_pylist()]
+        assert got == [("WHITE HEART", Decimal(f"{i}.50")) for i in range(4, 30)] + list(more)
+    assert issubclass(WorkbookWriter, DataSourceArrowWriter)
+
+
+def test_texts_over_many_pieces(spark, tmp_path):
+    """Rows are cut into pieces between rows, wherever a block of bytes ends."""
+    rows = "".join(f'<row r="{i}"><c r="B{i}" t="str"><v>{"é" * (i % 97)}</v></c></row>\n' for i in range(4, 30_000))
+    handmade(tmp_path / "a.xlsx", {"Data": HEADER + rows}, STRINGS)
+    got = [row.code for row in read_workbooks(spark, str(tmp_path / "a.xlsx"), "code string").collect()]
+    assert got == ["é" * (i % 97) for i in range(4, 30_000)]
