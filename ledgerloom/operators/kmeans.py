@@ -24,7 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCALE = 1_000_000
 TOLERANCE = 1e-4
-STRETCH = 4096  # points compared with all centres at a time
+STRETCH = 2048  # points compared with all centres at a time
 
 Centres = list[tuple[float, ...]]
 
@@ -51,6 +51,49 @@ def nearest(values: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return total.argmin(axis=1)
 
 
+class Stretch:
+    """Sums of stretches of points over the clusters of many models.
+
+    All distances come from one matrix product, up to a bound on its rounding error. A
+    point with two centres of a model within that bound goes to ``nearest``, so the
+    outcome is always that of ``nearest``; sums of so few whole numbers are exact.
+    The matrices are kept from stretch to stretch.
+    """
+
+    def __init__(self, models: list[np.ndarray]) -> None:
+        self.models, centres = models, np.vstack(models)
+        ends = np.cumsum([len(model) for model in models])
+        self.parts = [slice(end - len(model), end) for end, model in zip(ends, models)]
+        squares = (centres * centres).sum(axis=1, keepdims=True)
+        self.form, self.reach = np.hstack([-2 * centres, squares]), np.sqrt(squares.max())
+        self.each = np.ones(len(centres))
+        self.gap, self.mine = (np.empty((len(centres), STRETCH)) for _ in range(2))
+        self.held, self.bound = np.empty((len(centres), STRETCH), bool), np.empty(STRETCH)
+
+    def sums(self, points: np.ndarray) -> np.ndarray:
+        """For each centre of each model in turn, the sums and the number of its points."""
+        size, width = points.shape
+        ones = np.hstack([points, np.ones((size, 1))])
+        gap, mine, held, bound = self.gap[:, :size], self.mine[:, :size], self.held[:, :size], self.bound[:size]
+        np.matmul(self.form, ones.T, out=gap)
+        far = np.sqrt((points * points).sum(axis=1).max()) + self.reach
+        slack = 64 * (width + 2) * np.finfo(float).eps * far * far
+        for part in self.parts:
+            np.min(gap[part], axis=0, out=bound)
+            bound += slack
+            np.less_equal(gap[part], bound, out=held[part])
+        mine[:] = held
+        unsure = np.flatnonzero(self.each @ mine != len(self.models))
+        if len(unsure):
+            for part, model in zip(self.parts, self.models):
+                some = mine[part, unsure]
+                which = np.flatnonzero(some.sum(axis=0) != 1)
+                label = nearest(points[unsure[which]], model)
+                some[:, which] = np.arange(len(model))[:, None] == label
+                mine[part, unsure] = some
+        return mine @ ones
+
+
 def cluster_sums(space: DataFrame, models: dict[int, Centres]) -> dict[int, dict[int, tuple[int, tuple[int, ...]]]]:
     """(number, sum) of the points of every cluster of every model, from one pass."""
     arrays = {model: np.array(centres) for model, centres in models.items()}
@@ -58,23 +101,15 @@ def cluster_sums(space: DataFrame, models: dict[int, Centres]) -> dict[int, dict
     schema = "model int, cluster int, n bigint, total array<bigint>"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {model: np.zeros(len(c), np.int64) for model, c in arrays.items()}
-        totals = {model: np.zeros((len(c), width), np.int64) for model, c in arrays.items()}
+        stretch, sums = Stretch(list(arrays.values())), np.int64(0)
         for batch in batches:
-            points = batch.column(0).flatten().to_numpy().reshape(-1, width).astype(float)
+            points = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
             for begin in range(0, len(points), STRETCH):
-                part = points[begin : begin + STRETCH]
-                for model, centres in arrays.items():
-                    label = nearest(part, centres)
-                    counts[model] += np.bincount(label, minlength=len(centres))
-                    for axis in range(width):  # sums of so few whole numbers are exact
-                        sums = np.bincount(label, part[:, axis], len(centres))
-                        totals[model][:, axis] += sums.astype(np.int64)
-        rows = [
-            (model, j, int(counts[model][j]), totals[model][j].tolist())
-            for model in arrays
-            for j in np.flatnonzero(counts[model])
-        ]
+                sums = sums + stretch.sums(points[begin : begin + STRETCH]).astype(np.int64)
+        if np.ndim(sums) == 0:  # no points
+            return
+        names = [(model, j) for model, centres in arrays.items() for j in range(len(centres))]
+        rows = [(*name, int(total[-1]), total[:-1].tolist()) for name, total in zip(names, sums) if total[-1]]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
         columns = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays(

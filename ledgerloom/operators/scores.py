@@ -7,25 +7,144 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _long(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """(x, label_column, cluster): every point once per labelling."""
-    named = F.array(
-        *[F.struct(F.lit(label).alias("label_column"), F.col(label).alias("cluster")) for label in labels]
+STRETCH = 1 << 18  # distances held at a time
+
+
+def _rows(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """One array of coordinates and the labels of every point."""
+    axes = F.array(*[F.col(name).cast("double") for name in coordinates])
+    return labelled.select(axes.alias("x"), *[F.col(label).alias(f"l{i}") for i, label in enumerate(labels)])
+
+
+def _places(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(float)
+
+
+def cluster_moments(
+    labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]
+) -> list[tuple[pa.Array, np.ndarray]]:
+    """For each labelling its clusters in order, and their (number, sums, sum of squares).
+
+    One pass over the points. The driver gets a row for each cluster, so a label column must have few values.
+    """
+    dims, points = len(coordinates), _rows(labelled, coordinates, labels)
+    kinds = [field.dataType for field in points.schema.fields[1:]]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _places(batch, dims)
+            columns = [np.ones(len(x)), *x.T, (x * x).sum(axis=1)]
+            for i in range(len(kinds)):
+                coded = batch.column(i + 1).drop_null().dictionary_encode()
+                known = batch.column(i + 1).is_valid().to_numpy(zero_copy_only=False)
+                size = len(coded.dictionary)
+                sums = [np.bincount(coded.indices.to_numpy(), column[known], size) for column in columns]
+                arrays = [pa.array([i] * size, pa.int32())]
+                arrays += [coded.dictionary if j == i else pa.nulls(size, c.type) for j, c in enumerate(batch.columns[1:])]
+                names = ["i", *batch.schema.names[1:], *[f"s{n}" for n in range(dims + 2)]]
+                yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, sums)], names=names)
+
+    names = [f"l{i}" for i in range(len(kinds))]
+    fields = ["i int", *[f"{n} {kind.simpleString()}" for n, kind in zip(names, kinds)]]
+    summed = (
+        points.mapInArrow(add, ", ".join([*fields, *[f"s{n} double" for n in range(dims + 2)]]))
+        .groupBy("i", *names)
+        .agg(*[F.sum(f"s{n}").alias(f"s{n}") for n in range(dims + 2)])
+        .orderBy("i", *names)
     )
-    point = F.array(*[F.col(name).cast("double") for name in coordinates])
-    return labelled.select(point.alias("x"), F.explode(named).alias("mine")).select("x", "mine.*")
+    found = summed.collect()
+    kept = to_arrow_schema(points.schema)
+    moments = []
+    for i, name in enumerate(names):
+        mine = [row for row in found if row["i"] == i]
+        values = pa.array([row[name] for row in mine], kept.field(name).type)
+        moments.append((values, np.array([row[-dims - 2 :] for row in mine], float).reshape(-1, dims + 2)))
+    return moments
+
 
+def cluster_scores(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(label_column, cluster, centre, rows, score, compared, spread) of every cluster of several labellings.
 
-def _dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda x, y: x * y)
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    ``score`` sums the silhouettes of the cluster's points, ``compared`` counts the points that
+    have another cluster, ``spread`` is the mean distance to the centre. Points without
+    a label form a row without cluster and score 0. Tasks add their points up by cluster.
+    """
+    dims, names = len(coordinates), list(labels)
+    moments = cluster_moments(labelled, coordinates, labels)
+
+    def scored(x: np.ndarray, own: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Silhouettes and distances to the own centre of labelled points."""
+        n, centre = sums[:, 0], sums[:, 1:-1] / sums[:, :1]
+        gap = (x * x).sum(axis=1)[:, None] * n - 2 * (x @ sums[:, 1:-1].T) + sums[:, -1]
+        gap = np.maximum(gap, 0.0)  # rounding may leave a tiny negative
+        every = np.arange(len(x))
+        mine, size = gap[every, own].copy(), n[own]
+        gap /= n
+        gap[every, own] = np.inf
+        a, b = mine / np.maximum(size - 1, 1), gap.min(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            apart = np.where((size > 1) & (np.maximum(a, b) > 0) & (b < np.inf), (b - a) / np.maximum(a, b), 0.0)
+        return apart, np.sqrt(((x - centre[own]) ** 2).sum(axis=1))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((len(values) + 1, 3)) for values, _ in moments]  # the last row is without label
+        for batch in batches:
+            x = _places(batch, dims)
+            for i, (values, sums) in enumerate(moments):
+                place = pc.index_in(batch.column(i + 1), values).fill_null(len(values)).to_numpy(zero_copy_only=False)
+                totals[i][-1, 0] += (place == len(values)).sum()
+                inside = np.flatnonzero(place < len(values))
+                step = max(1, STRETCH // max(len(values), 1))
+                for begin in range(0, len(inside), step):
+                    some = inside[begin : begin + step]
+                    score, spread = scored(x[some], place[some], sums)
+                    for k, column in enumerate((np.ones(len(some)), score, spread)):
+                        totals[i][:, k] += np.bincount(place[some], column, len(values) + 1)
+        for i, (values, sums) in enumerate(moments):
+            held = np.flatnonzero(totals[i][:, 0])
+            size, last = len(held), len(values)
+            centres = [(sums[j, 1:-1] / sums[j, 0]).tolist() if j < last else None for j in held]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([names[i]] * size, pa.string()),
+                    pa.array([int(j) if j < last else None for j in held], pa.int64()),
+                    pa.array(centres, pa.list_(pa.float64())),
+                    pa.array([bool(j < last and last > 1) for j in held], pa.bool_()),
+                    *[pa.array(totals[i][held, k]) for k in range(3)],
+                ],
+                names=["label_column", "cluster", "centre", "others", "n", "score", "spread"],
+            )
+
+    schema = "label_column string, cluster bigint, centre array<double>, others boolean, n double, score double, spread double"
+    return (
+        _rows(labelled, coordinates, labels)
+        .mapInArrow(add, schema)
+        .groupBy("label_column", "cluster", "centre", "others")
+        .agg(F.sum("n").alias("rows"), F.sum("score").alias("score"), F.sum("spread").alias("spread"))
+        .select(
+            "label_column",
+            "cluster",
+            "centre",
+            "rows",
+            "score",
+            F.when(F.col("others"), F.col("rows")).otherwise(0.0).alias("compared"),
+            (F.col("spread") / F.col("rows")).alias("spread"),
+        )
+    )
+
+
+def _mean_silhouette() -> Column:
+    # With a single cluster there is no score.
+    return F.when(F.sum("compared") > 0, F.sum("score") / F.sum("rows")).alias("silhouette")
 
 
 def silhouettes(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -36,36 +155,7 @@ def silhouettes(labelled: DataFrame, coordinates: Sequence[str], labels: Sequenc
     pass sums the clusters and one scores the points. The sums hold one row per
     cluster, so a label column must have few values.
     """
-    points = _long(labelled, coordinates, labels)
-    clusters = (
-        points.groupBy("label_column", "cluster")
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.array(*[F.sum(F.col("x")[i]) for i in range(len(coordinates))]).alias("sum"),
-            F.sum(_dot(F.col("x"), F.col("x"))).alias("squares"),
-        )
-        .groupBy("label_column")
-        .agg(F.collect_list(F.struct("cluster", "n", "sum", "squares")).alias("all"))
-    )
-
-    def total(one: Column) -> Column:
-        gap = one["n"] * _dot(F.col("x"), F.col("x")) - 2 * _dot(F.col("x"), one["sum"]) + one["squares"]
-        return F.greatest(gap, F.lit(0.0))  # rounding may leave a tiny negative
-
-    own = F.element_at(F.filter("all", lambda one: one["cluster"] == F.col("cluster")), 1)
-    others = F.filter("all", lambda one: one["cluster"] != F.col("cluster"))
-    scored = points.join(F.broadcast(clusters), "label_column").select(
-        "label_column",
-        own["n"].alias("size"),
-        F.try_divide(total(own), own["n"] - 1).alias("a"),
-        F.array_min(F.transform(others, lambda one: total(one) / one["n"])).alias("b"),
-    )
-    apart = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    score = F.when(F.col("size") == 1, F.lit(0.0)).otherwise(apart)
-    # With a single cluster there is no score.
-    return scored.groupBy("label_column").agg(
-        F.when(F.count("b") > 0, F.avg(score)).alias("silhouette")
-    )
+    return cluster_scores(labelled, coordinates, labels).groupBy("label_column").agg(_mean_silhouette())
 
 
 def euclidean_silhouettes(
@@ -153,16 +243,18 @@ def davies_bouldins(labelled: DataFrame, coordinates: Sequence[str], labels: Seq
     Centres and spreads are one row per cluster; their comparison happens inside
     one array of that many entries per labelling.
     """
-    points = _long(labelled, coordinates, labels)
-    centres = points.groupBy("label_column", "cluster").agg(
-        F.array(*[F.avg(F.col("x")[i]) for i in range(len(coordinates))]).alias("centre")
-    )
+    return both_scores(labelled, coordinates, labels).filter("davies_bouldin IS NOT NULL").drop("silhouette")
+
+
+def both_scores(labelled: DataFrame, coordinates: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(label_column, silhouette, davies_bouldin) of several labellings, from two passes over the points."""
     clusters = (
-        points.join(F.broadcast(centres), ["label_column", "cluster"])
-        .groupBy("label_column", "cluster", "centre")
-        .agg(F.avg(_distance(F.col("x"), F.col("centre"))).alias("spread"))
+        cluster_scores(labelled, coordinates, labels)
         .groupBy("label_column")
-        .agg(F.collect_list(F.struct("cluster", "centre", "spread")).alias("all"))
+        .agg(
+            _mean_silhouette(),
+            F.collect_list(F.when(F.col("cluster").isNotNull(), F.struct("cluster", "centre", "spread"))).alias("all"),
+        )
     )
 
     def worst(this: Column) -> Column:
@@ -176,7 +268,8 @@ def davies_bouldins(labelled: DataFrame, coordinates: Sequence[str], labels: Seq
         return F.coalesce(F.array_max(ratios), F.lit(0.0))
 
     total = F.aggregate(F.transform("all", worst), F.lit(0.0), lambda total, x: total + x)
-    return clusters.select("label_column", F.try_divide(total, F.size("all")).alias("davies_bouldin"))
+    index = F.try_divide(total, F.size("all")).alias("davies_bouldin")
+    return clusters.select("label_column", "silhouette", index)
 
 
 def davies_bouldin(labelled: DataFrame, coordinates: Sequence[str], label: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ledgerloom.functions.columns import FEATURE
 from ledgerloom.operators import kmeans
 from ledgerloom.operators.customers import log_features
 from ledgerloom.operators.scaling import assemble, standardise
-from ledgerloom.operators.scores import davies_bouldins, silhouettes
+from ledgerloom.operators.scores import both_scores
 from ledgerloom.session import materialise
 
 
@@ -56,7 +56,8 @@ def kmeans_sweep(
     starts: int = 10,
 ) -> DataFrame:
     """Silhouette and Davies-Bouldin score of the best k-means model for each k."""
-    labelled = with_labels(points, coordinates, ks, starts)
+    labels = [f"cluster_{k}" for k in ks]
+    labelled = materialise(with_labels(points, coordinates, ks, starts).select(*coordinates, *labels), "labelled")
     return score_labels(labelled, coordinates, {k: f"cluster_{k}" for k in ks}, method)
 
 
@@ -67,14 +68,13 @@ def score_labels(
     method: str,
 ) -> DataFrame:
     """One row per labelling: (Method, Clusters, SilhouetteScore, DaviesBouldinIndex)."""
-    index = davies_bouldins(labelled, coordinates, list(labels.values()))
-    silhouette = silhouettes(labelled, coordinates, list(labels.values()))
+    scores = both_scores(labelled, coordinates, list(labels.values()))
     clusters = reduce(
         lambda rest, item: F.when(F.col("label_column") == item[1], item[0]).otherwise(rest),
         labels.items(),
         F.lit(None).cast("int"),
     )
-    return silhouette.join(index, "label_column").select(
+    return scores.filter("davies_bouldin IS NOT NULL").select(
         F.lit(method).alias("Method"),
         clusters.alias("Clusters"),
         half_even(F.col("silhouette"), 4).alias("SilhouetteScore"),

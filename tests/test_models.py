@@ -366,3 +366,31 @@ def test_forecast_runs_where_workers_cannot_import_the_package(tmp_path):
     )
     run = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS 7" in run.stdout, run.stderr[-2000:]
+
+
+def test_products_of_matrices_give_the_first_nearest_centre():
+    rng = np.random.default_rng(3)
+    points = np.rint(rng.normal(size=(500, 3)) * kmeans.SCALE)
+    models = [points[rng.choice(500, k, replace=False)] for k in (2, 5, 8)]
+    models.append(np.vstack([points[0], points[0], points[1]]))  # equal centres
+    models.append(np.array([[-1.0, 0, 0], [1.0, 0, 0]]) * kmeans.SCALE)  # ties at x = 0
+    points[:50, 0] = 0
+    want = []
+    for centres in models:
+        label = kmeans.nearest(points, centres)
+        want += [[*points[label == j].sum(axis=0), (label == j).sum()] for j in range(len(centres))]
+    assert (kmeans.Stretch(models).sums(points) == np.array(want)).all()
+
+
+def test_scores_of_text_labels_and_of_points_without_one(spark, blobs):
+    frame = spark.createDataFrame(blobs).repartition(5)
+    text = F.concat(F.lit("c"), F.col("truth").cast("string"))
+    part = frame.withColumns({"text": text, "some": F.when(F.col("truth") > 0, F.col("truth"))})
+    got = {row.label_column: row for row in scores.both_scores(part, ["x", "y"], ["truth", "text", "some"]).collect()}
+    assert got["text"].silhouette == pytest.approx(got["truth"].silhouette, rel=1e-12)
+    assert got["text"].davies_bouldin == pytest.approx(got["truth"].davies_bouldin, rel=1e-12)
+    kept = part.filter("some IS NOT NULL")
+    alone = scores.both_scores(kept, ["x", "y"], ["some"]).first()
+    share = kept.count() / part.count()  # points without a label score 0 and lie in no cluster
+    assert got["some"].silhouette == pytest.approx(alone.silhouette * share, rel=1e-9)
+    assert got["some"].davies_bouldin == pytest.approx(alone.davies_bouldin, rel=1e-9)
