@@ -188,3 +188,15 @@ def test_partitioned_sink_keeps_one_folder_per_key(spark, tmp_path):
     folders = {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()}
     assert folders == {"cluster=0", "cluster=1"}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_products_are_dealt_out_before_their_lines_are_summed(spark):
+    """No task that reads lines holds sums for the whole catalogue; a dominant product is summed in parts."""
+    lines = [("best" if i % 3 else f"p{i}", str(i), Decimal(i)) for i in range(900)]
+    clean = spark.createDataFrame(lines, "StockCode string, InvoiceNo string, TotalPrice decimal(18,4)")
+    best = retail.top_products(clean, 1)
+    total = sum(i for i in range(900) if i % 3)
+    assert (best.first().StockCode, best.first().revenue) == ("best", float(total))
+    plan = retail.product_concentration(clean)._jdf.queryExecution().sparkPlan().toString()
+    first_sum = plan.rindex("partial_sum(TotalPrice")
+    assert "RepartitionByExpression" in plan[first_sum:] or "REPARTITION_BY_COL" in plan[first_sum:]
