@@ -40,10 +40,10 @@ def token_count(text: Column) -> Column:
 
 def layout_topic(text: Column) -> Column:
     """A topic by layout, for corpora that come without topics: capitals, digits, symbols or prose."""
-    topic = F.lit("prose")
+    topic, size = F.lit("prose"), F.length(text).cast("bigint")
     for name, characters, percent in reversed(LAYOUTS):
-        found = F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("bigint") * 100
-        topic = F.when((found > 0) & (found >= F.length(text).cast("bigint") * percent), name).otherwise(topic)
+        found = F.regexp_count(text, F.lit(f"[{characters}]")).cast("bigint") * 100
+        topic = F.when(found >= F.greatest(size * percent, F.lit(1)), name).otherwise(topic)
     return topic
 
 

@@ -248,6 +248,12 @@ def test_layout_follows_shares(documents):
     assert dict(found) == {1: "prose", 2: "capitals", 3: "digits", 4: "symbols", 5: "prose", 6: "prose"}
 
 
+def test_layout_counts_every_class_of_characters_once(documents):
+    texts = documents([(1, "A1!")]).select(mixing.layout_topic(F.col("text")).alias("topic"))
+    plan = texts._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_") == len(mixing.LAYOUTS)
+
+
 def test_mix_on_awkward_rows(edges, empty):
     rows = mixing.document_mix(edges).collect()
     assert len(rows) == 12 and all(0 <= row["probability"] <= 1 for row in rows)
