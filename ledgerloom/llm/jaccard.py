@@ -11,11 +11,14 @@ unless a document has more than m of them, which keeps the argument exact. Equal
 blocks are candidates; those whose short sketches differ in too many bits are
 dropped, and the others are verified on the whole sets.
 
-Equal sets become one class, so copies never meet in a block. Within a
-block the members of lowest rank are compared with the rest, in rounds of
-growing size, and a block is finished as soon as its members are connected: a
-large group of near copies costs a few comparisons per member, while members
-that stay unconnected do get compared with each other. No pair that could
+Equal sets become one class, so copies never meet in a block. Sets that share a
+block get a second sketch of smaller blocks, of which only the rarest that a
+linked set cannot miss are joined. Within a block the members of lowest
+rank, those that share most of their blocks, are compared with the rest, in rounds
+of growing size, and a block is finished as soon as its members are connected: a
+large group of near copies costs a few comparisons per member, and most copies changed
+beyond the threshold have enough blocks of their own to meet none; those that have
+not do get compared with each other. No pair that could
 change a component is skipped.
 
 Defined results: null, empty and blank texts have no shingles and link with
@@ -88,25 +91,34 @@ def block_keys(
     The hashes are sorted, and a block takes an equal share of their range, so
     the parity of a block is one xor over neighbours.
     """
-    size = len(hashes)
-    own = int(np.searchsorted(lows, size, side="right")) - 1
-    least = int(np.searchsorted(lows, -(-numerator * size // denominator), side="right")) - 1
     keys = []
     top, codes = hashes >> np.uint64(32), mix(hashes)
-    for band in range(least, own + 1):
+    for band in bands_of(len(hashes), lows, numerator, denominator):
         spare = -(-apart[band] // 10)
-        count = apart[band] + 1 + spare
-        block = (top * np.uint64(count)) >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(block, prepend=np.uint64(1 << 63)))
-        place, parity = block[cuts], np.bitwise_xor.reduceat(codes, cuts)
-        if count - len(cuts) > spare:
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place)
-            place = np.concatenate([place, empty])
-            parity = np.concatenate([parity, np.zeros(len(empty), np.uint64)])
-        keys.append(mix(parity + mix(place * np.uint64(64) + np.uint64(band))))
+        filled, empty = blocks(top, codes, apart[band] + 1 + spare, band)
+        keys.append(filled if len(empty) <= spare else np.concatenate([filled, empty]))
     return np.concatenate(keys)
 
 
+def bands_of(size: int, lows: np.ndarray, numerator: int, denominator: int) -> range:
+    """The bands in which a set of this size may be the smaller or the larger of two linked sets."""
+    own = int(np.searchsorted(lows, size, side="right")) - 1
+    least = int(np.searchsorted(lows, -(-numerator * size // denominator), side="right")) - 1
+    return range(least, own + 1)
+
+
+def blocks(top: np.ndarray, codes: np.ndarray, count: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the blocks with elements, and of those without."""
+    block = (top * np.uint64(count)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(block, prepend=np.uint64(1 << 63)))
+    place, parity = block[cuts], np.bitwise_xor.reduceat(codes, cuts)
+    empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place)
+    return (
+        mix(parity + mix(place * np.uint64(64) + np.uint64(band))),
+        mix(mix(empty * np.uint64(64) + np.uint64(band))),
+    )
+
+
 def set_name(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set of hashes."""
     low = np.bitwise_xor.reduce(hashes, initial=np.uint64(0))
@@ -174,6 +186,84 @@ def sketch_keys(docs: DataFrame, width: int, numerator: int, denominator: int) -
     return known.mapInArrow(emit, "key bigint, doc_id bigint")
 
 
+def fine_keys(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(key, doc_id, sketch, n, most_n, empty): smaller blocks of every band of every set.
+
+    ``sketch`` tells the bands and texts of an id apart, n is the size of the set and
+    most_n that of the largest set it may link with in the band. ``empty`` is 0 for a
+    block with elements. Of those without, numbered from 1, only as many are given as
+    ``rare_blocks`` may ask for.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        lows, apart = size_bands(numerator, denominator)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, about = [np.zeros(0, np.uint64)], [np.zeros((0, 5), np.int64)]
+            for row, hashes in enumerate(shingles.sets(batch.column(1))):
+                size = len(hashes)
+                if not size:
+                    continue
+                name = np.array([set_name(hashes)[0]], np.uint64)
+                top, codes = hashes >> np.uint64(32), mix(hashes)
+                bands = bands_of(size, lows, numerator, denominator)
+                for band in bands:
+                    other = size * denominator // numerator if band == bands[-1] else int(lows[band + 1]) - 1
+                    filled, empty = blocks(top, codes, 3 * apart[band] + 1, band)
+                    empty = empty[: max(0, apart[band] + 1 - len(filled))]
+                    keys.append(np.concatenate([filled, empty]))
+                    sketch = mix(name + np.uint64(band)).view(np.int64)[0]
+                    rows = np.tile(np.array([ids[row], sketch, size, other, 0], np.int64), (len(keys[-1]), 1))
+                    rows[len(filled) :, 4] = np.arange(1, len(empty) + 1)
+                    about.append(rows)
+            columns = np.concatenate(about)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(keys).view(np.int64)),
+                    *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(5)],
+                ],
+                names=["key", "doc_id", "sketch", "n", "most_n", "empty"],
+            )
+
+    known = in_batches(docs).select("doc_id", "text")
+    return known.mapInArrow(
+        emit, "key bigint, doc_id bigint, sketch bigint, n bigint, most_n bigint, empty bigint"
+    )
+
+
+def rare_blocks(fine: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(key, rep, rank) of blocks that two linked sets cannot but share, the most typical member first.
+
+    All blocks are put in one order, rare ones first and empty ones last. A set differs
+    from a linked one in no more elements, and so blocks, than its own size and that of
+    the largest set it meets allow. Two linked sets have one of the first blocks of
+    either in common, one more than may differ, so those are enough. A copy changed
+    beyond the threshold has as many blocks of its own and meets no other copy, however
+    many there are. The member that shares most of its blocks is likely the original
+    of the others, so it ranks first.
+    """
+    same, sketch = Window.partitionBy("key"), Window.partitionBy("doc_id", "sketch")
+    shared = F.col("rows") > 1
+    largest = F.least(F.col("most_n"), F.coalesce(F.max(F.when(shared, F.col("met"))).over(sketch), F.lit(0)))
+    first = (
+        fine.withColumn("rows", F.count("*").over(same))
+        .withColumn("met", F.max("n").over(same))
+        .withColumn("place", F.dense_rank().over(sketch.orderBy("empty", "rows", "key")))
+        .withColumn("typical", F.sum(shared.cast("bigint")).over(sketch))
+        .withColumn("most", (F.col("n") + largest) * (denominator - numerator) / F.lit(denominator + numerator))
+        .filter(shared & (F.col("place") <= F.floor("most") + 1))
+    )
+    return (
+        first.groupBy("key", F.col("doc_id").alias("rep"))
+        .agg(F.max("typical").alias("typical"))
+        .withColumn("rank", (F.row_number().over(same.orderBy(F.desc("typical"), "rep")) - 1).cast("int"))
+        .withColumn("last", F.max("rank").over(same))
+        .filter("last > 0")
+        .select("key", "rep", "rank")
+    )
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles): the sorted distinct shingle hashes of each document."""
 
@@ -241,18 +331,22 @@ def similar_documents(
         .select("key", "doc_id")
     )
     # Two numbers a row: sizes and sketches join the far fewer pairs, not the blocks.
-    ranked = materialise(
+    near = materialise(
         shared.join(members.select("doc_id", "rep"), "doc_id")
         .select("key", "rep")
         .repartition("key")
         .distinct()
-        .withColumn("rank", (F.row_number().over(same.orderBy("rep")) - 1).cast("int"))
-        .withColumn("most", F.max("rank").over(same))
-        .filter("most > 0")
-        .drop("most"),
-        "ranked",
+        .withColumn("other", F.min("rep").over(same) < F.max("rep").over(same))
+        .filter("other")
+        .select(F.col("rep").alias("doc_id"))
+        .distinct(),
+        "near",
     )
     release()  # the shuffle of all block keys has been read
+    texts = docs.select("doc_id", "text").join(near, "doc_id", "left_semi")
+    fine = fine_keys(texts, width, numerator, denominator)
+    ranked = materialise(rare_blocks(fine, numerator, denominator), "ranked")
+    release(near)
     sketches = members.filter(F.col("doc_id") == F.col("rep")).select("rep", "n", *SKETCH)
     linked = connect(ranked, sketches, Sets(docs, width), numerator, denominator)
     release(ranked)

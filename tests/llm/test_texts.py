@@ -1,6 +1,7 @@
 """The operators on texts against plain Python, and their results on awkward rows."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -88,6 +89,29 @@ def test_similar_documents_against_all_pairs(documents, width, numerator, denomi
     assert len({find(i) for i in sets}) < len(sets)
 
 
+def test_copies_changed_too_much_do_not_meet_each_other(documents, monkeypatch):
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(240):
+        words = list(base)
+        for place in draw.sample(range(150), 0 if i == 100 else 1 if i % 2 else 12):
+            words[place] = f"x{draw.randrange(10**9)}"
+        texts.append((i, " ".join(words)))
+    pairs = []
+    promising = jaccard.promising
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return promising(found, *rest)
+
+    monkeypatch.setattr(jaccard, "promising", counted)
+    found = by_id(jaccard.similar_documents(documents(texts), 5, 8, 10))
+    linked = {i for i in found if i % 2 or i == 100}
+    assert {i: row["component_id"] for i, row in found.items()} == {i: 1 if i in linked else i for i in found}
+    assert sum(pairs) < 4 * len(texts)
+
+
 def test_similar_documents_on_awkward_rows(edges, empty):
     rows = jaccard.similar_documents(edges, 3, 9, 10).collect()
     assert len(rows) == 12
