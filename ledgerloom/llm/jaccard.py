@@ -12,14 +12,14 @@ blocks are candidates; those whose short sketches differ in too many bits are
 dropped, and the others are verified on the whole sets.
 
 Equal sets become one class, so copies never meet in a block. Sets that share a
-block get a second sketch of smaller blocks, of which only the rarest that a
-linked set cannot miss are joined. Within a block the members of lowest
-rank, those that share most of their blocks, are compared with the rest, in rounds
-of growing size, and a block is finished as soon as its members are connected: a
-large group of near copies costs a few comparisons per member, and most copies changed
-beyond the threshold have enough blocks of their own to meet none; those that have
-not do get compared with each other. No pair that could
-change a component is skipped.
+block meet again in the rarest of their shingles, of which each takes only as many
+as a linked set cannot miss. Among the sets of such a shingle those of lowest rank,
+with the fewest shingles of their own, are compared with the rest, in rounds of
+growing size, and a set is finished as soon as all it could link with are connected
+to it: a large group of near copies costs a few comparisons per member, and copies
+changed beyond the threshold by shingles of their own meet no other. Copies that
+share their changes do get compared with each other. No pair that could change a
+component is skipped.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; a text with fewer words than a shingle is one shingle; rows that repeat
@@ -186,81 +186,45 @@ def sketch_keys(docs: DataFrame, width: int, numerator: int, denominator: int) -
     return known.mapInArrow(emit, "key bigint, doc_id bigint")
 
 
-def fine_keys(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(key, doc_id, sketch, n, most_n, empty): smaller blocks of every band of every set.
+def rare_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(key, rep, n, reach, alone) of the rarest shingles of each set, as many as two linked sets cannot miss.
 
-    ``sketch`` tells the bands and texts of an id apart, n is the size of the set and
-    most_n that of the largest set it may link with in the band. ``empty`` is 0 for a
-    block with elements. Of those without, numbered from 1, only as many are given as
-    ``rare_blocks`` may ask for.
+    All shingles are put in one order, those of fewer sets first. What stands in a set
+    before the first shingle it shares with another is missing there. A linked set of
+    size m lacks at most half of (d - k) / (d + k) * (n + m) + n - m of n shingles, at
+    k / d the threshold, so each place in the order has a largest m, the ``reach``.
+    ``alone`` counts the shingles no other set has, which meet nothing: a copy changed
+    beyond the threshold has more of them than it may and meets no other copy.
     """
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
-        lows, apart = size_bands(numerator, denominator)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, about = [np.zeros(0, np.uint64)], [np.zeros((0, 5), np.int64)]
-            for row, hashes in enumerate(shingles.sets(batch.column(1))):
-                size = len(hashes)
-                if not size:
-                    continue
-                name = np.array([set_name(hashes)[0]], np.uint64)
-                top, codes = hashes >> np.uint64(32), mix(hashes)
-                bands = bands_of(size, lows, numerator, denominator)
-                for band in bands:
-                    other = size * denominator // numerator if band == bands[-1] else int(lows[band + 1]) - 1
-                    filled, empty = blocks(top, codes, 3 * apart[band] + 1, band)
-                    empty = empty[: max(0, apart[band] + 1 - len(filled))]
-                    keys.append(np.concatenate([filled, empty]))
-                    sketch = mix(name + np.uint64(band)).view(np.int64)[0]
-                    rows = np.tile(np.array([ids[row], sketch, size, other, 0], np.int64), (len(keys[-1]), 1))
-                    rows[len(filled) :, 4] = np.arange(1, len(empty) + 1)
-                    about.append(rows)
-            columns = np.concatenate(about)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys).view(np.int64)),
-                    *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(5)],
-                ],
-                names=["key", "doc_id", "sketch", "n", "most_n", "empty"],
-            )
-
-    known = in_batches(docs).select("doc_id", "text")
-    return known.mapInArrow(
-        emit, "key bigint, doc_id bigint, sketch bigint, n bigint, most_n bigint, empty bigint"
-    )
-
-
-def rare_blocks(fine: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(key, rep, rank) of blocks that two linked sets cannot but share, the most typical member first.
-
-    All blocks are put in one order, rare ones first and empty ones last. A set differs
-    from a linked one in no more elements, and so blocks, than its own size and that of
-    the largest set it meets allow. Two linked sets have one of the first blocks of
-    either in common, one more than may differ, so those are enough. A copy changed
-    beyond the threshold has as many blocks of its own and meets no other copy, however
-    many there are. The member that shares most of its blocks is likely the original
-    of the others, so it ranks first.
-    """
-    same, sketch = Window.partitionBy("key"), Window.partitionBy("doc_id", "sketch")
-    shared = F.col("rows") > 1
-    largest = F.least(F.col("most_n"), F.coalesce(F.max(F.when(shared, F.col("met"))).over(sketch), F.lit(0)))
-    first = (
-        fine.withColumn("rows", F.count("*").over(same))
-        .withColumn("met", F.max("n").over(same))
-        .withColumn("place", F.dense_rank().over(sketch.orderBy("empty", "rows", "key")))
-        .withColumn("typical", F.sum(shared.cast("bigint")).over(sketch))
-        .withColumn("most", (F.col("n") + largest) * (denominator - numerator) / F.lit(denominator + numerator))
-        .filter(shared & (F.col("place") <= F.floor("most") + 1))
-    )
+    held = F.col("holders") > 1
     return (
-        first.groupBy("key", F.col("doc_id").alias("rep"))
-        .agg(F.max("typical").alias("typical"))
-        .withColumn("rank", (F.row_number().over(same.orderBy(F.desc("typical"), "rep")) - 1).cast("int"))
-        .withColumn("last", F.max("rank").over(same))
-        .filter("last > 0")
-        .select("key", "rep", "rank")
+        sets.select(
+            F.col("doc_id").alias("rep"),
+            F.xxhash64("shingles").alias("name"),
+            F.size("shingles").cast("bigint").alias("n"),
+            "shingles",
+        )
+        .select(F.explode("shingles").alias("key"), "rep", "name", "n")
+        .repartition("key")
+        .distinct()
+        .withColumn("holders", F.count("*").over(Window.partitionBy("key")))
+        .groupBy("rep", "name", "n")
+        .agg(
+            F.count_if(~held).alias("alone"),
+            F.array_sort(F.collect_list(F.when(held, F.struct("holders", "key")))).alias("order"),
+        )
+        .withColumn("most", F.expr(f"n * {denominator - numerator} div {denominator}"))
+        .withColumn("take", F.greatest(F.col("most") - F.col("alone") + 1, F.lit(0)).cast("int"))
+        .withColumn("order", F.slice("order", F.lit(1), F.col("take")))
+        .select("rep", "n", "alone", F.posexplode("order").alias("place", "held"))
+        .withColumn("place", F.col("place") + F.col("alone"))
+        .select(
+            F.col("held.key").alias("key"),
+            "rep",
+            "n",
+            F.expr(f"(n * {denominator} - place * {denominator + numerator}) div {numerator}").alias("reach"),
+            "alone",
+        )
     )
 
 
@@ -343,13 +307,23 @@ def similar_documents(
         "near",
     )
     release()  # the shuffle of all block keys has been read
+    # Texts are shuffled and cut once more, for those that met another.
     texts = docs.select("doc_id", "text").join(near, "doc_id", "left_semi")
-    fine = fine_keys(texts, width, numerator, denominator)
-    ranked = materialise(rare_blocks(fine, numerator, denominator), "ranked")
+    sets = materialise(shingle_sets(texts, width), "sets")
     release(near)
+    rank = F.row_number().over(same.orderBy("alone", "rep")) - 1
+    ranked = materialise(
+        rare_shingles(sets, numerator, denominator)
+        .withColumn("rank", rank.cast("int"))
+        .withColumn("last", F.max("rank").over(same))
+        .filter("last > 0")
+        .drop("alone", "last"),
+        "ranked",
+    )
+    release()
     sketches = members.filter(F.col("doc_id") == F.col("rep")).select("rep", "n", *SKETCH)
-    linked = connect(ranked, sketches, Sets(docs, width), numerator, denominator)
-    release(ranked)
+    linked = connect(ranked, sketches, sets, numerator, denominator)
+    release(ranked, sets)
 
     by_class = (
         members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
@@ -382,37 +356,38 @@ def promising(pairs: DataFrame, sketches: DataFrame, numerator: int, denominator
     )
 
 
-class Sets:
-    """The shingle sets of documents that some pair needs, each made once."""
-
-    def __init__(self, docs: DataFrame, width: int) -> None:
-        self.docs, self.width = docs.select("doc_id", "text"), width
-        self.made: list[DataFrame] = []
+def undecided(state: DataFrame) -> DataFrame:
+    """The members of blocks that may still meet one of another component, by its size and theirs.
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """(doc_id, shingles) for the ends of all pairs so far."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        for known in self.made:
-            wanted = wanted.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-        wanted = materialise(wanted, "wanted")
-        if not self.made or not wanted.isEmpty():
-            texts = self.docs.join(wanted, "doc_id", "left_semi")
-            self.made.append(materialise(shingle_sets(texts, self.width), "sets"))
-        release(wanted)
-        return reduce(DataFrame.unionByName, self.made)
-
-    def close(self) -> None:
-        release(*self.made)
+    Of the smallest size and the farthest reach of a block, the best and the best of
+    another component than that one's are enough to know.
+    """
+    block = Window.partitionBy("key")
+    return (
+        state.withColumn("least", F.min(F.struct("n", "component")).over(block))
+        .withColumn("most", F.max(F.struct("reach", "component")).over(block))
+        .withColumn("least2", F.min(F.when(F.col("component") != F.col("least.component"), F.col("n"))).over(block))
+        .withColumn("most2", F.max(F.when(F.col("component") != F.col("most.component"), F.col("reach"))).over(block))
+        .filter(
+            F.when(F.col("component") == F.col("least.component"), F.col("least2")).otherwise(F.col("least.n"))
+            <= F.col("reach")
+        )
+        .filter(
+            F.when(F.col("component") == F.col("most.component"), F.col("most2")).otherwise(F.col("most.reach"))
+            >= F.col("n")
+        )
+        .drop("least", "most", "least2", "most2")
+    )
 
 
 def connect(
-    ranked: DataFrame, sketches: DataFrame, sets: Sets, numerator: int, denominator: int
+    ranked: DataFrame, sketches: DataFrame, sets: DataFrame, numerator: int, denominator: int
 ) -> DataFrame:
     """(node, component) of the verified links among documents that share a block.
 
     The first round compares the first member of every block with the others,
-    each later round eight times as many members, among the blocks that still
-    hold two components. It ends when no block has such members left.
+    each later round eight times as many members, among those that may still
+    meet another component. It ends when no block has such members left.
     """
     in_block = Window.partitionBy("key")
     named, state, low, high = None, None, 0, 1
@@ -422,31 +397,32 @@ def connect(
             state = ranked.withColumn("component", F.col("rep"))
         else:
             state = materialise(
-                (ranked if before is None else before).drop("component")
-                .join(named.withColumnRenamed("node", "rep"), "rep", "left")
-                .withColumn("component", F.coalesce("component", "rep"))
-                .withColumn("apart", F.min("component").over(in_block) < F.max("component").over(in_block))
+                undecided(
+                    before.drop("component")
+                    .join(named.withColumnRenamed("node", "rep"), "rep", "left")
+                    .withColumn("component", F.coalesce("component", "rep"))
+                )
                 .withColumn("top", F.max("rank").over(in_block))
-                .filter(F.col("apart") & (F.col("top") > low))
-                .drop("apart", "top"),
+                .filter(F.col("top") > low)
+                .drop("top"),
                 "live",
             )
-            if before is not None and low > 1:
+            if low > 1:
                 release(before)
             if state.isEmpty():
-                sets.close()
                 return named
         pivots = state.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
-            "key", F.col("rep").alias("a"), F.col("rank").alias("rank_a"), F.col("component").alias("component_a")
+            "key", *[F.col(name).alias(f"{name}_a") for name in ("rep", "n", "reach", "rank", "component")]
         )
         pairs = (
             state.join(pivots, "key")
             .filter((F.col("rank") > F.col("rank_a")) & (F.col("component") != F.col("component_a")))
-            .select("a", F.col("rep").alias("b"))
+            .filter((F.col("n") <= F.col("reach_a")) & (F.col("n_a") <= F.col("reach")))
+            .select(F.col("rep_a").alias("a"), F.col("rep").alias("b"))
             .distinct()
         )
         close = materialise(promising(pairs, sketches, numerator, denominator), "pairs")
-        found = verify(close, sets.of(close), numerator, denominator)
+        found = verify(close, sets, numerator, denominator)
         if named is not None:  # a component stays one through the star of its members
             found = found.unionByName(named.select(F.col("component").alias("a"), F.col("node").alias("b")))
         named = components(found)

@@ -112,6 +112,36 @@ def test_copies_changed_too_much_do_not_meet_each_other(documents, monkeypatch):
     assert sum(pairs) < 4 * len(texts)
 
 
+def test_copies_that_share_changes_meet_few_others(documents, monkeypatch):
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for place in draw.sample(range(150), i % 16):
+            words[place] = f"x{draw.randrange(40)}"
+        texts.append((i, " ".join(words)))
+    pairs = []
+    promising = jaccard.promising
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return promising(found, *rest)
+
+    monkeypatch.setattr(jaccard, "promising", counted)
+    found = by_id(jaccard.similar_documents(documents(texts), 3, 9, 10))
+    sets = {i: shingles(text, 3) for i, text in texts}
+    reached, waiting = {0}, [0]
+    while waiting:
+        a = sets[waiting.pop()]
+        near = [i for i in sets if i not in reached and 10 * len(a & sets[i]) >= 9 * len(a | sets[i])]
+        reached.update(near)
+        waiting += near
+    assert {i for i, row in found.items() if row["component_id"] == 0} == reached
+    assert 50 < len(reached) < 300
+    assert sum(pairs) < 4 * len(texts)
+
+
 def test_similar_documents_on_awkward_rows(edges, empty):
     rows = jaccard.similar_documents(edges, 3, 9, 10).collect()
     assert len(rows) == 12
