@@ -11,8 +11,10 @@ unless a document has more than m of them, which keeps the argument exact. Equal
 blocks are candidates; those whose short sketches differ in too many bits are
 dropped, and the others are verified on the whole sets.
 
-Equal sets become one class, so copies never meet in a block. Sets that share a
-block meet again in the rarest of their shingles, of which each takes only as many
+Equal sets become one class, so copies never meet in a block. A set that shares
+fewer blocks of a band with all others together than it must with one linked set is
+left out, so passages that many texts quote do not keep their texts in the join. The
+others meet again in the rarest of their shingles, of which each takes only as many
 as a linked set cannot miss. Among the sets of such a shingle those of lowest rank,
 with the fewest shingles of their own, are compared with the rest, in rounds of
 growing size, and a set is finished as soon as all it could link with are connected
@@ -83,21 +85,28 @@ def size_bands(numerator: int, denominator: int, growth: float = 1.5) -> tuple[n
     return np.array(lows), apart
 
 
+BAND_BITS = 7
+
+
 def block_keys(
     hashes: np.ndarray, lows: np.ndarray, apart: list[int], numerator: int, denominator: int
-) -> np.ndarray:
-    """The keys of sketch blocks, for each band in which the set may have a partner.
+) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of sketch blocks and their marks, for each band in which the set may have a partner.
 
     The hashes are sorted, and a block takes an equal share of their range, so
-    the parity of a block is one xor over neighbours.
+    the parity of a block is one xor over neighbours. A mark holds the band in its
+    low bits and above them how many of these keys a partner has at least: all blocks
+    but ``apart`` are equal, of which those empty here may not be sent.
     """
-    keys = []
+    keys, marks = [], []
     top, codes = hashes >> np.uint64(32), mix(hashes)
     for band in bands_of(len(hashes), lows, numerator, denominator):
-        spare = -(-apart[band] // 10)
+        spare = -(-apart[band] // 5)
         filled, empty = blocks(top, codes, apart[band] + 1 + spare, band)
         keys.append(filled if len(empty) <= spare else np.concatenate([filled, empty]))
-    return np.concatenate(keys)
+        least = max(1, spare + 1 - len(empty))
+        marks.append(np.full(len(keys[-1]), (least << BAND_BITS) + band, np.int64))
+    return np.concatenate(keys), np.concatenate(marks)
 
 
 def bands_of(size: int, lows: np.ndarray, numerator: int, denominator: int) -> range:
@@ -159,7 +168,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def sketch_keys(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(key, doc_id) of every sketch block of every document with a set.
+    """(key, doc_id, mark) of every sketch block of every document with a set.
 
     A task sends the blocks of equal sets once.
     """
@@ -170,20 +179,25 @@ def sketch_keys(docs: DataFrame, width: int, numerator: int, denominator: int) -
         sent: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, owners, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for row, hashes in enumerate(shingles.sets(batch.column(1))):
                 name = set_name(hashes)
                 if len(hashes) and name not in sent:
                     sent.add(name)
-                    keys.append(block_keys(hashes, lows, apart, numerator, denominator))
+                    for made, of in zip((keys, marks), block_keys(hashes, lows, apart, numerator, denominator)):
+                        made.append(of)
                     owners.append(np.full(len(keys[-1]), ids[row], np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))],
-                names=["key", "doc_id"],
+                [
+                    pa.array(np.concatenate(keys).view(np.int64)),
+                    pa.array(np.concatenate(owners)),
+                    pa.array(np.concatenate(marks)),
+                ],
+                names=["key", "doc_id", "mark"],
             )
 
     known = in_batches(docs).select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    return known.mapInArrow(emit, "key bigint, doc_id bigint")
+    return known.mapInArrow(emit, "key bigint, doc_id bigint, mark bigint")
 
 
 def rare_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -196,7 +210,6 @@ def rare_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFram
     ``alone`` counts the shingles no other set has, which meet nothing: a copy changed
     beyond the threshold has more of them than it may and meets no other copy.
     """
-    held = F.col("holders") > 1
     return (
         sets.select(
             F.col("doc_id").alias("rep"),
@@ -208,11 +221,10 @@ def rare_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFram
         .repartition("key")
         .distinct()
         .withColumn("holders", F.count("*").over(Window.partitionBy("key")))
+        .filter("holders > 1")
         .groupBy("rep", "name", "n")
-        .agg(
-            F.count_if(~held).alias("alone"),
-            F.array_sort(F.collect_list(F.when(held, F.struct("holders", "key")))).alias("order"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("holders", "key"))).alias("order"))
+        .withColumn("alone", F.col("n") - F.size("order"))
         .withColumn("most", F.expr(f"n * {denominator - numerator} div {denominator}"))
         .withColumn("take", F.greatest(F.col("most") - F.col("alone") + 1, F.lit(0)).cast("int"))
         .withColumn("order", F.slice("order", F.lit(1), F.col("take")))
@@ -292,16 +304,19 @@ def similar_documents(
         sketch_keys(docs, width, numerator, denominator)
         .withColumn("other", F.min("doc_id").over(same) < F.max("doc_id").over(same))
         .filter("other")
-        .select("key", "doc_id")
+        .select("key", "doc_id", "mark")
     )
-    # Two numbers a row: sizes and sketches join the far fewer pairs, not the blocks.
+    # Three numbers a row: sizes and sketches join the far fewer pairs, not the blocks.
     near = materialise(
         shared.join(members.select("doc_id", "rep"), "doc_id")
-        .select("key", "rep")
+        .select("key", "rep", "mark")
         .repartition("key")
         .distinct()
         .withColumn("other", F.min("rep").over(same) < F.max("rep").over(same))
         .filter("other")
+        .groupBy("rep", "mark")
+        .agg(F.count("*").alias("met"))
+        .filter(F.col("met") >= F.shiftright("mark", BAND_BITS))
         .select(F.col("rep").alias("doc_id"))
         .distinct(),
         "near",

@@ -142,6 +142,27 @@ def test_copies_that_share_changes_meet_few_others(documents, monkeypatch):
     assert sum(pairs) < 4 * len(texts)
 
 
+def test_texts_that_quote_one_passage_leave_the_join(documents, monkeypatch):
+    draw = random.Random(11)
+    passage = [f"p{i}" for i in range(12)]
+    texts = []
+    for i in range(80):
+        words = [f"x{draw.randrange(10**9)}" for _ in range(150)]
+        texts.append((i, " ".join(words[:50] + passage + words[50:])))
+    texts.append((80, texts[7][1] + " more"))
+    sets = []
+    rare_shingles = jaccard.rare_shingles
+
+    def counted(found, *rest):
+        sets.append(found.count())
+        return rare_shingles(found, *rest)
+
+    monkeypatch.setattr(jaccard, "rare_shingles", counted)
+    found = by_id(jaccard.similar_documents(documents(texts), 5, 8, 10))
+    assert {i: row["component_id"] for i, row in found.items()} == {i: 7 if i == 80 else i for i in found}
+    assert sum(sets) < 10
+
+
 def test_similar_documents_on_awkward_rows(edges, empty):
     rows = jaccard.similar_documents(edges, 3, 9, 10).collect()
     assert len(rows) == 12
